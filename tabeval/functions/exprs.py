@@ -16,6 +16,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _lit(v) -> Column:
+    """A float parameter as a DOUBLE literal; a Column (e.g. a scalar subquery) as is."""
+    return v if isinstance(v, Column) else F.lit(float(v))
+
+
 def ratio(num, den) -> Column:
     """num / den, NULL when den is 0 (ANSI mode would raise)."""
     return F.try_divide(col(num).cast("double"), col(den).cast("double"))
@@ -65,9 +70,9 @@ def grid_point(k, start: float, step: float, n: int, stop: float | None = None)
     Written the way numpy computes it so that points compare bit-for-bit equal.
     """
     k = col(k)
-    v = k.cast("double") * F.lit(step) + F.lit(start)
+    v = k.cast("double") * _lit(step) + _lit(start)
     if stop is not None:
-        v = F.when(k == F.lit(n - 1), F.lit(float(stop))).otherwise(v)
+        v = F.when(k == F.lit(n - 1), _lit(stop)).otherwise(v)
     return v
 
 
@@ -81,7 +86,7 @@ def count_points_below(x, start: float, step: float, n: int, stop: float | None
     NULL x gives NULL.
     """
     x = col(x)
-    c0 = F.least(F.greatest(F.ceil((x - F.lit(start)) / F.lit(step)), F.lit(0)), F.lit(n)).cast("int")
+    c0 = F.least(F.greatest(F.ceil(F.try_divide(x - _lit(start), _lit(step))), F.lit(0)), F.lit(n)).cast("int")
 
     def below(k):  # grid point k lies below x
         g = grid_point(k, start, step, n, stop)

@@ -1,3 +1,4 @@
 """Import every module that registers queries, so the registry is complete."""
 
 from tabeval.plans import queries  # noqa: F401
+from tabeval.plans import q_profile  # noqa: F401
