@@ -32,17 +32,17 @@ LABEL_SQL = "CAST(l_returnflag = 'R' AS INTEGER)"
 # over them: (name, SQL expression in the feature names).  Rational functions
 # only (x / (1 + |x|) instead of a logistic), for bit-equal results.
 EVENT_FEATURES = [
-    ("value", "value"),
-    ("user", "CAST(user_id AS DOUBLE)"),
-    ("hour", "CAST(hour(ts) AS DOUBLE)"),
+    ("amount", "value"),
+    ("uid", "CAST(user_id AS DOUBLE)"),
+    ("hr", "CAST(hour(ts) AS DOUBLE)"),
 ]
 EVENT_MODELS = [
-    ("additive", "0.5 + 0.5 * ((value - 40.0) / 40.0 + (user - 50.0) / 50.0 - (hour - 12.0) / 12.0)"
-                 " / (1.0 + abs((value - 40.0) / 40.0 + (user - 50.0) / 50.0 - (hour - 12.0) / 12.0))"),
-    ("interact", "0.5 + 0.5 * ((value - 40.0) * (hour - 12.0) / 480.0 + (user - 50.0) / 100.0)"
-                 " / (1.0 + abs((value - 40.0) * (hour - 12.0) / 480.0 + (user - 50.0) / 100.0))"),
-    ("step", "CASE WHEN value > 50.0 THEN (CASE WHEN hour < 12.0 THEN 0.9 ELSE 0.6 END)"
-             " ELSE (CASE WHEN user > 50.0 THEN 0.4 ELSE 0.1 END) END"),
+    ("additive", "0.5 + 0.5 * ((amount - 40.0) / 40.0 + (uid - 50.0) / 50.0 - (hr - 12.0) / 12.0)"
+                 " / (1.0 + abs((amount - 40.0) / 40.0 + (uid - 50.0) / 50.0 - (hr - 12.0) / 12.0))"),
+    ("interact", "0.5 + 0.5 * ((amount - 40.0) * (hr - 12.0) / 480.0 + (uid - 50.0) / 100.0)"
+                 " / (1.0 + abs((amount - 40.0) * (hr - 12.0) / 480.0 + (uid - 50.0) / 100.0))"),
+    ("step", "CASE WHEN amount > 50.0 THEN (CASE WHEN hr < 12.0 THEN 0.7071067812 ELSE 0.6180339887 END)"
+             " ELSE (CASE WHEN uid > 50.0 THEN 0.3819660113 ELSE 0.2928932188 END) END"),
 ]
 
 
@@ -64,7 +64,7 @@ def lineitem_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, value, user, hour) from events; row_id = event_id."""
+    """(row_id, amount, uid, hr) from events; row_id = event_id."""
     ev = testdata_table(spark, sf_dir, "events")
     return ev.select(F.col("event_id").alias("row_id"), *[F.expr(e).alias(n) for n, e in EVENT_FEATURES])
 

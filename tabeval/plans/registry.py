@@ -3,3 +3,4 @@
 from tabeval.plans import queries  # noqa: F401
 from tabeval.plans import q_profile  # noqa: F401
 from tabeval.plans import q_prep  # noqa: F401
+from tabeval.plans import q_explain  # noqa: F401
