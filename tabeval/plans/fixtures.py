@@ -41,8 +41,8 @@ EVENT_MODELS = [
                  " / (1.0 + abs((amount - 40.0) / 40.0 + (uid - 50.0) / 50.0 - (hr - 12.0) / 12.0))"),
     ("interact", "0.5 + 0.5 * ((amount - 40.0) * (hr - 12.0) / 480.0 + (uid - 50.0) / 100.0)"
                  " / (1.0 + abs((amount - 40.0) * (hr - 12.0) / 480.0 + (uid - 50.0) / 100.0))"),
-    ("step", "CASE WHEN amount > 50.0 THEN (CASE WHEN hr < 12.0 THEN 0.7071067812 ELSE 0.6180339887 END)"
-             " ELSE (CASE WHEN uid > 50.0 THEN 0.3819660113 ELSE 0.2928932188 END) END"),
+    ("step", "CASE WHEN amount > 50.0 THEN (CASE WHEN hr < 12.0 THEN CAST(0.7071067812 AS DOUBLE) ELSE CAST(0.6180339887 AS DOUBLE) END)"
+             " ELSE (CASE WHEN uid > 50.0 THEN CAST(0.3819660113 AS DOUBLE) ELSE CAST(0.2928932188 AS DOUBLE) END) END"),
 ]
 
 
