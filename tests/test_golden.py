@@ -1,0 +1,186 @@
+"""Golden tests: the reference's own published numbers, recomputed from
+its shipped data files.  Skipped when the reference data is not present."""
+
+import math
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import REFERENCE
+from tabeval.operators import balance as bl
+from tabeval.operators import consistency as cs
+from tabeval.operators import evaluate as ev
+from tabeval.operators import profile as pr
+from tabeval.operators import scale as sc
+from tabeval.operators import select as se
+from tabeval.operators import split as sp
+from tabeval.sources.io import read_table
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(REFERENCE), reason="reference data absent")
+
+CONTINUOUS = ["age", "glucose", "pressure", "triceps", "bmi", "pedigree", "insulin"]
+CATEGORICAL = ["diabetes", "gender", "exercise", "race", "his", "hyperlip", "pregnant"]
+SELECTED = ["exercise", "hyperlip", "pregnant", "glucose", "pressure", "insulin"]
+
+
+def ref(*p):
+    return os.path.join(REFERENCE, *p)
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    return read_table(spark, ref("data", "raw", "diabetes_raw.csv")).withColumn(
+        "row_id", F.monotonically_increasing_id())  # one file, one partition: file order
+
+
+@pytest.fixture(scope="module")
+def train(spark):
+    return read_table(spark, ref("data", "processed", "train_data_notscaled.csv"), row_id="_c0")
+
+
+@pytest.fixture(scope="module")
+def test(spark):
+    return read_table(spark, ref("data", "processed", "test_data_notscaled.csv"), row_id="_c0")
+
+
+def test_fences_outliers_repair(raw):
+    f = pr.iqr_fences(raw, ["glucose"]).first()
+    assert (f.q1, f.q3, f.lower, f.upper) == (98.0, 139.0, 36.5, 200.5)
+    out = pr.iqr_outliers(raw, "glucose").select("row_id", "glucose").orderBy("row_id").collect()
+    assert [(r.row_id, r.glucose) for r in out] == [(0, 1188), (13, 999)]
+    rep = pr.iqr_repair(raw, "glucose").where(F.col("row_id").isin(0, 13)).orderBy("row_id").collect()
+    assert [r.glucose for r in rep] == [118, 99]
+
+
+def test_missing_counts(raw):
+    m = {r.variable: r.n_missing for r in pr.missing_counts(raw.drop("row_id")).collect()}
+    assert m["insulin"] == 84 and sum(m.values()) == 84
+
+
+def test_split_sizes_and_scaler(spark, train, test):
+    assert train.count() == 438 and test.count() == 189
+    assert train.where("diabetes = 1").count() == 147 and test.where("diabetes = 1").count() == 63
+    scaled = sc.standardise(train, test, CONTINUOUS).orderBy("row_id").collect()
+    gold = read_table(spark, ref("data", "processed", "test_data_scaled.csv"), row_id="_c0") \
+        .orderBy("row_id").collect()
+    worst = max(abs(a[c] - b[c]) for a, b in zip(scaled, gold) for c in CONTINUOUS)
+    assert worst < 1e-12
+
+
+def test_our_split_has_the_reference_sizes(spark):
+    imp = read_table(spark, ref("data", "processed", "diabetes_imputed.csv")).withColumn(
+        "row_id", F.monotonically_increasing_id())
+    s = sp.stratified_split(imp, "diabetes", 0.3, 2025, "row_id")
+    sizes = {(r.split, r.diabetes): r.n for r in sp.split_sizes(s, "diabetes").collect()}
+    assert sizes == {("train", 0): 291, ("train", 1): 147, ("test", 0): 126, ("test", 1): 63}
+
+
+def test_balance_pvalues(train, test):
+    both = sp.union_tagged({"train_set": train, "test_set": test}, "group")
+    pt = {r.variable: r.p_value for r in bl.welch_t(both, "group", CONTINUOUS).collect()}
+    pc = {r.variable: r.p_value for r in bl.chi2(both, "group", CATEGORICAL).collect()}
+    want = {"age": .168, "glucose": .297, "pressure": .620, "triceps": .007, "bmi": .075, "pedigree": .938,
+            "insulin": .975, "diabetes": 1.000, "gender": .104, "exercise": .268, "race": .180, "his": .436,
+            "hyperlip": .348, "pregnant": .505}
+    got = {**pt, **pc}
+    for k, v in want.items():
+        assert round(got[k], 3) == pytest.approx(v, abs=1e-9), k
+
+
+def test_balance_counts_and_cells(train, test):
+    both = sp.union_tagged({"train_set": train, "test_set": test}, "group")
+    n = {r.group: r.n for r in bl.balance_counts(both, "group").collect()}
+    assert n == {"Overall": 627, "test_set": 189, "train_set": 438}
+    c = {(r.variable, r.level, r.group): (r.n, round(r.pct, 1))
+         for r in bl.balance_categorical(both, "group", ["gender"]).collect()}
+    assert c[("gender", "0", "Overall")] == (308, 49.1)
+    assert c[("gender", "1", "test_set")] == (106, 56.1)
+
+
+def test_multivariable_logit_table(spark, train):
+    kept = ["exercise", "his", "hyperlip", "pregnant", "age", "glucose", "pressure", "triceps", "bmi",
+            "pedigree", "insulin"]
+    t = {r.variable: r for r in se.logit_table(train, "diabetes", kept, fit_intercept=False).collect()}
+    gold = read_table(spark, ref("results", "tables", "results_mulvariable_df.csv")).collect()
+    for g in gold:
+        r = t[g.Variable]
+        assert r.coefficient == pytest.approx(g.Coefficient, rel=1e-6)
+        assert r.odds_ratio == pytest.approx(g["Odd Ratio"], rel=1e-6)
+        assert r.p_value == pytest.approx(g["P-value"], rel=1e-4)
+    sig = sorted(r.variable for r in se.significant(
+        se.logit_table(train, "diabetes", kept, fit_intercept=False)).collect())
+    assert sig == sorted(SELECTED)
+
+
+def test_univariable_screen(train):
+    cands = [c for c in train.columns if c not in ("row_id", "diabetes")]
+    t = se.univariable_logit(train, "diabetes", cands)
+    kept = sorted(r.variable for r in se.significant(t).collect())
+    assert kept == sorted(["exercise", "his", "hyperlip", "pregnant", "age", "glucose", "pressure", "triceps",
+                           "bmi", "pedigree", "insulin"])
+
+
+def test_lasso_selection(train):
+    cands = [c for c in train.columns if c not in ("row_id", "diabetes")]
+    t = se.lasso_select(train, "diabetes", cands, alpha=0.1)
+    assert sorted(r.variable for r in t.where("selected").collect()) == \
+        sorted(["pregnant", "age", "glucose", "bmi", "insulin"])
+
+
+def _published(spark, name):
+    return {r.Model: r for r in read_table(spark, ref("results", "tables", name)).collect()}
+
+
+def test_logistic_end_to_end(spark, train, test):
+    m = se.fit_logistic(train, "diabetes", SELECTED)
+    scored = (m.transform(train).select(F.lit("validation").alias("dataset"), F.lit("Logistic").alias("model"),
+                                        "row_id", F.col("diabetes").alias("y"), "p")
+              .unionByName(m.transform(test).select(F.lit("test").alias("dataset"), F.lit("Logistic").alias("model"),
+                                                    "row_id", F.col("diabetes").alias("y"), "p")))
+    t = {r.dataset: r for r in ev.model_table(scored).collect()}
+    assert (t["validation"].tn, t["validation"].fp, t["validation"].fn, t["validation"].tp) == (264, 27, 52, 95)
+    assert (t["test"].tn, t["test"].fp, t["test"].fn, t["test"].tp) == (114, 12, 25, 38)
+    for ds, f in (("validation", "model_performance_validation.csv"), ("test", "model_performance_test.csv")):
+        g = _published(spark, f)["Logistic"]
+        r = t[ds]
+        assert r.auc == pytest.approx(g.AUC, abs=1e-9)
+        assert r.auc_lower == pytest.approx(g["AUC 95% CI Lower"], abs=1e-9)
+        assert r.auc_upper == pytest.approx(g["AUC 95% CI Upper"], abs=1e-9)
+        for ours, theirs in (("accuracy", "Accuracy"), ("precision", "Precision"), ("sensitivity", "Sensitivity"),
+                             ("specificity", "Specificity"), ("f1", "F1 Score")):
+            assert r[ours] == pytest.approx(g[theirs], abs=1e-9)
+
+
+def test_auc_intervals_of_every_published_row(spark):
+    for f, n_other in (("model_performance_validation.csv", 132), ("model_performance_test.csv", 189)):
+        rows = list(_published(spark, f).values())
+        data = [(r.Model, float(r.AUC), 438 if (r.Model == "Logistic" and "validation" in f) else n_other)
+                for r in rows]
+        df = spark.createDataFrame(data, "model STRING, auc DOUBLE, n LONG")
+        got = {r.model: r for r in ev.auc_ci(df).collect()}
+        for r in rows:
+            assert got[r.Model].auc_lower == pytest.approx(r["AUC 95% CI Lower"], abs=1e-12)
+            assert got[r.Model].auc_upper == pytest.approx(r["AUC 95% CI Upper"], abs=1e-12)
+
+
+def test_consistency_aggregator_reproduces_published_table(spark):
+    sc_dir = ref("results", "shap_consistency")
+    direction = read_table(spark, os.path.join(sc_dir, "shap_direction_signs_cross_models.csv"))
+    mean_abs = read_table(spark, os.path.join(sc_dir, "shap_meanabs_cross_models.csv"))
+    gold = {r.feature: r for r in read_table(spark, os.path.join(sc_dir,
+                                                                 "shap_direction_overall_cross_models.csv")).collect()}
+    # the published per-model signs re-derive from the correlations
+    d = direction.select("sign", cs.direction_sign("spearman_r").alias("s")).where("sign <> s").count()
+    assert d == 0
+    got = cs.consistency_table(direction, mean_abs).collect()
+    assert [r.feature for r in got] == list(gold)  # same order: I_norm descending
+    for r in got:
+        g = gold[r.feature]
+        for c in ("mean_r", "S_abs", "S_overall", "Q_agree", "I_norm", "S_abs_times_Q"):
+            assert r[c] == pytest.approx(g[c], abs=1e-12), (r.feature, c)
+        assert r.n_models == g.n_models
+        assert r.direction_txt == g.direction_txt
+    radar = cs.radar_frame(cs.consistency_table(direction, mean_abs), top_k=8).orderBy("position").collect()
+    assert [r.feature for r in radar] == list(gold)[:8]
+    assert radar[0].label == "glucose (+)" and radar[1].angle == pytest.approx(2 * math.pi / 8)
