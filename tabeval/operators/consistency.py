@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tabeval.functions.exprs import SIGN_TOL, clip01, direction_sign, direction_txt
 from tabeval.operators.cumulative import DEFAULT_BUCKETS, avg_rank
+from tabeval.session import checkpoint_dir
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str = "spearman_r",
@@ -111,8 +112,17 @@ def consistency_table(direction: DataFrame, mean_abs: DataFrame, tol: float = SI
              .orderBy(F.desc_nulls_last("I_norm"), "feature"))
 
 
-def consistency(shap: DataFrame, tol: float = SIGN_TOL) -> DataFrame:
-    """From the long SHAP table straight to the summary."""
+def consistency(shap: DataFrame, tol: float = SIGN_TOL, materialize: bool = True) -> DataFrame:
+    """From the long SHAP table straight to the summary.
+
+    The SHAP table feeds four aggregations (two rank tables, the rank join, mean
+    |phi|); with ``materialize`` it is written once to the shared checkpoint folder
+    (a reliable checkpoint: it survives lost executors and cuts the lineage) instead
+    of re-running the explanation for every consumer.
+    """
+    if materialize:
+        checkpoint_dir(shap.sparkSession)
+        shap = shap.checkpoint(eager=True)
     return consistency_table(shap_direction(shap, tol), shap_mean_abs(shap), tol)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tabeval.functions.exprs import Z_975, classify, count_points_below, grid_point, ratio
 from tabeval.operators.cumulative import DEFAULT_BUCKETS, prefix_sums
+from tabeval.session import checkpoint_dir
 
 KEYS = ("dataset", "model")
 
@@ -47,21 +48,43 @@ def class_metrics(conf: DataFrame) -> DataFrame:
         ratio(tn, tn + fp).alias("specificity"))
 
 
-def score_counts(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Positives and negatives per distinct score: the input of every curve."""
-    return scored.groupBy(*keys, "p").agg(
+def score_counts(scored: DataFrame, keys: Sequence[str] = KEYS, materialize: bool = True) -> DataFrame:
+    """Positives and negatives per distinct score: the input of every curve and metric.
+
+    One scan of ``scored`` with map-side partial aggregation.  The result feeds
+    several consumers (range bounds, range totals, the ordered sums, the totals),
+    so by default it is written once to the shared checkpoint folder: the large
+    input is read once, and a lost executor does not send the job back to it.
+    """
+    c = scored.groupBy(*keys, "p").agg(
         F.count_if(F.col("y") == 1).alias("pos"),
         F.count_if(F.col("y") == 0).alias("neg"))
+    if materialize:
+        checkpoint_dir(scored.sparkSession)
+        c = c.checkpoint(eager=True)
+    return c
+
+
+def confusion_from_counts(counts: DataFrame, cut: float = 0.5, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``confusion`` computed from the distinct-score counts."""
+    hi = F.col("p") >= F.lit(cut)
+    return counts.groupBy(*keys).agg(
+        F.sum(F.when(~hi, F.col("neg")).otherwise(0)).alias("tn"),
+        F.sum(F.when(hi, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hi, F.col("pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(hi, F.col("pos")).otherwise(0)).alias("tp"))
 
 
-def auc(scored: DataFrame, keys: Sequence[str] = KEYS, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def auc(scored: DataFrame, keys: Sequence[str] = KEYS, n_buckets: int = DEFAULT_BUCKETS,
+        counts: DataFrame | None = None) -> DataFrame:
     """ROC AUC with ties counted one half (Mann-Whitney), plus n, positives, negatives.
 
     Pair counts are summed as DECIMAL(38,0): exact, so the result does not depend
     on how the sum was split over tasks.  NULL when a group has one class only.
     """
     keys = list(keys)
-    c = prefix_sums(score_counts(scored, keys), keys, "p", ["pos"], descending=True, n_buckets=n_buckets)
+    counts = counts if counts is not None else score_counts(scored, keys)
+    c = prefix_sums(counts, keys, "p", ["pos"], descending=True, n_buckets=n_buckets)
     dec = "decimal(38,0)"
     pairs2 = F.col("neg").cast(dec) * (F.lit(2) * F.col("pos_before") + F.col("pos")).cast(dec)
     g = c.groupBy(*keys).agg(
@@ -86,8 +109,9 @@ def model_table(scored: DataFrame, cut: float = 0.5, keys: Sequence[str] = KEYS,
                 n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """The comparison table: AUC with interval, accuracy, precision, sensitivity, specificity, F1."""
     keys = list(keys)
-    m = class_metrics(confusion(scored, cut, keys))
-    a = auc_ci(auc(scored, keys, n_buckets))
+    counts = score_counts(scored, keys)
+    m = class_metrics(confusion_from_counts(counts, cut, keys))
+    a = auc_ci(auc(scored, keys, n_buckets, counts=counts))
     return a.join(m, keys, "inner").select(
         *keys, "n", "auc", "auc_lower", "auc_upper", "accuracy", "precision", "sensitivity",
         "specificity", "f1", "tn", "fp", "fn", "tp")
@@ -99,10 +123,10 @@ def roc_curve(scored: DataFrame, keys: Sequence[str] = KEYS, drop_collinear: boo
     descending.  With ``drop_collinear`` a point is kept only where the step to the
     next point differs from the step that reached it (plus the first and last)."""
     keys = list(keys)
-    c = prefix_sums(score_counts(scored, keys), keys, "p", ["pos", "neg"], descending=True,
+    counts = score_counts(scored, keys)
+    c = prefix_sums(counts, keys, "p", ["pos", "neg"], descending=True,
                     lead_cols=["pos", "neg"] if drop_collinear else [], n_buckets=n_buckets)
-    tot = scored.groupBy(*keys).agg(F.count_if(F.col("y") == 1).alias("_P"),
-                                    F.count_if(F.col("y") == 0).alias("_N"))
+    tot = counts.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     c = c.join(tot, keys, "left")
     tps = F.col("pos_before") + F.col("pos")
     fps = F.col("neg_before") + F.col("neg")

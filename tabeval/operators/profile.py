@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tabeval.functions.exprs import count_points_below, grid_point, ratio
 from tabeval.operators.cumulative import DEFAULT_BUCKETS, prefix_sums
+from tabeval.session import checkpoint_dir
 
 
 def value_counts(df: DataFrame, column: str, normalize: bool = False, sort: bool = True) -> DataFrame:
@@ -92,6 +93,9 @@ def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float] = (0.25
                 .withColumn("q", F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("_i") + 1))
                 .select("variable", "q", "value"))
     d = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    # the value counts feed bounds, range totals, ordered sums and n: written once
+    checkpoint_dir(df.sparkSession)
+    d = d.checkpoint(eager=True)
     c = prefix_sums(d, ["variable"], "value", ["cnt"], descending=False, n_buckets=n_buckets)
     n = d.groupBy("variable").agg(F.sum("cnt").alias("n"))
     h = (F.col("n") - F.lit(1)).cast("double") * F.col("q")
