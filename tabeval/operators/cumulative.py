@@ -40,7 +40,7 @@ def _bucketed(df: DataFrame, keys: Sequence[str], order_col: str, n_buckets: int
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, value_cols: Sequence[str],
                 descending: bool = True, lead_cols: Sequence[str] = (),
-                n_buckets: int = DEFAULT_BUCKETS, accuracy: int = 10000) -> DataFrame:
+                n_buckets: int = DEFAULT_BUCKETS, accuracy: int = 1000) -> DataFrame:
     """Add ``<v>_before`` = sum of ``v`` over rows of the same ``keys`` strictly earlier
     in the order of ``order_col``, and ``<c>_next`` = ``c`` of the next row.
 

@@ -153,8 +153,43 @@ def _substitute(expr: str, features: Sequence[str], repl) -> str:
 
 # ---------------------------------------------------------------- explanations
 
+UNROLL_LIMIT = 2048   # coalitions x background evaluations per row written out as plain expressions
+
+
+def _dbl(v) -> str:
+    return "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def _explain_sql_unrolled(eval_df: DataFrame, id_col: str, features: list[str], model: SqlModel,
+                          bg: list[tuple], masks: np.ndarray, k: np.ndarray) -> DataFrame:
+    """v(S) written out as sums of plain expressions: whole-stage codegen instead of
+    interpreted lambdas.  Same summation order as the lambda form (background in
+    sample order, then coalitions in id order), so the results are bit-equal."""
+    nb = len(bg)
+
+    def f_at(c: int, b: tuple) -> str:
+        return "(" + _substitute(model.expr, features, lambda f: (
+            f"__x_{f}" if masks[c][features.index(f)] else _dbl(b[features.index(f)]))) + ")"
+
+    x = eval_df.select(F.col(id_col).alias("row_id"), *[F.col(f).cast("double").alias(f"__x_{f}") for f in features])
+    vs = [F.expr("(" + " + ".join(f_at(c, b) for b in bg) + f") / {nb}").alias(f"_v{c}") for c in range(len(masks))]
+    empty = int(np.where(~masks.any(axis=1))[0][0])
+    x = x.select("row_id", *[f"__x_{f}" for f in features], *vs)
+    phis = []
+    for j, f in enumerate(features):
+        phi = None
+        for c in range(len(masks)):
+            t = F.lit(float(k[j, c])) * F.col(f"_v{c}")
+            phi = t if phi is None else phi + t
+        phis.append(F.struct(F.lit(f).alias("feature"), F.col(f"__x_{f}").alias("value"), phi.alias("phi")))
+    out = x.select("row_id", F.col(f"_v{empty}").alias("base"), F.explode(F.array(*phis)).alias("_p"))
+    return out.select(F.lit(model.name).alias("model"), "row_id", "_p.feature", "_p.value", "_p.phi", "base")
+
+
 def _explain_sql(eval_df: DataFrame, id_col: str, features: list[str], model: SqlModel,
                  bg: list[tuple], masks: np.ndarray, k: np.ndarray) -> DataFrame:
+    if len(masks) * len(bg) <= UNROLL_LIMIT:
+        return _explain_sql_unrolled(eval_df, id_col, features, model, bg, masks, k)
     idx = {f: i for i, f in enumerate(features)}
     nb = len(bg)
     body = _substitute(model.expr, features,
