@@ -4,7 +4,8 @@
 task.  When the groups are few and large (one model scored on billions of rows)
 that task holds the whole group.  Here the order is cut into ranges first:
 
-1. range bounds per key group from ``percentile_approx`` (small: groups x buckets);
+1. range bounds per key group from ``percentile_approx`` (small: groups x buckets),
+   nested when a group is so large that a range would still be too big;
 2. each row gets the range it falls in (equal values always share a range);
 3. per-range totals are summed in order over the small range table;
 4. the window runs inside (keys, range) and the offset of earlier ranges is added.
@@ -20,43 +21,72 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+TARGET_RANGE_ROWS = 2_000_000   # rows per (key, range) the window may hold
+
+
+def _levels_for(df: DataFrame, keys: Sequence[str], n_buckets: int, target: int) -> int:
+    """How many nested range cuts keep the largest key group under ``target`` rows per range."""
+    g = df.groupBy(*keys).count() if keys else df.select(F.count(F.lit(1)).alias("count"))
+    biggest = g.agg(F.max("count")).first()[0] or 0   # one number
+    levels = 1
+    while biggest > target * n_buckets ** levels and levels < 4:
+        levels += 1
+    return levels
 
 
 def _bucketed(df: DataFrame, keys: Sequence[str], order_col: str, n_buckets: int,
-              accuracy: int) -> DataFrame:
+              accuracy: int, levels: int = 1) -> DataFrame:
+    """Add ``_bucket``: the index of the value's range, monotone in the value within
+    each key group; equal values always share it.  With ``levels`` > 1 every range is
+    cut again by its own bounds (n_buckets ** levels ranges in all)."""
     pcts = [i / n_buckets for i in range(1, n_buckets)]
     if not pcts:
         return df.withColumn("_bucket", F.lit(0))
     o = F.col(order_col).cast("double")
-    if keys:
-        bounds = df.groupBy(*keys).agg(F.percentile_approx(o, pcts, accuracy).alias("_bounds"))
-        x = df.join(bounds, list(keys), "left")
-    else:
-        # one bounds array for the whole table: a scalar subquery, not a join
-        x = df.withColumn("_bounds", df.select(F.percentile_approx(o, pcts, accuracy)).scalar())
-    return (x.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < o)))
-             .drop("_bounds"))
+    x = df
+    parts = []
+    for lvl in range(levels):
+        gkeys = list(keys) + parts
+        name = f"_b{lvl}"
+        if gkeys:
+            # one bounds array per (key, parent range): groups x n_buckets ** lvl rows
+            bounds = x.groupBy(*gkeys).agg(F.percentile_approx(o, pcts, accuracy).alias("_bounds"))
+            x = x.join(bounds, gkeys, "left")
+        else:
+            # one bounds array for the whole table: a scalar subquery, not a join
+            x = x.withColumn("_bounds", x.select(F.percentile_approx(o, pcts, accuracy)).scalar())
+        x = x.withColumn(name, F.size(F.filter("_bounds", lambda b: b < o))).drop("_bounds")
+        parts.append(name)
+    idx = F.lit(0)
+    for name in parts:
+        idx = idx * F.lit(n_buckets) + F.col(name)
+    return x.withColumn("_bucket", idx.cast("long")).drop(*parts)
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, value_cols: Sequence[str],
                 descending: bool = True, lead_cols: Sequence[str] = (),
-                n_buckets: int = DEFAULT_BUCKETS, accuracy: int = 1000) -> DataFrame:
+                n_buckets: int = DEFAULT_BUCKETS, accuracy: int = 1000, levels: int | None = None,
+                target_rows: int = TARGET_RANGE_ROWS) -> DataFrame:
     """Add ``<v>_before`` = sum of ``v`` over rows of the same ``keys`` strictly earlier
     in the order of ``order_col``, and ``<c>_next`` = ``c`` of the next row.
 
     Rows must be unique on ``keys + [order_col]`` (aggregate to distinct values first).
+    ``levels`` of nested range cuts: by default as many as keep the largest key
+    group under ``target_rows`` rows per range.
     """
     keys = list(keys)
     value_cols = list(value_cols)
     lead_cols = list(lead_cols)
     base_cols = df.columns
-    x = _bucketed(df, keys, order_col, n_buckets, accuracy)
+    if levels is None:
+        levels = _levels_for(df, keys, n_buckets, target_rows)
+    x = _bucketed(df, keys, order_col, n_buckets, accuracy, levels)
     o = F.col(order_col)
     ob = F.col("_bucket")
     row_order = o.desc() if descending else o.asc()
     bucket_order = ob.desc() if descending else ob.asc()
 
-    # per-range totals and the first row of each range: tiny (groups x buckets)
+    # per-range totals and the first row of each range: groups x ranges rows
     tot = x.groupBy(*keys, "_bucket").agg(
         *[F.sum(v).alias(f"_bt_{v}") for v in value_cols],
         *[(F.max_by(F.col(c), o) if descending else F.min_by(F.col(c), o)).alias(f"_first_{c}")

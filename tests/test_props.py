@@ -64,13 +64,15 @@ def test_prefix_sums_equal_plain_window_under_skew(spark):
     # one key holds most rows; many ties
     rows = [("big" if i % 10 else "small", float(rnd.randint(0, 50)), rnd.randint(1, 5)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k STRING, v DOUBLE, w INT").groupBy("k", "v").agg(F.sum("w").alias("w"))
-    got = prefix_sums(df, ["k"], "v", ["w"], descending=True, lead_cols=["w"], n_buckets=7)
     w = Window.partitionBy("k").orderBy(F.desc("v"))
     want = df.select("k", "v", F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                           F.lit(0)).alias("w_before"), F.lead("w").over(w).alias("w_next"))
-    a = {(r.k, r.v): (r.w_before, r.w_next) for r in got.collect()}
     b = {(r.k, r.v): (r.w_before, r.w_next) for r in want.collect()}
-    assert a == b
+    for levels in (1, 2):
+        got = prefix_sums(df, ["k"], "v", ["w"], descending=True, lead_cols=["w"], n_buckets=3, levels=levels)
+        assert {(r.k, r.v): (r.w_before, r.w_next) for r in got.collect()} == b
+    # the depth follows the size of the largest group
+    assert prefix_sums(df, ["k"], "v", ["w"], n_buckets=2, target_rows=5).count() == df.count()
 
 
 def test_confusion_sums_to_n_and_edges(spark):
