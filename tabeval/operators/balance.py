@@ -84,28 +84,33 @@ def welch_t(df: DataFrame, group: str, columns: Sequence[str], with_p: bool = Tr
 def chi2(df: DataFrame, group: str, columns: Sequence[str], correction: bool = True,
          with_p: bool = True) -> DataFrame:
     """(variable, chi2, dof, n_levels, n_groups[, p_value]): Pearson chi-square of the
-    level x group table; Yates' correction (capped at |O-E|) only when dof = 1."""
+    level x group table; Yates' correction (capped at |O-E|) only when dof = 1.
+
+    Aggregations only, over the observed cells; the table is never filled out:
+    without correction chi2 = sum(O^2/E) - N over observed cells (an empty cell adds
+    nothing), and in a 2x2 table every cell has the same |O-E| = d, so the corrected
+    statistic is max(d - 1/2, 0)^2 * N^3 / (r1 r2 c1 c2).
+    """
     lv = _levels(df, group, columns)
     obs = lv.groupBy("variable", "level", "group").agg(F.count(F.lit(1)).alias("o"))
-    # the contingency table of each variable, zero cells included: levels x groups
-    dims = obs.groupBy("variable").agg(F.collect_set("level").alias("_ls"), F.collect_set("group").alias("_gs"))
-    grid = (dims.select("variable", F.explode("_ls").alias("level"), "_gs")
-                .select("variable", "level", F.explode("_gs").alias("group")))
-    cells = grid.join(obs, ["variable", "level", "group"], "left").withColumn("o", F.coalesce("o", F.lit(0)))
-    row = F.sum("o").over(Window.partitionBy("variable", "level"))
-    col_ = F.sum("o").over(Window.partitionBy("variable", "group"))
-    tot = F.sum("o").over(Window.partitionBy("variable"))
-    cells = cells.withColumn("e", row.cast("double") * col_ / tot)
-    agg = cells.groupBy("variable").agg(F.count_distinct("level").alias("n_levels"),
-                                        F.count_distinct("group").alias("n_groups"),
-                                        F.collect_list(F.struct("o", "e")).alias("_cells"))
+    rows = obs.groupBy("variable", "level").agg(F.sum("o").alias("r"))
+    cols = obs.groupBy("variable", "group").agg(F.sum("o").alias("c"))
+    per_var = (rows.groupBy("variable").agg(F.count(F.lit(1)).alias("n_levels"), F.sum("r").alias("n"),
+                                            F.product("r").alias("_rprod"))
+               .join(cols.groupBy("variable").agg(F.count(F.lit(1)).alias("n_groups"),
+                                                   F.product("c").alias("_cprod")), "variable"))
+    cells = (obs.join(rows, ["variable", "level"]).join(cols, ["variable", "group"]).join(per_var, "variable")
+                .withColumn("e", F.col("r").cast("double") * F.col("c") / F.col("n")))
+    g = cells.groupBy("variable", "n_levels", "n_groups", "n", "_rprod", "_cprod").agg(
+        F.sum(F.col("o").cast("double") * F.col("o") / F.col("e")).alias("_s"),
+        F.max(F.abs(F.col("o") - F.col("e"))).alias("_d"))
     dof = (F.col("n_levels") - 1) * (F.col("n_groups") - 1)
-    yates = F.lit(0.5) if correction else F.lit(0.0)
-    # sum over the cells of (|O-E| - c)^2 / E, c = min(yates, |O-E|) when dof = 1 else 0
-    term = F.aggregate("_cells", F.lit(0.0), lambda acc, c: acc + F.try_divide(
-        F.pow(F.abs(c["o"] - c["e"]) - F.when(dof == 1, F.least(yates, F.abs(c["o"] - c["e"]))).otherwise(0.0), 2),
-        c["e"]))
-    out = agg.select("variable", term.alias("chi2"), dof.cast("int").alias("dof"), "n_levels", "n_groups")
+    n = F.col("n").cast("double")
+    plain = F.col("_s") - n
+    yates = (F.pow(F.greatest(F.col("_d") - F.lit(0.5), F.lit(0.0)), 2) * n * n * n
+             / (F.col("_rprod").cast("double") * F.col("_cprod").cast("double")))
+    stat = F.when(dof == 1, yates).otherwise(plain) if correction else plain
+    out = g.select("variable", stat.alias("chi2"), dof.cast("int").alias("dof"), "n_levels", "n_groups")
     return out.withColumn("p_value", chi2_pvalue("chi2", "dof")) if with_p else out
 
 

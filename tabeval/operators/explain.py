@@ -277,8 +277,7 @@ def shap_importance(shap: DataFrame, k: int = 15) -> DataFrame:
 def shap_points(shap: DataFrame, k: int = 15) -> DataFrame:
     """Beeswarm data: every (row, feature) point of the top-k features, with the rank."""
     imp = shap_importance(shap, k).select("model", "feature", "rank")
-    # imp holds at most k rows per model
-    return shap.join(F.broadcast(imp), ["model", "feature"]).select(
+    return shap.join(imp, ["model", "feature"]).select(
         "model", "feature", "rank", "row_id", "value", "phi")
 
 

@@ -133,3 +133,25 @@ SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 5""")
 def q_head_rows(spark, sf_dir):
     ev = testdata_table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     return pr.head(ev, 5, "event_id")
+
+
+@register("rows_by_id", f"""WITH {FENCES_SQL},
+ids AS (SELECT event_id FROM events, f2 WHERE f2.variable = 'value' AND (value < f2.lower OR value > f2.upper))
+SELECT event_id, user_id, event_type, value FROM events WHERE event_id IN (SELECT event_id FROM ids)""")
+def q_rows_by_id(spark, sf_dir):
+    """Look the flagged rows up again by their ids (left-semi join)."""
+    from tabeval.operators.frame import rows_by_id
+    ev = testdata_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    ids = pr.iqr_outliers(ev, "value").select("event_id")
+    return rows_by_id(ev, ids, "event_id")
+
+
+@register("to_long", """
+SELECT o_orderkey, feature, round(value, 6) AS value FROM (
+  SELECT o_orderkey, 'o_totalprice' AS feature, o_totalprice::DOUBLE AS value FROM orders
+  UNION ALL SELECT o_orderkey, 'o_custkey', o_custkey::DOUBLE FROM orders)""")
+def q_to_long(spark, sf_dir):
+    """Wide to long over every order."""
+    from tabeval.operators.frame import to_long
+    o = testdata_table(spark, sf_dir, "orders")
+    return rounded(to_long(o, ["o_orderkey"], ["o_totalprice", "o_custkey"]))

@@ -51,3 +51,20 @@ def test_save_load_model_and_features(spark):
     assert a == b
     io.save_features(spark, ["glucose", "age", "bmi"], os.path.join(d, "features"))
     assert io.load_features(spark, os.path.join(d, "features")) == ["glucose", "age", "bmi"]
+
+
+def test_grid_search_and_default_vs_tuned(spark):
+    from tabeval.operators import classify as cl
+    data = spark.range(300).select(F.col("id").alias("row_id"), ((F.col("id") * 7) % 3 == 0).cast("int").alias("y"),
+                                   ((F.col("id") * 7) % 3).cast("double").alias("a"),
+                                   (F.col("id") % 11).cast("double").alias("b"))
+    tr, va = data.where("row_id % 4 <> 0"), data.where("row_id % 4 = 0")
+    pipe = cl.spec("tree", ["a", "b"])
+    grid = cl.param_grid(pipe, {"maxDepth": [1, 3], "minInstancesPerNode": [1, 5]})
+    table, best = cl.grid_search(pipe, grid, tr, va)
+    rows = table.orderBy("ordinal").collect()
+    assert [r.ordinal for r in rows] == [0, 1, 2, 3] and all(r.auc == 1.0 for r in rows)
+    # first strict maximum wins: ordinal 0
+    assert best.stages[1].getOrDefault("maxDepth") == 1
+    cmp = {r.param: (r.default, r.tuned) for r in cl.compare_params(pipe.fit(tr), best).collect()}
+    assert cmp["maxDepth"] == ("5", "1")
