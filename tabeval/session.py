@@ -59,3 +59,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    For an intermediate result that several later steps read: the input behind it
+    is scanned once, the lineage is cut, the copy survives lost executors, and the
+    optimizer sees its real size (AQE broadcasts it only if it is small).
+    """
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

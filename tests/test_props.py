@@ -210,3 +210,26 @@ def test_tails_known_values():
     assert chi2_sf(3.841458820694124, 1.0) == pytest.approx(0.05, abs=1e-9)
     assert chi2_sf(0.0, 2.0) == 1.0
     assert math.isnan(t_two_sided(float("nan"), 3.0))
+
+
+def test_miss_forest_keeps_observed_cells(spark):
+    from tabeval.operators import impute as im
+    rnd = random.Random(2)
+    rows = []
+    for i in range(200):
+        a = rnd.random() * 10
+        b = 2 * a + rnd.random()
+        rows.append((i, a, None if i % 9 == 0 else b, float(rnd.randint(0, 1)) if i % 13 else None))
+    df = spark.createDataFrame(rows, "row_id LONG, a DOUBLE, b DOUBLE, c DOUBLE")
+    out = im.miss_forest(df, ["a", "b", "c"], categorical=["c"], max_iter=2, num_trees=5)
+    got = {r.row_id: r for r in out.collect()}
+    assert len(got) == 200
+    for i, a, b, c in rows:
+        r = got[i]
+        assert r.a == a and r.b is not None and r.c is not None
+        if b is not None:
+            assert r.b == b
+        if c is not None:
+            assert r.c == c
+        else:
+            assert r.c in (0.0, 1.0)
