@@ -32,6 +32,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str =
     keys = list(keys)
     d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
           .where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
+    # the pairs are read by both rankings and the join: computed once, from one pass
+    checkpoint_dir(df.sparkSession)
+    d = d.checkpoint(eager=True)
     rx = avg_rank(d, keys, "_x", "_rx", n_buckets)
     ry = avg_rank(d, keys, "_y", "_ry", n_buckets)
     j = d.join(rx, keys + ["_x"]).join(ry, keys + ["_y"])

@@ -1,0 +1,59 @@
+"""The reference's study end to end on its own data (skipped when absent)."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import REFERENCE
+from tabeval.operators.frame import Roles
+from tabeval.plans import study
+from tabeval.sources.io import read_table
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(REFERENCE), reason="reference data absent")
+
+ROLES = Roles(label="diabetes", categorical=("gender", "exercise", "race", "his", "hyperlip", "pregnant"),
+              continuous=("age", "glucose", "pressure", "triceps", "bmi", "pedigree", "insulin"))
+SMALL = {
+    "Decision Tree": ("tree", {"maxDepth": 4}),
+    "Random Forest": ("forest", {"numTrees": 20}),
+    "XGBoost": ("gbt", {"maxIter": 10, "maxDepth": 3}),
+    "LightGBM": ("gbt_leafy", {"maxIter": 10, "num_leaves": 8}),
+    "SVM": ("svm", {"kernel": "rbf", "n_components": 20}),
+    "ANN": ("mlp", {"hidden": [10], "maxIter": 50}),
+}
+
+
+def test_prepare_from_raw(spark):
+    raw = read_table(spark, os.path.join(REFERENCE, "data", "raw", "diabetes_raw.csv")).withColumn(
+        "row_id", F.monotonically_increasing_id())  # one small file: file order
+    prep = study.prepare(raw, ROLES, repair_column="glucose", impute_params={"max_iter": 2, "num_trees": 20})
+    assert prep.train.count() == 438 and prep.test.count() == 189
+    assert prep.train.where("diabetes = 1").count() == 147
+    assert prep.train.where("insulin IS NULL").count() == 0
+    assert prep.train.where("glucose > 500").count() + prep.test.where("glucose > 500").count() == 0
+    assert set(prep.selected) <= set(ROLES.features) and prep.selected
+    assert prep.balance.where("variable = 'diabetes'").count() == 2
+
+
+def test_evaluate_and_explain_on_the_shipped_split(spark):
+    tr = read_table(spark, os.path.join(REFERENCE, "data", "processed", "train_data_notscaled.csv"), row_id="_c0")
+    te = read_table(spark, os.path.join(REFERENCE, "data", "processed", "test_data_notscaled.csv"), row_id="_c0")
+    from tabeval.operators import scale as sc
+    stats = sc.fit_scaler(tr, ROLES.continuous)
+    prep = study.Prepared(tr, te, sc.apply_scaler(tr, stats, ROLES.continuous),
+                          sc.apply_scaler(te, stats, ROLES.continuous), None, None, None,
+                          ["exercise", "hyperlip", "pregnant", "glucose", "pressure", "insulin"])
+    models, scored, val, test = study.fit_and_evaluate(prep, ROLES, SMALL)
+    t = {r.model: r for r in test.collect()}
+    assert set(t) == {"Logistic", *SMALL}
+    assert t["Logistic"].auc == pytest.approx(0.8504661123708742, abs=1e-9)
+    assert all(r.n == 189 for r in t.values())
+    assert {r.model: r.n for r in val.collect()}["Logistic"] == 438
+    learners = {k: v for k, v in models.items() if k != "Logistic"}
+    shap, direction, mean_abs, table, radar = study.explain_and_compare(
+        prep, ROLES, learners, n_background=10, n_eval=40, mode="kernel", n_coalitions=40)
+    rows = table.collect()
+    assert len(rows) <= 13 and all(0.0 <= r.Q_agree <= 1.0 and 0.0 <= r.I_norm <= 1.0 for r in rows)
+    assert direction.count() == 6 * 13
+    assert radar.count() == min(8, len(rows))
