@@ -46,8 +46,9 @@ def stratified_split(df: DataFrame, strata: str | Sequence[str], test_size: floa
     key = md5_order(seed, id_col)
     x = (df.withColumn("_key", key)
            .withColumn("_b", F.conv(F.substring("_key", 1, hex_digits), 16, 10).cast("long")))
-    alloc = _allocation(x.groupBy(*strata).agg(F.count(F.lit(1)).alias("_c")), strata, test_size)
     bc = x.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_bc"))
+    # stratum sizes are sums of the range counts: no second pass over the rows
+    alloc = _allocation(bc.groupBy(*strata).agg(F.sum("_bc").alias("_c")), strata, test_size)
     wb = Window.partitionBy(*strata).orderBy("_b")
     bc = bc.withColumn("_before", F.coalesce(F.sum("_bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
                                              F.lit(0)))
