@@ -23,7 +23,7 @@ from tabeval.session import checkpoint_dir
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str = "spearman_r",
-             n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+             n_buckets: int = DEFAULT_BUCKETS, materialize: bool = True) -> DataFrame:
     """Spearman rank correlation of x and y per key group (average ranks for ties).
 
     NULL when either side is constant (the correlation is undefined); pairs with a
@@ -32,9 +32,10 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str =
     keys = list(keys)
     d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
           .where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
-    # the pairs are read by both rankings and the join: computed once, from one pass
-    checkpoint_dir(df.sparkSession)
-    d = d.checkpoint(eager=True)
+    if materialize:
+        # the pairs are read by both rankings and the join: computed once, from one pass
+        checkpoint_dir(df.sparkSession)
+        d = d.checkpoint(eager=True)
     rx = avg_rank(d, keys, "_x", "_rx", n_buckets)
     ry = avg_rank(d, keys, "_y", "_ry", n_buckets)
     j = d.join(rx, keys + ["_x"]).join(ry, keys + ["_y"])
@@ -43,9 +44,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str =
         F.count(F.lit(1)).alias("n"))
 
 
-def shap_direction(shap: DataFrame, tol: float = SIGN_TOL) -> DataFrame:
+def shap_direction(shap: DataFrame, tol: float = SIGN_TOL, materialize: bool = True) -> DataFrame:
     """(model, feature, spearman_r, sign): direction of each feature in each model."""
-    r = spearman(shap, ["model", "feature"], "value", "phi")
+    r = spearman(shap, ["model", "feature"], "value", "phi", materialize=materialize)
     return r.select("model", "feature", "spearman_r", direction_sign("spearman_r", tol).alias("sign"))
 
 
@@ -126,7 +127,7 @@ def consistency(shap: DataFrame, tol: float = SIGN_TOL, materialize: bool = True
     if materialize:
         checkpoint_dir(shap.sparkSession)
         shap = shap.checkpoint(eager=True)
-    return consistency_table(shap_direction(shap, tol), shap_mean_abs(shap), tol)
+    return consistency_table(shap_direction(shap, tol, materialize=not materialize), shap_mean_abs(shap), tol)
 
 
 def radar_frame(table: DataFrame, top_k: int = 8, use_metric: str = "S_abs") -> DataFrame:

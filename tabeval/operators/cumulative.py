@@ -25,9 +25,12 @@ TARGET_RANGE_ROWS = 2_000_000   # rows per (key, range) the window may hold
 
 
 def _levels_for(df: DataFrame, keys: Sequence[str], n_buckets: int, target: int) -> int:
-    """How many nested range cuts keep the largest key group under ``target`` rows per range."""
+    """How many nested range cuts keep the largest key group under ``target`` rows per
+    range; 0 when the largest group is itself small enough for one task."""
     g = df.groupBy(*keys).count() if keys else df.select(F.count(F.lit(1)).alias("count"))
     biggest = g.agg(F.max("count")).first()[0] or 0   # one number
+    if biggest <= target:
+        return 0
     levels = 1
     while biggest > target * n_buckets ** levels and levels < 4:
         levels += 1
@@ -66,20 +69,29 @@ def _bucketed(df: DataFrame, keys: Sequence[str], order_col: str, n_buckets: int
 def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, value_cols: Sequence[str],
                 descending: bool = True, lead_cols: Sequence[str] = (),
                 n_buckets: int = DEFAULT_BUCKETS, accuracy: int = 1000, levels: int | None = None,
-                target_rows: int = TARGET_RANGE_ROWS) -> DataFrame:
+                target_rows: int | None = None) -> DataFrame:
     """Add ``<v>_before`` = sum of ``v`` over rows of the same ``keys`` strictly earlier
     in the order of ``order_col``, and ``<c>_next`` = ``c`` of the next row.
 
     Rows must be unique on ``keys + [order_col]`` (aggregate to distinct values first).
     ``levels`` of nested range cuts: by default as many as keep the largest key
-    group under ``target_rows`` rows per range.
+    group under ``target_rows`` rows per range, and none (one window per key group)
+    when the largest group is already under it.
     """
     keys = list(keys)
     value_cols = list(value_cols)
     lead_cols = list(lead_cols)
     base_cols = df.columns
     if levels is None:
-        levels = _levels_for(df, keys, n_buckets, target_rows)
+        levels = _levels_for(df, keys, n_buckets, target_rows or TARGET_RANGE_ROWS)
+    if levels == 0:
+        # the largest group fits one task (checked above): the plain window
+        w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc() if descending else F.col(order_col).asc())
+        return df.select(
+            *base_cols,
+            *[F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{v}_before")
+              for v in value_cols],
+            *[F.lead(c).over(w).alias(f"{c}_next") for c in lead_cols])
     x = _bucketed(df, keys, order_col, n_buckets, accuracy, levels)
     o = F.col(order_col)
     ob = F.col("_bucket")

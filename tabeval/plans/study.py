@@ -122,7 +122,7 @@ def explain_and_compare(prep: Prepared, roles: Roles, models: dict, n_background
     # every later step reads the explanations: compute them once
     checkpoint_dir(shap.sparkSession)
     shap = shap.checkpoint(eager=True)
-    direction = cs.shap_direction(shap)
+    direction = cs.shap_direction(shap, materialize=False)
     mean_abs = cs.shap_mean_abs(shap)
     table = cs.consistency_table(direction, mean_abs)
     return shap, direction, mean_abs, table, cs.radar_frame(table)

@@ -54,6 +54,13 @@ def test_auc_matches_pairs_and_is_rank_invariant(spark):
     rows = [("d", "m", i, rnd.randint(0, 1), round(rnd.random(), 2)) for i in range(400)]
     df = scored_df(spark, rows)
     a = ev.auc(df, n_buckets=8).first().auc
+    from tabeval.operators import cumulative as cu
+    old = cu.TARGET_RANGE_ROWS
+    cu.TARGET_RANGE_ROWS = 10     # force the range cut on this small input
+    try:
+        assert ev.auc(df, n_buckets=8).first().auc == pytest.approx(a, abs=1e-15)
+    finally:
+        cu.TARGET_RANGE_ROWS = old
     assert a == pytest.approx(brute_auc([r[3] for r in rows], [r[4] for r in rows]), abs=1e-12)
     mono = df.withColumn("p", F.col("p") * F.col("p") * 0.5)   # strictly increasing on [0, 1]
     assert ev.auc(mono, n_buckets=8).first().auc == pytest.approx(a, abs=1e-12)
@@ -68,7 +75,7 @@ def test_prefix_sums_equal_plain_window_under_skew(spark):
     want = df.select("k", "v", F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                           F.lit(0)).alias("w_before"), F.lead("w").over(w).alias("w_next"))
     b = {(r.k, r.v): (r.w_before, r.w_next) for r in want.collect()}
-    for levels in (1, 2):
+    for levels in (0, 1, 2):
         got = prefix_sums(df, ["k"], "v", ["w"], descending=True, lead_cols=["w"], n_buckets=3, levels=levels)
         assert {(r.k, r.v): (r.w_before, r.w_next) for r in got.collect()} == b
     # the depth follows the size of the largest group
