@@ -34,13 +34,15 @@ def _allocation(counts: DataFrame, strata: list[str], test_size: float) -> DataF
 
 
 def stratified_split(df: DataFrame, strata: str | Sequence[str], test_size: float = 0.3, seed: int = 2025,
-                     id_col: str = "row_id", hex_digits: int = 4, out_col: str = "split") -> DataFrame:
+                     id_col: str = "row_id", hex_digits: int = 4, out_col: str = "split",
+                     max_window_rows: int = 2_000_000) -> DataFrame:
     """Adds ``split`` = 'train' / 'test' with exact sizes per stratum.
 
     Within a stratum the first ``train_n`` rows in md5 order are training rows.  The
     order is cut into 16**hex_digits ranges by the leading hex digits of the key;
     counts per (stratum, range) locate the one range holding the cut, and only the
-    rows of that range are ranked.  No window ever spans a whole stratum.
+    rows of that range are ranked.  A window spans a whole stratum only when the
+    largest stratum has at most ``max_window_rows`` rows (checked first).
     """
     strata = [strata] if isinstance(strata, str) else list(strata)
     key = md5_order(seed, id_col)
@@ -49,6 +51,13 @@ def stratified_split(df: DataFrame, strata: str | Sequence[str], test_size: floa
     bc = x.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_bc"))
     # stratum sizes are sums of the range counts: no second pass over the rows
     alloc = _allocation(bc.groupBy(*strata).agg(F.sum("_bc").alias("_c")), strata, test_size)
+    cols = df.columns + [out_col]
+    biggest = alloc.agg(F.max("_c")).first()[0] or 0   # one number
+    if biggest <= max_window_rows:
+        # every stratum fits one task (checked): rank the rows of each stratum directly
+        rn = F.row_number().over(Window.partitionBy(*strata).orderBy("_key", id_col))
+        y = x.join(alloc.select(*strata, "_train_n"), strata, "left")
+        return y.withColumn(out_col, F.when(rn <= F.col("_train_n"), "train").otherwise("test")).select(*cols)
     wb = Window.partitionBy(*strata).orderBy("_b")
     bc = bc.withColumn("_before", F.coalesce(F.sum("_bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
                                              F.lit(0)))
@@ -64,7 +73,6 @@ def stratified_split(df: DataFrame, strata: str | Sequence[str], test_size: floa
     ranked = (y.where(is_cut)
                 .withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy("_key", id_col)))
                 .withColumn(out_col, F.when(F.col("_rn") <= F.col("_need"), "train").otherwise("test")))
-    cols = df.columns + [out_col]
     return simple.select(*cols).unionByName(ranked.select(*cols))
 
 

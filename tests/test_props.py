@@ -116,11 +116,13 @@ def test_decision_curve_equals_definition(spark):
 
 def test_split_exact_disjoint_and_stable(spark):
     df = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("y"))
-    a = sp.stratified_split(df, "y", 0.3, 11, "row_id", hex_digits=1)
-    b = sp.stratified_split(df.repartition(7), "y", 0.3, 11, "row_id", hex_digits=1)
+    a = sp.stratified_split(df, "y", 0.3, 11, "row_id", hex_digits=1, max_window_rows=0)   # range cut
+    b = sp.stratified_split(df.repartition(7), "y", 0.3, 11, "row_id", hex_digits=1, max_window_rows=0)
+    c = sp.stratified_split(df, "y", 0.3, 11, "row_id")                                     # one window
     ra = {r.row_id: r.split for r in a.collect()}
     rb = {r.row_id: r.split for r in b.collect()}
-    assert ra == rb and len(ra) == 1000
+    rc = {r.row_id: r.split for r in c.collect()}
+    assert ra == rb == rc and len(ra) == 1000
     assert sum(1 for v in ra.values() if v == "test") == 300
     # a stratum with one row, and a sample larger than the table
     one = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "row_id LONG, y INT")
