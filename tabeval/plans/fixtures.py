@@ -79,3 +79,28 @@ def scored_sql() -> str:
 def events_features_sql() -> str:
     cols = ", ".join(f"{e} AS {n}" for n, e in EVENT_FEATURES)
     return f"SELECT event_id AS row_id, {cols} FROM events"
+
+
+# Fixed scores over labels joined with documents (y = toxic, dataset = language).
+DOC_MODELS = [
+    ("length", "n_chars / (n_chars + CAST(5000.0 AS DOUBLE))"),
+    ("shortness", "CAST(5000.0 AS DOUBLE) / (n_chars + CAST(5000.0 AS DOUBLE))"),
+]
+
+
+def scored_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dataset, model, row_id, y, p) from labels joined with documents on doc_id;
+    only doc_id, lang and n_chars are read from documents (never the text)."""
+    lab = testdata_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    doc = testdata_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    j = lab.join(doc, "doc_id")
+    models = F.array(*[F.struct(F.lit(n).alias("model"), F.expr(e).alias("p")) for n, e in DOC_MODELS])
+    return (j.select(F.col("lang").alias("dataset"), F.col("doc_id").alias("row_id"),
+                     F.col("toxic").cast("int").alias("y"), F.explode(models).alias("_m"))
+             .select("dataset", F.col("_m.model").alias("model"), "row_id", "y", F.col("_m.p").alias("p")))
+
+
+def scored_docs_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT d.lang AS dataset, '{n}' AS model, l.toxic::INTEGER AS y, {e} AS p "
+        f"FROM labels l JOIN documents d USING (doc_id)" for n, e in DOC_MODELS)

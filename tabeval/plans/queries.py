@@ -165,3 +165,9 @@ SELECT nb.dataset, nb.model, round(nb.t, 6) AS threshold,
 FROM nb JOIN tot USING (dataset, model)""")
 def q_decision_curve(spark, sf_dir):
     return rounded(ev.decision_curve(_scored(spark, sf_dir)))
+
+
+@register("model_table_docs", MODEL_TABLE_SQL.replace(SCORED, f"WITH scored AS ({fx.scored_docs_sql()})", 1))
+def q_model_table_docs(spark, sf_dir):
+    """The comparison table over a second, join-fed source: labels x documents."""
+    return rounded(ev.model_table(fx.scored_docs(spark, sf_dir)))

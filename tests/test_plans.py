@@ -42,3 +42,11 @@ def test_range_cut_windows_are_keyed_by_range(spark):
     # the row-level window is partitioned by the key and the range, never by the key alone
     row_windows = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[[^\]]*p#", logical)
     assert row_windows and all("_bucket" in w for w in row_windows)
+
+
+def test_join_source_never_reads_document_text(spark, sf_dir):
+    from tabeval.plans import fixtures as fx
+    tree = fx.scored_docs(spark, sf_dir)._jdf.queryExecution().executedPlan().treeString()
+    schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", tree)
+    assert any("n_chars" in s for s in schemas)
+    assert all("text" not in s for s in schemas)
