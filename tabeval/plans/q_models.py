@@ -132,3 +132,11 @@ def q_shap_fitted_model(spark, sf_dir):
     bg = sample_n(train, 10, SEED, "row_id")
     shap = xp.kernel_shap(test, bg, ORDER_FEATURES, {"gbt": m}, mode="exact", prob_col="p")
     return rounded(shap)
+
+
+@register("logistic_summary")
+def q_logistic_summary(spark, sf_dir):
+    """M7: the final logistic model's summary (coefficients, SE, z, p, AIC, deviance)."""
+    d = orders_problem(spark, sf_dir)
+    m = se.fit_logistic(d.where(F.col("split") == "train"), "y", ORDER_FEATURES)
+    return rounded(se.logistic_summary(m, ORDER_FEATURES))
