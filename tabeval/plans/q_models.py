@@ -19,6 +19,7 @@ from tabeval.operators.split import sample_n, stratified_split
 from tabeval.plans import fixtures as fx
 from tabeval.plans.queries import register
 from tabeval.plans.report import rounded
+from tabeval.session import checkpoint_dir
 from tabeval.sources.io import testdata_table
 
 SEED = 2025
@@ -84,7 +85,8 @@ def q_classifier_table(spark, sf_dir):
     """Six learners trained on the training split, scored on the test split in one
     ``scored`` table, compared by one ``model_table`` job."""
     d = orders_problem(spark, sf_dir)
-    train = d.where(F.col("split") == "train").cache()
+    checkpoint_dir(spark)
+    train = d.where(F.col("split") == "train").checkpoint(eager=True)   # iterative fits read it often
     test = d.where(F.col("split") == "test")
     models = {name: p.fit(train) for name, p in _classifier_specs().items()}
     return rounded(ev.model_table(cl.score_all(models, test, "test")))
@@ -95,7 +97,8 @@ def q_grid_search(spark, sf_dir):
     d = orders_problem(spark, sf_dir)
     train_all = d.where(F.col("split") == "train").drop("split")
     inner = stratified_split(train_all, "y", 0.3, 123, id_col="row_id")
-    tr = inner.where(F.col("split") == "train").cache()
+    checkpoint_dir(spark)
+    tr = inner.where(F.col("split") == "train").checkpoint(eager=True)
     va = inner.where(F.col("split") == "test")
     pipe = cl.spec("tree", ORDER_FEATURES)
     grid = cl.param_grid(pipe, {"maxDepth": [2, 4, 6], "minInstancesPerNode": [5, 20]})
