@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import functions as F
 
 from tabeval.operators import consistency as cs
 from tabeval.operators import explain as xp

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tabeval.operators import profile as pr
 from tabeval.plans import fixtures as fx
