@@ -23,7 +23,7 @@ from tabeval.session import checkpoint_dir
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str = "spearman_r",
-             n_buckets: int = DEFAULT_BUCKETS, materialize: bool = True) -> DataFrame:
+             n_buckets: int = DEFAULT_BUCKETS, materialize: bool = True, levels: int | None = None) -> DataFrame:
     """Spearman rank correlation of x and y per key group (average ranks for ties).
 
     NULL when either side is constant (the correlation is undefined); pairs with a
@@ -36,8 +36,8 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str =
         # the pairs are read by both rankings and the join: computed once, from one pass
         checkpoint_dir(df.sparkSession)
         d = d.checkpoint(eager=True)
-    rx = avg_rank(d, keys, "_x", "_rx", n_buckets)
-    ry = avg_rank(d, keys, "_y", "_ry", n_buckets)
+    rx = avg_rank(d, keys, "_x", "_rx", n_buckets, levels)
+    ry = avg_rank(d, keys, "_y", "_ry", n_buckets, levels)
     j = d.join(rx, keys + ["_x"]).join(ry, keys + ["_y"])
     return j.groupBy(*keys).agg(
         F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias(out_col),

@@ -126,7 +126,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, value_cols:
 
 
 def avg_rank(df: DataFrame, keys: Sequence[str], value_col: str, out_col: str = "rank",
-             n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+             n_buckets: int = DEFAULT_BUCKETS, levels: int | None = None) -> DataFrame:
     """Ascending rank of ``value_col`` within ``keys``, ties averaged (1-based), NULL kept NULL.
 
     Returns one row per distinct (keys, value): join it back where needed.
@@ -134,6 +134,6 @@ def avg_rank(df: DataFrame, keys: Sequence[str], value_col: str, out_col: str =
     keys = list(keys)
     d = (df.where(F.col(value_col).isNotNull())
            .groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
-    c = prefix_sums(d, keys, value_col, ["_cnt"], descending=False, n_buckets=n_buckets)
+    c = prefix_sums(d, keys, value_col, ["_cnt"], descending=False, n_buckets=n_buckets, levels=levels)
     return c.select(*keys, value_col,
                     (F.col("_cnt_before") + (F.col("_cnt") + F.lit(1)) / F.lit(2.0)).alias(out_col))

@@ -76,7 +76,7 @@ def confusion_from_counts(counts: DataFrame, cut: float = 0.5, keys: Sequence[st
 
 
 def auc(scored: DataFrame, keys: Sequence[str] = KEYS, n_buckets: int = DEFAULT_BUCKETS,
-        counts: DataFrame | None = None) -> DataFrame:
+        counts: DataFrame | None = None, levels: int | None = None) -> DataFrame:
     """ROC AUC with ties counted one half (Mann-Whitney), plus n, positives, negatives.
 
     Pair counts are summed as DECIMAL(38,0): exact, so the result does not depend
@@ -84,7 +84,7 @@ def auc(scored: DataFrame, keys: Sequence[str] = KEYS, n_buckets: int = DEFAULT_
     """
     keys = list(keys)
     counts = counts if counts is not None else score_counts(scored, keys)
-    c = prefix_sums(counts, keys, "p", ["pos"], descending=True, n_buckets=n_buckets)
+    c = prefix_sums(counts, keys, "p", ["pos"], descending=True, n_buckets=n_buckets, levels=levels)
     dec = "decimal(38,0)"
     pairs2 = F.col("neg").cast(dec) * (F.lit(2) * F.col("pos_before") + F.col("pos")).cast(dec)
     g = c.groupBy(*keys).agg(
@@ -118,14 +118,14 @@ def model_table(scored: DataFrame, cut: float = 0.5, keys: Sequence[str] = KEYS,
 
 
 def roc_curve(scored: DataFrame, keys: Sequence[str] = KEYS, drop_collinear: bool = True,
-              n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              n_buckets: int = DEFAULT_BUCKETS, levels: int | None = None) -> DataFrame:
     """ROC points: the origin (threshold NULL), then one point per distinct score,
     descending.  With ``drop_collinear`` a point is kept only where the step to the
     next point differs from the step that reached it (plus the first and last)."""
     keys = list(keys)
     counts = score_counts(scored, keys)
     c = prefix_sums(counts, keys, "p", ["pos", "neg"], descending=True,
-                    lead_cols=["pos", "neg"] if drop_collinear else [], n_buckets=n_buckets)
+                    lead_cols=["pos", "neg"] if drop_collinear else [], n_buckets=n_buckets, levels=levels)
     tot = counts.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     c = c.join(tot, keys, "left")
     tps = F.col("pos_before") + F.col("pos")

@@ -77,7 +77,8 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float] = (0.25, 0.5, 0.75),
-              exact: bool = True, accuracy: int = 10000, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              exact: bool = True, accuracy: int = 10000, n_buckets: int = DEFAULT_BUCKETS,
+              levels: int | None = None) -> DataFrame:
     """(variable, q, value): linear-interpolation quantiles (numpy/pandas 'linear').
 
     Exact mode never gathers a column in one task: values are counted, ranked by
@@ -96,7 +97,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float] = (0.25
     # the value counts feed bounds, range totals, ordered sums and n: written once
     checkpoint_dir(df.sparkSession)
     d = d.checkpoint(eager=True)
-    c = prefix_sums(d, ["variable"], "value", ["cnt"], descending=False, n_buckets=n_buckets)
+    c = prefix_sums(d, ["variable"], "value", ["cnt"], descending=False, n_buckets=n_buckets, levels=levels)
     n = d.groupBy("variable").agg(F.sum("cnt").alias("n"))
     h = (F.col("n") - F.lit(1)).cast("double") * F.col("q")
     targets = (n.select(F.col("variable").alias("_tcol"), "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))

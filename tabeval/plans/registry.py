@@ -5,3 +5,4 @@ from tabeval.plans import q_profile  # noqa: F401
 from tabeval.plans import q_prep  # noqa: F401
 from tabeval.plans import q_explain  # noqa: F401
 from tabeval.plans import q_models  # noqa: F401
+from tabeval.plans import q_scale  # noqa: F401
