@@ -126,6 +126,8 @@ def balance_table(df: DataFrame, group: str, categorical: Sequence[str], continu
     cat = balance_categorical(df, group, categorical).withColumn(
         "cell", F.format_string("%d (%.1f)", F.col("n"), F.col("pct")))
     cat = cat.groupBy("variable", "level").pivot("group", labels).agg(F.first("cell"))
+    # a level seen overall but not in a group is a zero count there
+    cat = cat.select("variable", "level", *[F.coalesce(F.col(g), F.lit("0 (0.0)")).alias(g) for g in labels])
     miss = balance_means(df, group, continuous).where(F.col("group") == OVERALL).select("variable", "n_missing")
     con = balance_means(df, group, continuous).withColumn(
         "cell", F.format_string("%.1f (%.1f)", F.col("mean"), F.col("sd")))

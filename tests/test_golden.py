@@ -184,3 +184,19 @@ def test_consistency_aggregator_reproduces_published_table(spark):
     radar = cs.radar_frame(cs.consistency_table(direction, mean_abs), top_k=8).orderBy("position").collect()
     assert [r.feature for r in radar] == list(gold)[:8]
     assert radar[0].label == "glucose (+)" and radar[1].angle == pytest.approx(2 * math.pi / 8)
+
+
+def test_balance_table_cells_equal_the_published_table(spark, train, test):
+    import csv
+    both = sp.union_tagged({"train_set": train, "test_set": test}, "group")
+    ours = {(r.variable, r.level): r for r in
+            bl.balance_table(both, "group", CATEGORICAL, CONTINUOUS, ["test_set", "train_set"]).collect()}
+    with open(ref("results", "tables", "varbalance_table.csv"), encoding="utf-8-sig") as f:
+        rows = list(csv.reader(f))[3:]          # two header lines and the n row
+    assert len(rows) == len(ours)
+    for name, level, missing, overall, test_cell, train_cell, p in rows:
+        var = name.split(",")[0]
+        r = ours[(var, level)]
+        assert (r.Overall, r.test_set, r.train_set) == (overall, test_cell, train_cell), (var, level)
+        assert (r.p_value or "") == p, (var, level)
+        assert (str(r.n_missing) if r.n_missing is not None else "") == missing, (var, level)
