@@ -44,7 +44,9 @@ class Prepared:
 
 
 def prepare(raw: DataFrame, roles: Roles, repair_column: str | None = None, test_size: float = 0.3,
-            seed: int = 2025, impute: bool = True, impute_params: dict | None = None) -> Prepared:
+            seed: int = 2025, impute: bool = True, impute_params: dict | None = None,
+            round_columns: tuple[str, ...] = ()) -> Prepared:
+    """``round_columns``: imputed integer-valued columns rounded half to even afterwards."""
     df = raw
     if repair_column:
         df = pr.iqr_repair(df, repair_column)
@@ -52,6 +54,8 @@ def prepare(raw: DataFrame, roles: Roles, repair_column: str | None = None, test
         cols = [roles.label, *roles.features]
         df = im.miss_forest(df, cols, categorical=roles.categorical, exclude=[roles.label], seed=seed,
                             **(impute_params or {}))
+        for c in round_columns:
+            df = df.withColumn(c, pr.half_even(c, 0))
     split = sp.stratified_split(df, roles.label, test_size, seed, roles.row_id)
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")

@@ -27,7 +27,16 @@ SMALL = {
 def test_prepare_from_raw(spark):
     raw = read_table(spark, os.path.join(REFERENCE, "data", "raw", "diabetes_raw.csv")).withColumn(
         "row_id", F.monotonically_increasing_id())  # one small file: file order
-    prep = study.prepare(raw, ROLES, repair_column="glucose", impute_params={"max_iter": 2, "num_trees": 20})
+    prep = study.prepare(raw, ROLES, repair_column="glucose", impute_params={"max_iter": 2, "num_trees": 20},
+                         round_columns=("insulin",))
+    both = {r.row_id: r for r in prep.train.unionByName(prep.test).collect()}
+    for r in raw.collect():
+        b = both[r.row_id]
+        if r.insulin is not None:
+            assert b.insulin == r.insulin                      # observed cells unchanged
+        else:
+            assert b.insulin == round(b.insulin)               # imputed cells are whole numbers
+        assert b.glucose == {0: 118, 13: 99}.get(r.row_id, r.glucose)
     assert prep.train.count() == 438 and prep.test.count() == 189
     assert prep.train.where("diabetes = 1").count() == 147
     assert prep.train.where("insulin IS NULL").count() == 0
