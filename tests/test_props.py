@@ -242,3 +242,19 @@ def test_miss_forest_keeps_observed_cells(spark):
             assert r.c == c
         else:
             assert r.c in (0.0, 1.0)
+
+
+def test_sampled_kernel_shap_is_exact_for_a_linear_model(spark):
+    rnd = random.Random(8)
+    feats = ["a", "b", "c", "d", "e"]
+    df = spark.createDataFrame([(i, *[rnd.random() for _ in feats]) for i in range(20)],
+                               "row_id LONG, " + ", ".join(f"{f} DOUBLE" for f in feats))
+    bg = sp.sample_n(df, 6, 3, "row_id")
+    w = {"a": 0.4, "b": -0.2, "c": 0.1, "d": 0.05, "e": -0.3}
+    lin = xp.SqlModel("lin", "0.1 + " + " + ".join(f"({v}) * {f}" for f, v in w.items()))
+    masks, _ = xp.kernel_map(5, 16, seed=4)
+    assert len(masks) == 18                      # 16 sampled + empty + full: fewer than the 32 subsets
+    out = xp.kernel_shap(df, bg, feats, [lin], mode="kernel", n_coalitions=16, seed=4)
+    m = bg.agg(*[F.avg(f).alias(f) for f in feats]).first()
+    for r in out.collect():
+        assert r.phi == pytest.approx(w[r.feature] * (r.value - m[r.feature]), abs=1e-9)
