@@ -22,26 +22,62 @@ from tabeval.operators.cumulative import DEFAULT_BUCKETS, avg_rank
 from tabeval.session import checkpoint_dir
 
 
+HOT_ROWS = 1_000_000            # input rows one join task may take for one value
+MAX_HOT_VALUES = 100_000        # hot values listed in a broadcast; beyond it, AQE splits skew
+
+
+def _salted_join(big: DataFrame, ranks: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
+    """Join ``big`` to the rank table on ``on``; a value carried by more than
+    ``hot_rows`` rows of ``big`` is spread over ceil(rows / hot_rows) salted tasks
+    (its rank row is copied that many times)."""
+    hot = ranks.where(F.col("_nrows") > hot_rows).select(
+        *on, F.ceil(F.col("_nrows") / F.lit(hot_rows)).cast("int").alias("_s"))
+    n_hot = hot.count()          # one number; the hot list is small by construction
+    r = ranks.drop("_cnt", "_nrows")
+    if n_hot == 0:
+        return big.join(r, on)
+    if n_hot > MAX_HOT_VALUES:
+        return big.join(r, on)   # too many to list: left to AQE's skew-join splitting
+    hot = F.broadcast(hot)
+    r2 = (r.join(hot, on, "left").withColumn("_s", F.coalesce("_s", F.lit(1)))
+           .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s"))
+    b2 = (big.join(hot, on, "left")
+             .withColumn("_salt", F.when(F.col("_s").isNull(), F.lit(0))
+                         .otherwise(F.pmod(F.xxhash64(*big.columns), F.col("_s")).cast("int"))).drop("_s"))
+    return b2.join(r2, on + ["_salt"]).drop("_salt")
+
+
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str = "spearman_r",
-             n_buckets: int = DEFAULT_BUCKETS, materialize: bool = True, levels: int | None = None) -> DataFrame:
+             n_buckets: int = DEFAULT_BUCKETS, materialize: bool = True, levels: int | None = None,
+             hot_rows: int = HOT_ROWS) -> DataFrame:
     """Spearman rank correlation of x and y per key group (average ranks for ties).
 
     NULL when either side is constant (the correlation is undefined); pairs with a
-    NULL/NaN side are left out first.
+    NULL/NaN side are left out first.  Repeated (x, y) pairs are collapsed with a
+    weight before anything is shuffled; ranks are joined back with salting for hot
+    values; the correlation is taken around the known mean rank (n+1)/2, so a
+    constant side has exactly zero spread.
     """
     keys = list(keys)
     d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
           .where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
+    pairs = d.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
     if materialize:
-        # the pairs are read by both rankings and the join: computed once, from one pass
+        # the pairs are read by both rankings and the joins: computed once, from one pass
         checkpoint_dir(df.sparkSession)
-        d = d.checkpoint(eager=True)
-    rx = avg_rank(d, keys, "_x", "_rx", n_buckets, levels)
-    ry = avg_rank(d, keys, "_y", "_ry", n_buckets, levels)
-    j = d.join(rx, keys + ["_x"]).join(ry, keys + ["_y"])
-    return j.groupBy(*keys).agg(
-        F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias(out_col),
-        F.count(F.lit(1)).alias("n"))
+        pairs = pairs.checkpoint(eager=True)
+    rx = avg_rank(pairs, keys, "_x", "_rx", n_buckets, levels, weight_col="_w")
+    ry = avg_rank(pairs, keys, "_y", "_ry", n_buckets, levels, weight_col="_w")
+    j = _salted_join(_salted_join(pairs, rx, keys + ["_x"], hot_rows), ry, keys + ["_y"], hot_rows)
+    n = pairs.groupBy(*keys).agg(F.sum("_w").alias("_n"))
+    j = j.join(n, keys)
+    m = (F.col("_n") + F.lit(1)) / F.lit(2.0)
+    dx = F.col("_rx") - m
+    dy = F.col("_ry") - m
+    w = F.col("_w")
+    g = j.groupBy(*keys).agg(F.sum(w * dx * dy).alias("_sxy"), F.sum(w * dx * dx).alias("_sxx"),
+                             F.sum(w * dy * dy).alias("_syy"), F.first("_n").alias("n"))
+    return g.select(*keys, F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy"))).alias(out_col), "n")
 
 
 def shap_direction(shap: DataFrame, tol: float = SIGN_TOL, materialize: bool = True) -> DataFrame:

@@ -126,14 +126,18 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, value_cols:
 
 
 def avg_rank(df: DataFrame, keys: Sequence[str], value_col: str, out_col: str = "rank",
-             n_buckets: int = DEFAULT_BUCKETS, levels: int | None = None) -> DataFrame:
+             n_buckets: int = DEFAULT_BUCKETS, levels: int | None = None,
+             weight_col: str | None = None) -> DataFrame:
     """Ascending rank of ``value_col`` within ``keys``, ties averaged (1-based), NULL kept NULL.
 
-    Returns one row per distinct (keys, value): join it back where needed.
+    Returns one row per distinct (keys, value) with ``_cnt`` (rows, or summed
+    ``weight_col`` when rows stand for several) and ``_nrows`` (input rows): join it
+    back where needed.
     """
     keys = list(keys)
+    w = F.col(weight_col) if weight_col else F.lit(1)
     d = (df.where(F.col(value_col).isNotNull())
-           .groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
+           .groupBy(*keys, value_col).agg(F.sum(w).alias("_cnt"), F.count(F.lit(1)).alias("_nrows")))
     c = prefix_sums(d, keys, value_col, ["_cnt"], descending=False, n_buckets=n_buckets, levels=levels)
-    return c.select(*keys, value_col,
+    return c.select(*keys, value_col, "_cnt", "_nrows",
                     (F.col("_cnt_before") + (F.col("_cnt") + F.lit(1)) / F.lit(2.0)).alias(out_col))

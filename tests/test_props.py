@@ -258,3 +258,29 @@ def test_sampled_kernel_shap_is_exact_for_a_linear_model(spark):
     m = bg.agg(*[F.avg(f).alias(f) for f in feats]).first()
     for r in out.collect():
         assert r.phi == pytest.approx(w[r.feature] * (r.value - m[r.feature]), abs=1e-9)
+
+
+def test_spearman_salted_join_under_a_hot_value(spark):
+    rnd = random.Random(11)
+    # one value of x carries most rows (a zero-inflated feature)
+    rows = [("m", "f", 0.0 if i % 3 else float(rnd.randint(1, 40)), rnd.random()) for i in range(600)]
+    df = spark.createDataFrame(rows, "model STRING, feature STRING, value DOUBLE, phi DOUBLE")
+    plain = cs.spearman(df, ["model", "feature"], "value", "phi", hot_rows=10 ** 9).first().spearman_r
+    salted = cs.spearman(df, ["model", "feature"], "value", "phi", hot_rows=7).first().spearman_r
+    xs = np.array([r[2] for r in rows])
+    ys = np.array([r[3] for r in rows])
+
+    def avg_ranks(a):
+        order = a.argsort(kind="mergesort")
+        ranks = np.empty(len(a))
+        i = 0
+        s = a[order]
+        while i < len(a):
+            j = i
+            while j + 1 < len(a) and s[j + 1] == s[i]:
+                j += 1
+            ranks[order[i:j + 1]] = (i + j) / 2.0 + 1
+            i = j + 1
+        return ranks
+    want = float(np.corrcoef(avg_ranks(xs), avg_ranks(ys))[0, 1])
+    assert plain == pytest.approx(want, abs=1e-12) and salted == pytest.approx(want, abs=1e-12)
