@@ -30,8 +30,9 @@ def _salted_join(big: DataFrame, ranks: DataFrame, on: list[str], hot_rows: int)
     """Join ``big`` to the rank table on ``on``; a value carried by more than
     ``hot_rows`` rows of ``big`` is spread over ceil(rows / hot_rows) salted tasks
     (its rank row is copied that many times)."""
-    hot = ranks.where(F.col("_nrows") > hot_rows).select(
-        *on, F.ceil(F.col("_nrows") / F.lit(hot_rows)).cast("int").alias("_s"))
+    # rows per value, counted on the (materialized) join input, not on the rank table
+    hot = (big.groupBy(*on).agg(F.count(F.lit(1)).alias("_nrows")).where(F.col("_nrows") > hot_rows)
+              .select(*on, F.ceil(F.col("_nrows") / F.lit(hot_rows)).cast("int").alias("_s")))
     n_hot = hot.count()          # one number; the hot list is small by construction
     r = ranks.drop("_cnt", "_nrows")
     if n_hot == 0:
@@ -163,7 +164,7 @@ def consistency(shap: DataFrame, tol: float = SIGN_TOL, materialize: bool = True
     if materialize:
         checkpoint_dir(shap.sparkSession)
         shap = shap.checkpoint(eager=True)
-    return consistency_table(shap_direction(shap, tol, materialize=not materialize), shap_mean_abs(shap), tol)
+    return consistency_table(shap_direction(shap, tol), shap_mean_abs(shap), tol)
 
 
 def radar_frame(table: DataFrame, top_k: int = 8, use_metric: str = "S_abs") -> DataFrame:
