@@ -69,7 +69,11 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str =
         pairs = pairs.checkpoint(eager=True)
     rx = avg_rank(pairs, keys, "_x", "_rx", n_buckets, levels, weight_col="_w")
     ry = avg_rank(pairs, keys, "_y", "_ry", n_buckets, levels, weight_col="_w")
-    j = _salted_join(_salted_join(pairs, rx, keys + ["_x"], hot_rows), ry, keys + ["_y"], hot_rows)
+    if pairs.count() <= hot_rows:
+        # no value can carry more rows than the whole table: plain joins
+        j = pairs.join(rx.drop("_cnt", "_nrows"), keys + ["_x"]).join(ry.drop("_cnt", "_nrows"), keys + ["_y"])
+    else:
+        j = _salted_join(_salted_join(pairs, rx, keys + ["_x"], hot_rows), ry, keys + ["_y"], hot_rows)
     n = pairs.groupBy(*keys).agg(F.sum("_w").alias("_n"))
     j = j.join(n, keys)
     m = (F.col("_n") + F.lit(1)) / F.lit(2.0)
