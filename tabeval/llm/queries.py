@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabeval.llm import fingerprint, secrets
+from tabeval.llm import fingerprint, langid, packing, pieces, quality, secretscan, urls
+from tabeval.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,9 +28,87 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op3_langid")
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 5, 0).alias("held_out"))
+    profiles = langid.learn(docs.where(~F.col("held_out")))
+    return langid.identify(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def url_oracle() -> str:
+    """The same in SQL: host counts, moment estimates, posteriors, bounds."""
+    two = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
+    rules = ", ".join(f"('{r}', '{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for r, v in urls.RULES)
+    strength = """(SELECT 1 / greatest(least(CASE WHEN sum(k) > 0 AND sum(k) < sum(n) AND
+        sum(n) - count(*) - (sum(n * n) - sum(n)) / sum(n) > 0 THEN
+        ((sum(k * k / n) - sum(k) * sum(k) / sum(n)) / (sum(k) / sum(n) * (1 - sum(k) / sum(n))) - (count(*) - 1))
+        / (sum(n) - count(*) - (sum(n * n) - sum(n)) / sum(n)) ELSE 0.9 END, 0.9), 0.0001) - 1 FROM %s WHERE n > 0)"""
+    split = r"""lower(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''))"""
+    path = r"""coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"""
+    return f"""
+WITH seen AS (SELECT page_id, url, {split} AS host, {path} AS path FROM pages),
+labelled AS (
+  SELECT {split} AS host, ((coalesce(quality, 1) = 0) OR (coalesce(toxic, 0) = 1))::INT AS bad
+  FROM pages JOIN labels ON doc_id = try_cast(
+    nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#0-9]*/([0-9]+)', 1), '') AS BIGINT)
+  WHERE quality IS NOT NULL OR toxic IS NOT NULL),
+counted AS (
+  SELECT host, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k FROM (
+    SELECT host, 0 AS n, 0 AS k FROM seen UNION ALL SELECT host, 1, bad FROM labelled) GROUP BY host),
+parts AS (
+  SELECT *, string_split(host, '.') AS l, CASE WHEN array_to_string(l[-2:], '.') IN ({two})
+    THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix,
+    CASE WHEN array_to_string(l[-2:], '.') IN ({two}) THEN array_to_string(l[-3:], '.')
+    ELSE array_to_string(l[-2:], '.') END AS domain FROM counted),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM parts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM parts GROUP BY suffix),
+root AS (SELECT (1 + sum(k)) / (2 + sum(n)) AS share FROM parts),
+power AS (SELECT {strength % 'suffixes'} AS a, {strength % 'domains'} AS b, {strength % 'parts'} AS c),
+m1 AS (SELECT suffix, (share * a + k) / (a + n) AS share FROM suffixes, root, power),
+m2 AS (SELECT domain, (m1.share * b + k) / (b + n) AS share FROM domains JOIN m1 USING (suffix), power),
+m3 AS (SELECT host, n + c + 1 AS size, (m2.share * c + k) / (c + n) AS share FROM parts JOIN m2 USING (domain), power),
+method AS (
+  SELECT host, CASE WHEN share - 1.645 * sqrt(share * (1 - share) / size) > 0.3 THEN 'block' ELSE 'allow' END AS says
+  FROM m3),
+rules(rule, verdict, h, p) AS (VALUES {rules}),
+fits AS (
+  SELECT page_id, host, path, rule, verdict,
+         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC) AS place
+  FROM (SELECT DISTINCT page_id, host, path FROM seen) JOIN rules
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, m.says) AS verdict
+FROM seen s JOIN method m USING (host)
+LEFT JOIN fits f ON f.page_id = s.page_id AND f.host = s.host AND f.path = s.path AND place = 1"""
+
+
+@register("op4_urls", url_oracle())
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.page_outcomes(pages, table(spark, sf_dir, "labels")))
+
+
+@register("op5_tokens")
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_counts(table(spark, sf_dir, "documents"))
+
+
+@register("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)).select("doc_id", F.col("quality").alias("label"))
+    out = quality.score(docs, quality.train(docs, labels))
+    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+                      (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.word_lengths(table(spark, sf_dir, "documents")))
+
+
 @register("op9_secrets")
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+    return secretscan.secret_spans(table(spark, sf_dir, "documents"))
 
 
 @register("op10_fingerprint")

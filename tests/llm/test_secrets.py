@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-from tabeval.llm import secrets
+from tabeval.llm import secretscan as secrets
 
 RULES = [("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
          ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+")]
