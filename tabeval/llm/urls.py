@@ -18,10 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabeval.llm.common import lower_ascii, saved
+from tabeval.llm.common import lookup, lower_ascii, saved
 
 MAX_RULES = 1000
-FREQUENT = 1000  # a key with more than 1/FREQUENT of the rows is looked up in a broadcast list
 # Common two-label public suffixes.
 TWO_LABEL_SUFFIXES = ["ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br",
                       "com.cn", "com.mx", "com.tr", "com.tw", "edu.au", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au",
@@ -61,23 +60,6 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if rule is None else (rule, verdict)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join to ``right`` (one row a key).  Keys with more than 1/FREQUENT of the left rows, at
-    most FREQUENT of them, come from a broadcast list; the rest is dealt out by key.  Rows that are
-    already served are dealt out by their content, so no key gathers them."""
-    many = left.groupBy(key).count().where(F.col("count") > left.count() / FREQUENT).select(key)
-    values = [c for c in right.columns if c != key]
-    hot = right.join(F.broadcast(many), key, "left_semi").select(
-        F.col(key), F.struct(*values).alias("_hot"))
-    left = left.join(F.broadcast(hot), key, "left")
-    spread = F.concat(F.lit("\0"), F.xxhash64(*left.columns[:-1]).cast("string"))
-    left = left.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
-    cold = right.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
-    out = left.join(cold, "_key", "left").withColumn("_v", F.coalesce("_hot", "_cold"))
-    return out.select(*[c for c in left.columns if c not in ("_hot", "_key")],
-                      *[F.col("_v")[c].alias(c) for c in values])
-
-
 def strength(groups: DataFrame) -> float:
     """Prior strength (pseudo-observations) from groups (n, k) with n > 0: the moment estimate of
     the beta-binomial's intra-class correlation, kept between 0.0001 and 0.9."""

@@ -1,9 +1,12 @@
 """Uses the session of tests/conftest.py; small helpers for made-up tables."""
 
 import os
+import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 SF = os.environ.get("TABEVAL_TEST_SF", "/root/testdata/sf0.001")
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabeval.llm import urls
+from tabeval.llm.common import lookup
 
 
 def pages_of(spark, rows):
@@ -89,7 +90,7 @@ def test_lookup_keeps_every_row(spark):
     left = spark.range(6000).select(F.col("id"), F.when(F.col("id") < 3000, "hot").otherwise(
         F.concat(F.lit("k"), (F.col("id") % 1500).cast("string"))).alias("key"))
     right = left.select("key").distinct().where("key <> 'k7'").withColumn("v", F.length("key"))
-    out = urls.lookup(left, right, "key")
+    out = lookup(left, right, "key")
     assert out.count() == 6000 and out.where("key = 'hot' AND v = 3").count() == 3000
     assert out.where("v IS NULL").select("key").distinct().count() == 1
 
