@@ -14,3 +14,11 @@ and nothing whole passes through the driver.  Sub-packages:
 from tabeval.session import get_spark, checkpoint_dir
 
 __all__ = ["get_spark", "checkpoint_dir"]
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions that run in Python workers travel with the job: executors need not have the
+# package on their path.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

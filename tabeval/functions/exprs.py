@@ -26,9 +26,15 @@ def ratio(num, den) -> Column:
     return F.try_divide(col(num).cast("double"), col(den).cast("double"))
 
 
-def nan_to_null(c) -> Column:
-    c = col(c)
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+def missing(c) -> Column:
+    """NULL or NaN."""
+    x = col(c).cast("double")
+    return x.isNull() | F.isnan(x)
+
+
+def required(c, name: str) -> Column:
+    """The value as DOUBLE; a NULL or NaN stops the job and says which column it is."""
+    return F.when(missing(c), F.raise_error(F.lit(f"missing value in {name}"))).otherwise(col(c).cast("double"))
 
 
 def direction_sign(r, tol: float = SIGN_TOL) -> Column:
@@ -60,10 +66,6 @@ def p1(probability_col: str = "probability") -> Column:
     return vector_to_array(F.col(probability_col)).getItem(1)
 
 
-def sigmoid(z) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-col(z)))
-
-
 def grid_point(k, start: float, step: float, n: int, stop: float | None = None) -> Column:
     """k-th point of numpy ``linspace``: ``k*step + start``, the last one pinned to ``stop``.
 
@@ -101,8 +103,3 @@ def count_points_below(x, start: float, step: float, n: int, stop: float | None
 def md5_order(seed, id_col) -> Column:
     """Seeded, engine-independent pseudo-random order key: md5('<seed>:<id>')."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), col(id_col).cast("string")))
-
-
-def r6(c) -> Column:
-    """Round a double to 6 places (report precision of the oracle comparisons)."""
-    return F.round(col(c).cast("double"), 6)

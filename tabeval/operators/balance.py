@@ -3,8 +3,7 @@ counts, Welch t-test for continuous and Pearson chi-square for categorical
 variables (Yates' correction only for 2x2 tables).
 
 All variables of a kind are handled in one pass (``explode`` of one struct per
-variable), and the overall column comes from the same aggregation as the group
-columns (``rollup``).  Statistics are computed in Spark; the p-value tail is a
+variable); the overall column is put together from the groups' reductions.  Statistics are computed in Spark; the p-value tail is a
 vectorised UDF over the per-variable result rows.
 """
 
@@ -16,18 +15,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabeval.functions.tails import chi2_pvalue, t_pvalue
+from tabeval.session import materialize
 
 OVERALL = "Overall"
 
 
-def _group_label(group: str):
-    return F.when(F.grouping(group) == 1, F.lit(OVERALL)).otherwise(F.col(group).cast("string"))
-
-
 def balance_counts(df: DataFrame, group: str) -> DataFrame:
-    """(group, n) for each group and 'Overall'."""
-    return df.rollup(group).agg(F.count(F.lit(1)).alias("n"), _group_label(group).alias("_g")) \
-             .select(F.col("_g").alias("group"), "n")
+    """(group, n) for each group and 'Overall': the rows are counted once, the counts rolled up."""
+    n = df.groupBy(F.col(group).cast("string").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    return n.rollup("group").agg(F.sum("n").alias("n"), F.when(F.grouping("group") == 1, F.lit(OVERALL))
+                                 .otherwise(F.col("group")).alias("_g")).select(F.col("_g").alias("group"), "n")
 
 
 def _levels(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
@@ -37,36 +34,47 @@ def _levels(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     return u.select("group", "_u.variable", "_u.level").where(F.col("level").isNotNull())
 
 
-def balance_categorical(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+def level_counts(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    """(variable, level, group, n): the one reduction behind the categorical rows and chi-square."""
+    return _levels(df, group, columns).groupBy("variable", "level", "group").agg(F.count(F.lit(1)).alias("n"))
+
+
+def balance_categorical(df: DataFrame, group: str, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """(variable, level, group, n, pct): pct of the non-missing rows of the variable in the group."""
-    lv = _levels(df, group, columns)
-    g = (lv.rollup("variable", "level", "group")
-           .agg(F.count(F.lit(1)).alias("n"),
-                F.grouping("variable").alias("_gv"), F.grouping("level").alias("_gl"),
-                F.when(F.grouping("group") == 1, F.lit(OVERALL)).otherwise(F.col("group")).alias("_g"))
-           .where((F.col("_gv") == 0) & (F.col("_gl") == 0))
-           .select("variable", "level", F.col("_g").alias("group"), "n"))
+    g = counts if counts is not None else level_counts(df, group, columns)
+    g = g.groupBy("variable", "level").agg(F.collect_list(F.struct("group", "n")).alias("_x"), F.sum("n").alias("_n"))
+    both = F.concat("_x", F.array(F.struct(F.lit(OVERALL).alias("group"), F.col("_n").alias("n"))))
+    g = g.select("variable", "level", F.explode(both).alias("_x")).select("variable", "level", "_x.group", "_x.n")
     tot = F.sum("n").over(Window.partitionBy("variable", "group"))
     return g.withColumn("pct", F.lit(100.0) * F.col("n") / tot)
 
 
 def balance_means(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
-    """(variable, group, n, n_missing, mean, sd): SD with n-1."""
+    """(variable, group, n, n_missing, mean, sd): SD with n-1.  One pass over the rows; the
+    overall row is put together from the groups' counts, means and squared deviations."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in columns:
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__sd")]
-    w = df.rollup(group).agg(*aggs, _group_label(group).alias("_g"))
-    return w.select(F.col("_g").alias("group"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.col(f"{c}__n").alias("n"),
-                 (F.col("_rows") - F.col(f"{c}__n")).alias("n_missing"),
-                 F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__sd").alias("sd"))
-        for c in columns])).alias("_s")).select("_s.variable", "group", "_s.n", "_s.n_missing", "_s.mean", "_s.sd")
-
-
-def welch_t(df: DataFrame, group: str, columns: Sequence[str], with_p: bool = True) -> DataFrame:
+        aggs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"), F.var_pop(x).alias(f"{c}__var")]
+    g = df.groupBy(F.col(group).cast("string").alias("group")).agg(*aggs)
+    g = g.select("group", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(f"{c}__n").alias("n"), (F.col("_rows") - F.col(f"{c}__n")).alias("n_missing"),
+                 F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__var").alias("var")) for c in columns])).alias("_s"))
+    g = g.select("_s.variable", "group", "_s.n", "_s.n_missing", "_s.mean", (F.col("_s.var") * F.col("_s.n")).alias("ss"))
+    all_ = Window.partitionBy("variable")
+    mean = F.sum(F.col("n") * F.col("mean")).over(all_) / F.sum(F.when(F.col("n") > 0, F.col("n"))).over(all_)
+    o = g.withColumn("_all", mean).groupBy("variable").agg(
+        F.lit(OVERALL).alias("group"), F.sum("n").alias("n"), F.sum("n_missing").alias("n_missing"),
+        F.first("_all").alias("mean"), F.sum(F.col("ss") + F.col("n") * F.pow(F.col("mean") - F.col("_all"), 2)).alias("ss"))
+    out = g.unionByName(o)
+    return out.select("variable", "group", "n", "n_missing", "mean",
+                      F.when(F.col("n") > 1, F.sqrt(F.col("ss") / (F.col("n") - 1))).alias("sd"))
+
+
+def welch_t(df: DataFrame, group: str, columns: Sequence[str], with_p: bool = True,
+            means: DataFrame | None = None) -> DataFrame:
     """(variable, group_a, group_b, t, df[, p_value]) for two groups; a = the smaller label."""
-    m = balance_means(df, group, columns).where(F.col("group") != OVERALL)
+    m = (means if means is not None else balance_means(df, group, columns)).where(F.col("group") != OVERALL)
     m = m.withColumn("_v", F.col("sd") * F.col("sd"))
     s = F.struct("group", "n", "mean", "_v")
     p = m.groupBy("variable").agg(F.min_by(s, F.col("group")).alias("a"), F.max_by(s, F.col("group")).alias("b"),
@@ -82,7 +90,7 @@ def welch_t(df: DataFrame, group: str, columns: Sequence[str], with_p: bool = Tr
 
 
 def chi2(df: DataFrame, group: str, columns: Sequence[str], correction: bool = True,
-         with_p: bool = True) -> DataFrame:
+         with_p: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """(variable, chi2, dof, n_levels, n_groups[, p_value]): Pearson chi-square of the
     level x group table; Yates' correction (capped at |O-E|) only when dof = 1.
 
@@ -91,8 +99,8 @@ def chi2(df: DataFrame, group: str, columns: Sequence[str], correction: bool = T
     nothing), and in a 2x2 table every cell has the same |O-E| = d, so the corrected
     statistic is max(d - 1/2, 0)^2 * N^3 / (r1 r2 c1 c2).
     """
-    lv = _levels(df, group, columns)
-    obs = lv.groupBy("variable", "level", "group").agg(F.count(F.lit(1)).alias("o"))
+    counts = counts if counts is not None else materialize(level_counts(df, group, columns), "levels")
+    obs = counts.withColumnRenamed("n", "o")
     rows = obs.groupBy("variable", "level").agg(F.sum("o").alias("r"))
     cols = obs.groupBy("variable", "group").agg(F.sum("o").alias("c"))
     per_var = (rows.groupBy("variable").agg(F.count(F.lit(1)).alias("n_levels"), F.sum("r").alias("n"),
@@ -123,19 +131,22 @@ def balance_table(df: DataFrame, group: str, categorical: Sequence[str], continu
     p-value sits on the first level of a categorical variable, formatted to 3 places.
     """
     labels = [OVERALL] + list(groups)
-    cat = balance_categorical(df, group, categorical).withColumn(
+    # everything below comes from these two reductions of the rows
+    counts = materialize(level_counts(df, group, categorical), "levels")
+    means = materialize(balance_means(df, group, continuous), "means")
+    cat = balance_categorical(df, group, categorical, counts).withColumn(
         "cell", F.format_string("%d (%.1f)", F.col("n"), F.col("pct")))
     cat = cat.groupBy("variable", "level").pivot("group", labels).agg(F.first("cell"))
     # a level seen overall but not in a group is a zero count there
     cat = cat.select("variable", "level", *[F.coalesce(F.col(g), F.lit("0 (0.0)")).alias(g) for g in labels])
-    miss = balance_means(df, group, continuous).where(F.col("group") == OVERALL).select("variable", "n_missing")
-    con = balance_means(df, group, continuous).withColumn(
+    miss = means.where(F.col("group") == OVERALL).select("variable", "n_missing")
+    con = means.withColumn(
         "cell", F.format_string("%.1f (%.1f)", F.col("mean"), F.col("sd")))
     con = (con.groupBy("variable").pivot("group", labels).agg(F.first("cell"))
               .join(miss, "variable").withColumn("level", F.lit("")))
     first_level = F.row_number().over(Window.partitionBy("variable").orderBy("level"))
-    pc = chi2(df, group, categorical).select("variable", "p_value")
-    pt = welch_t(df, group, continuous).select("variable", "p_value")
+    pc = chi2(df, group, categorical, counts=counts).select("variable", "p_value")
+    pt = welch_t(df, group, continuous, means=means).select("variable", "p_value")
     cat = (cat.join(pc, "variable", "left")
               .withColumn("p_value", F.when(first_level == 1, F.format_string("%.3f", "p_value")))
               .withColumn("n_missing", F.lit(None).cast("long")))

@@ -19,37 +19,30 @@ from pyspark.sql import functions as F
 
 from tabeval.functions.exprs import SIGN_TOL, clip01, direction_sign, direction_txt
 from tabeval.operators.cumulative import DEFAULT_BUCKETS, avg_rank
-from tabeval.session import checkpoint_dir
+from tabeval.session import materialize as write
+from tabeval.session import small_side
 
 
 HOT_ROWS = 1_000_000            # input rows one join task may take for one value
-MAX_HOT_VALUES = 100_000        # hot values listed in a broadcast; beyond it, AQE splits skew
+MAX_HOT_VALUES = 100_000        # hot values listed in a broadcast, by construction
 
 
 def _salted_join(big: DataFrame, ranks: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
     """Join ``big`` to the rank table on ``on``; a value carried by more than
     ``hot_rows`` rows of ``big`` is spread over ceil(rows / hot_rows) salted tasks
-    (its rank row is copied that many times)."""
-    # rows per value, counted on the (materialized) join input, not on the rank table
-    hot = (big.groupBy(*on).agg(F.count(F.lit(1)).alias("_nrows")).where(F.col("_nrows") > hot_rows)
-              .select(*on, F.ceil(F.col("_nrows") / F.lit(hot_rows)).cast("int").alias("_s")))
-    n_hot = hot.count()          # one number; the hot list is small by construction
-    r = ranks.drop("_cnt", "_nrows")
-    if n_hot == 0:
-        return big.join(r, on)
-    if n_hot > MAX_HOT_VALUES:
-        return big.join(r, on)   # too many to list: left to AQE's skew-join splitting
-    hot = F.broadcast(hot)
-    r2 = (r.join(hot, on, "left").withColumn("_s", F.coalesce("_s", F.lit(1)))
-           .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s"))
-    b2 = (big.join(hot, on, "left")
-             .withColumn("_salt", F.when(F.col("_s").isNull(), F.lit(0))
-                         .otherwise(F.pmod(F.xxhash64(*big.columns), F.col("_s")).cast("int"))).drop("_s"))
-    return b2.join(r2, on + ["_salt"]).drop("_salt")
+    (its rank row is copied that many times).  ``ranks`` carries the rows per value
+    (``_nrows``), so nothing is counted again."""
+    salts = F.ceil(F.col("_nrows") / F.lit(hot_rows)).cast("int")
+    hot = F.broadcast(ranks.where(F.col("_nrows") > hot_rows).select(*on, salts.alias("_s")))
+    r = (ranks.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_cnt", "_nrows"))
+    b = (big.join(hot, on, "left")
+            .withColumn("_salt", F.when(F.col("_s").isNull(), F.lit(0))
+                        .otherwise(F.pmod(F.xxhash64(*big.columns), F.col("_s")).cast("int"))).drop("_s"))
+    return b.join(r, on + ["_salt"]).drop("_salt")
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str = "spearman_r",
-             n_buckets: int = DEFAULT_BUCKETS, materialize: bool = True, levels: int | None = None,
+             n_buckets: int = DEFAULT_BUCKETS, levels: int | None = None,
              hot_rows: int = HOT_ROWS) -> DataFrame:
     """Spearman rank correlation of x and y per key group (average ranks for ties).
 
@@ -63,19 +56,15 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str =
     d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
           .where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
     pairs = d.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
-    if materialize:
-        # the pairs are read by both rankings and the joins: computed once, from one pass
-        checkpoint_dir(df.sparkSession)
-        pairs = pairs.checkpoint(eager=True)
-    rx = avg_rank(pairs, keys, "_x", "_rx", n_buckets, levels, weight_col="_w")
-    ry = avg_rank(pairs, keys, "_y", "_ry", n_buckets, levels, weight_col="_w")
-    if pairs.count() <= hot_rows:
-        # no value can carry more rows than the whole table: plain joins
-        j = pairs.join(rx.drop("_cnt", "_nrows"), keys + ["_x"]).join(ry.drop("_cnt", "_nrows"), keys + ["_y"])
-    else:
-        j = _salted_join(_salted_join(pairs, rx, keys + ["_x"], hot_rows), ry, keys + ["_y"], hot_rows)
-    n = pairs.groupBy(*keys).agg(F.sum("_w").alias("_n"))
-    j = j.join(n, keys)
+    # the pairs are read by both rankings and the joins: computed once, from one pass
+    pairs = write(pairs, "pairs")
+    # no more values than the broadcast list may hold can pass this many rows
+    hot_rows = max(hot_rows, pairs.count() // MAX_HOT_VALUES)
+    rx = write(avg_rank(pairs, keys, "_x", "_rx", n_buckets, levels, weight_col="_w"), "ranks")
+    ry = write(avg_rank(pairs, keys, "_y", "_ry", n_buckets, levels, weight_col="_w"), "ranks")
+    j = _salted_join(_salted_join(pairs, rx, keys + ["_x"], hot_rows), ry, keys + ["_y"], hot_rows)
+    n = rx.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))   # one row a group, from the rank rows
+    j = j.join(small_side(n), keys)
     m = (F.col("_n") + F.lit(1)) / F.lit(2.0)
     dx = F.col("_rx") - m
     dy = F.col("_ry") - m
@@ -85,9 +74,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str =
     return g.select(*keys, F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy"))).alias(out_col), "n")
 
 
-def shap_direction(shap: DataFrame, tol: float = SIGN_TOL, materialize: bool = True) -> DataFrame:
+def shap_direction(shap: DataFrame, tol: float = SIGN_TOL) -> DataFrame:
     """(model, feature, spearman_r, sign): direction of each feature in each model."""
-    r = spearman(shap, ["model", "feature"], "value", "phi", materialize=materialize)
+    r = spearman(shap, ["model", "feature"], "value", "phi")
     return r.select("model", "feature", "spearman_r", direction_sign("spearman_r", tol).alias("sign"))
 
 
@@ -166,8 +155,7 @@ def consistency(shap: DataFrame, tol: float = SIGN_TOL, materialize: bool = True
     of re-running the explanation for every consumer.
     """
     if materialize:
-        checkpoint_dir(shap.sparkSession)
-        shap = shap.checkpoint(eager=True)
+        shap = write(shap, "shap")
     return consistency_table(shap_direction(shap, tol), shap_mean_abs(shap), tol)
 
 

@@ -21,24 +21,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+SMALL_BOUNDS = 100_000          # rows of a bounds or totals table that may be broadcast
 TARGET_RANGE_ROWS = 2_000_000   # rows per (key, range) the window may hold
 
 
-def _levels_for(df: DataFrame, keys: Sequence[str], n_buckets: int, target: int) -> int:
-    """How many nested range cuts keep the largest key group under ``target`` rows per
-    range; 0 when the largest group is itself small enough for one task."""
+def _shape(df: DataFrame, keys: Sequence[str], n_buckets: int, target: int) -> tuple[int, int]:
+    """(nested range cuts that keep the largest key group under ``target`` rows per range,
+    number of key groups); at least one cut, whatever the size."""
     g = df.groupBy(*keys).count() if keys else df.select(F.count(F.lit(1)).alias("count"))
-    biggest = g.agg(F.max("count")).first()[0] or 0   # one number
-    if biggest <= target:
-        return 0
+    r = g.agg(F.max("count"), F.count(F.lit(1))).first()   # two numbers
     levels = 1
-    while biggest > target * n_buckets ** levels and levels < 4:
+    while (r[0] or 0) > target * n_buckets ** levels:
         levels += 1
-    return levels
+    return levels, r[1]
 
 
 def _bucketed(df: DataFrame, keys: Sequence[str], order_col: str, n_buckets: int,
-              accuracy: int, levels: int = 1) -> DataFrame:
+              accuracy: int, levels: int, groups: int) -> DataFrame:
     """Add ``_bucket``: the index of the value's range, monotone in the value within
     each key group; equal values always share it.  With ``levels`` > 1 every range is
     cut again by its own bounds (n_buckets ** levels ranges in all)."""
@@ -54,7 +53,9 @@ def _bucketed(df: DataFrame, keys: Sequence[str], order_col: str, n_buckets: int
         if gkeys:
             # one bounds array per (key, parent range): groups x n_buckets ** lvl rows
             bounds = x.groupBy(*gkeys).agg(F.percentile_approx(o, pcts, accuracy).alias("_bounds"))
-            x = x.join(bounds, gkeys, "left")
+            # its row count is known: groups x ranges so far
+            few = groups * n_buckets ** lvl <= SMALL_BOUNDS
+            x = x.join(F.broadcast(bounds) if few else bounds, gkeys, "left")
         else:
             # one bounds array for the whole table: a scalar subquery, not a join
             x = x.withColumn("_bounds", x.select(F.percentile_approx(o, pcts, accuracy)).scalar())
@@ -75,24 +76,15 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, value_cols:
 
     Rows must be unique on ``keys + [order_col]`` (aggregate to distinct values first).
     ``levels`` of nested range cuts: by default as many as keep the largest key
-    group under ``target_rows`` rows per range, and none (one window per key group)
-    when the largest group is already under it.
+    group under ``target_rows`` rows per range, and at least one.
     """
     keys = list(keys)
     value_cols = list(value_cols)
     lead_cols = list(lead_cols)
     base_cols = df.columns
-    if levels is None:
-        levels = _levels_for(df, keys, n_buckets, target_rows or TARGET_RANGE_ROWS)
-    if levels == 0:
-        # the largest group fits one task (checked above): the plain window
-        w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc() if descending else F.col(order_col).asc())
-        return df.select(
-            *base_cols,
-            *[F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{v}_before")
-              for v in value_cols],
-            *[F.lead(c).over(w).alias(f"{c}_next") for c in lead_cols])
-    x = _bucketed(df, keys, order_col, n_buckets, accuracy, levels)
+    needed, groups = _shape(df, keys, n_buckets, target_rows or TARGET_RANGE_ROWS)
+    levels = levels or needed
+    x = _bucketed(df, keys, order_col, n_buckets, accuracy, levels, groups)
     o = F.col(order_col)
     ob = F.col("_bucket")
     row_order = o.desc() if descending else o.asc()
@@ -117,7 +109,8 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, value_cols:
                      F.lit(0)).alias(f"_in_{v}") for v in value_cols],
         *[F.lead(c).over(wr).alias(f"_lead_{c}") for c in lead_cols],
         *([F.lead(F.lit(1)).over(wr).isNull().alias("_is_last")] if lead_cols else []))
-    out = y.join(tot, keys + ["_bucket"], "left")
+    few = groups * n_buckets ** levels <= SMALL_BOUNDS
+    out = y.join(F.broadcast(tot) if few else tot, keys + ["_bucket"], "left")
     return out.select(
         *base_cols,
         *[(F.col(f"_in_{v}") + F.col(f"_off_{v}")).alias(f"{v}_before") for v in value_cols],

@@ -14,15 +14,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabeval.functions.exprs import Z_975, classify, count_points_below, grid_point, ratio
+from tabeval.functions.exprs import Z_975, classify, count_points_below, grid_point, missing, ratio, required
 from tabeval.operators.cumulative import DEFAULT_BUCKETS, prefix_sums
-from tabeval.session import checkpoint_dir
+from tabeval.session import checkpoint_dir, small_side
 
 KEYS = ("dataset", "model")
 
 
-def confusion(scored: DataFrame, cut: float = 0.5, keys: Sequence[str] = KEYS) -> DataFrame:
+def checked(scored: DataFrame, on_missing: str = "error") -> DataFrame:
+    """The scored rows with a label and a score.  A NULL or NaN label or score stops the
+    job by default; ``"drop"`` leaves such rows out (:func:`score_audit` counts them)."""
+    if on_missing == "error":
+        return scored.withColumns({"p": required("p", "p"), "y": required("y", "y").cast("int")})
+    if on_missing == "drop":
+        return scored.where(~(missing("p") | missing("y")))
+    raise ValueError("on_missing must be 'error' or 'drop'")
+
+
+def score_audit(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows in, with label and score, and without, per key group."""
+    return scored.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_in"), F.count_if(~(missing("p") | missing("y"))).alias("n_used"),
+        F.count_if(missing("p") | missing("y")).alias("n_refused"))
+
+
+def confusion(scored: DataFrame, cut: float = 0.5, keys: Sequence[str] = KEYS, on_missing: str = "error") -> DataFrame:
     """tn, fp, fn, tp per key group; class = ``p >= cut``."""
+    scored = checked(scored, on_missing)
     yhat = classify("p", cut)
     y = F.col("y")
     return scored.groupBy(*keys).agg(
@@ -48,7 +66,8 @@ def class_metrics(conf: DataFrame) -> DataFrame:
         ratio(tn, tn + fp).alias("specificity"))
 
 
-def score_counts(scored: DataFrame, keys: Sequence[str] = KEYS, materialize: bool = True) -> DataFrame:
+def score_counts(scored: DataFrame, keys: Sequence[str] = KEYS, materialize: bool = True,
+                 on_missing: str = "error") -> DataFrame:
     """Positives and negatives per distinct score: the input of every curve and metric.
 
     One scan of ``scored`` with map-side partial aggregation.  The result feeds
@@ -56,7 +75,7 @@ def score_counts(scored: DataFrame, keys: Sequence[str] = KEYS, materialize: boo
     so by default it is written once to the shared checkpoint folder: the large
     input is read once, and a lost executor does not send the job back to it.
     """
-    c = scored.groupBy(*keys, "p").agg(
+    c = checked(scored, on_missing).groupBy(*keys, "p").agg(
         F.count_if(F.col("y") == 1).alias("pos"),
         F.count_if(F.col("y") == 0).alias("neg"))
     if materialize:
@@ -127,7 +146,7 @@ def roc_curve(scored: DataFrame, keys: Sequence[str] = KEYS, drop_collinear: boo
     c = prefix_sums(counts, keys, "p", ["pos", "neg"], descending=True,
                     lead_cols=["pos", "neg"] if drop_collinear else [], n_buckets=n_buckets, levels=levels)
     tot = counts.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    c = c.join(tot, keys, "left")
+    c = c.join(small_side(tot), keys)  # one row a group
     tps = F.col("pos_before") + F.col("pos")
     fps = F.col("neg_before") + F.col("neg")
     if drop_collinear:
@@ -143,14 +162,14 @@ def roc_curve(scored: DataFrame, keys: Sequence[str] = KEYS, drop_collinear: boo
     return origin.unionByName(pts)
 
 
-def calibration(scored: DataFrame, n_bins: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
+def calibration(scored: DataFrame, n_bins: int = 10, keys: Sequence[str] = KEYS, on_missing: str = "error") -> DataFrame:
     """Reliability table over ``n_bins`` equal bins of [0, 1]: mean p and observed
     rate per non-empty bin.  A score on an inner edge goes to the lower bin."""
     keys = list(keys)
     # edges are linspace(0, 1, n+1) = k*(1/n); bin = 1 + number of inner edges below p
     below = count_points_below("p", start=0.0, step=1.0 / n_bins, n=n_bins + 1, stop=1.0)
     inner = F.least(F.greatest(below - F.lit(1), F.lit(0)), F.lit(n_bins - 1))
-    return (scored.withColumn("bin", (inner + F.lit(1)).cast("int"))
+    return (checked(scored, on_missing).withColumn("bin", (inner + F.lit(1)).cast("int"))
             .groupBy(*keys, "bin").agg(
                 F.avg("p").alias("prob_pred"),
                 F.avg(F.col("y").cast("double")).alias("prob_true"),
@@ -165,7 +184,7 @@ def thresholds(spark, n: int = 100, start: float = 0.01, stop: float = 1.0) -> D
 
 
 def decision_curve(scored: DataFrame, n: int = 100, start: float = 0.01, stop: float = 1.0,
-                   keys: Sequence[str] = KEYS) -> DataFrame:
+                   keys: Sequence[str] = KEYS, on_missing: str = "error") -> DataFrame:
     """Net benefit of the model, of treating all and of treating none at ``n``
     thresholds (class = ``p > t``, strict).  At t = 1 the weight t/(1-t) is
     undefined and the net benefits are NULL.
@@ -177,7 +196,7 @@ def decision_curve(scored: DataFrame, n: int = 100, start: float = 0.01, stop: f
     keys = list(keys)
     step = (stop - start) / (n - 1)
     k = count_points_below("p", start, step, n, stop)
-    counts = (scored.withColumn("_k", k)
+    counts = (checked(scored, on_missing).withColumn("_k", k)
               .groupBy(*keys, "_k").agg(F.count_if(F.col("y") == 1).alias("_pos"),
                                         F.count_if(F.col("y") == 0).alias("_neg")))
     # every k in 0..n for every group (n is a parameter, so this is bounded)

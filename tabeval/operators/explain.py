@@ -39,6 +39,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabeval.session import materialize, small_side
+
 MAX_BACKGROUND = 1000
 
 
@@ -91,13 +93,14 @@ def kernel_map(m: int, n_coalitions: int, seed: int = 2025) -> tuple[np.ndarray,
         rng = np.random.default_rng(seed)
         p = size_w / size_w.sum()
         draws = []
-        while len(draws) < n_coalitions:
+        for _ in range(-(-n_coalitions // 2)):   # whole pairs: a draw and its complement
             s = int(rng.choice(sizes, p=p))
             z = np.zeros(m, dtype=bool)
             z[rng.choice(m, size=s, replace=False)] = True
             draws += [z, ~z]
-        z = np.array(draws[:n_coalitions])
-        w = np.ones(len(z)) / len(z)
+        # a coalition drawn several times is evaluated once, with the summed weight
+        z, times = np.unique(np.array(draws), axis=0, return_counts=True)
+        w = times / len(draws)
     zf = z.astype(float)
     # min sum_c w_c (v_c - v0 - z_c.phi)^2  s.t.  sum(phi) = v_full - v0
     g = np.linalg.pinv(zf.T @ (w[:, None] * zf))
@@ -135,10 +138,8 @@ def collect_background(background: DataFrame, features: Sequence[str],
 
 
 def _bg_literal(rows: list[tuple], features: Sequence[str]) -> str:
-    def lit(v):
-        return "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
     return "array(" + ", ".join(
-        "named_struct(" + ", ".join(f"'{f}', {lit(v)}" for f, v in zip(features, r)) + ")" for r in rows) + ")"
+        "named_struct(" + ", ".join(f"'b{i}', {_dbl(v)}" for i, v in enumerate(r)) + ")" for r in rows) + ")"
 
 
 def _masks_literal(masks: np.ndarray) -> str:
@@ -146,9 +147,21 @@ def _masks_literal(masks: np.ndarray) -> str:
         "array(" + ", ".join("true" if b else "false" for b in row) + ")" for row in masks) + ")"
 
 
+# string literal, quoted name, name, number, any other character
+_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|[A-Za-z_]\w*|\d[\w.]*|.", re.S)
+
+
 def _substitute(expr: str, features: Sequence[str], repl) -> str:
-    pat = re.compile(r"\b(" + "|".join(re.escape(f) for f in sorted(features, key=len, reverse=True)) + r")\b")
-    return pat.sub(lambda m_: repl(m_.group(1)), expr)
+    """Replace the feature names in a SQL expression: not inside string literals, not where
+    the name is called as a function, and not behind a dot."""
+    tokens, names, out = _TOKEN.findall(expr), set(features), []
+    for i, t in enumerate(tokens):
+        name = t[1:-1] if t[0] == "`" else t
+        after = next((u for u in tokens[i + 1:] if not u.isspace()), "")
+        called = after == "(" and t[0] != "`"
+        behind_dot = i > 0 and tokens[i - 1] == "."
+        out.append(repl(name) if name in names and t[0] not in "'\"" and not called and not behind_dot else t)
+    return "".join(out)
 
 
 # ---------------------------------------------------------------- explanations
@@ -157,7 +170,11 @@ UNROLL_LIMIT = 2048   # coalitions x background evaluations per row written out
 
 
 def _dbl(v) -> str:
-    return "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
+    """A double as a literal; NULL, NaN and the infinities too."""
+    if v is None:
+        return "CAST(NULL AS DOUBLE)"
+    v = float(v)
+    return f"CAST({v!r} AS DOUBLE)" if math.isfinite(v) else f"CAST('{v!r}' AS DOUBLE)"
 
 
 def _explain_sql_unrolled(eval_df: DataFrame, id_col: str, features: list[str], model: SqlModel,
@@ -169,7 +186,7 @@ def _explain_sql_unrolled(eval_df: DataFrame, id_col: str, features: list[str],
 
     def f_at(c: int, b: tuple) -> str:
         return "(" + _substitute(model.expr, features, lambda f: (
-            f"__x_{f}" if masks[c][features.index(f)] else _dbl(b[features.index(f)]))) + ")"
+            f"`__x_{f}`" if masks[c][features.index(f)] else _dbl(b[features.index(f)]))) + ")"
 
     x = eval_df.select(F.col(id_col).alias("row_id"), *[F.col(f).cast("double").alias(f"__x_{f}") for f in features])
     vs = [F.expr("(" + " + ".join(f_at(c, b) for b in bg) + f") / {nb}").alias(f"_v{c}") for c in range(len(masks))]
@@ -193,10 +210,10 @@ def _explain_sql(eval_df: DataFrame, id_col: str, features: list[str], model: Sq
     idx = {f: i for i, f in enumerate(features)}
     nb = len(bg)
     body = _substitute(model.expr, features,
-                       lambda f: f"(CASE WHEN c[{idx[f]}] THEN __x_{f} ELSE b.{f} END)")
+                       lambda f: f"(CASE WHEN c[{idx[f]}] THEN `__x_{f}` ELSE b.b{idx[f]} END)")
     v_all = (f"transform({_masks_literal(masks)}, c -> "
              f"aggregate({_bg_literal(bg, features)}, CAST(0 AS DOUBLE), (acc, b) -> acc + ({body})) / {nb})")
-    base_body = _substitute(model.expr, features, lambda f: f"b.{f}")
+    base_body = _substitute(model.expr, features, lambda f: f"b.b{idx[f]}")
     base = f"aggregate({_bg_literal(bg, features)}, CAST(0 AS DOUBLE), (acc, b) -> acc + ({base_body})) / {nb}"
     x = eval_df.select(F.col(id_col).alias("row_id"), *[F.col(f).cast("double").alias(f"__x_{f}") for f in features])
     x = x.withColumn("_v", F.expr(v_all))
@@ -224,7 +241,7 @@ def _explain_transformer(eval_df: DataFrame, id_col: str, features: list[str], n
     e = (x.select("*", F.explode(coal).alias("_c"))
           .select("*", F.explode(bgl).alias("_b"))
           .select("row_id", F.col("_c.cid").alias("cid"),
-                  *[F.when(F.col("_c.m")[j], F.col(f"__x_{f}")).otherwise(F.col(f"_b.{f}")).alias(f)
+                  *[F.when(F.col("_c.m")[j], F.col(f"__x_{f}")).otherwise(F.col(f"_b.b{j}")).alias(f)
                     for j, f in enumerate(features)]))
     scored = model.transform(e)
     p = vector_to_array(F.col(prob_col))[1] if dict(scored.dtypes)[prob_col] == "vector" else F.col(prob_col)
@@ -254,7 +271,10 @@ def kernel_shap(eval_df: DataFrame, background: DataFrame, features: Sequence[st
     features = list(features)
     bg = collect_background(background, features, max_background)
     masks, k = coalition_map(len(features), mode, n_coalitions, seed)
-    items = models.items() if isinstance(models, dict) else [(mm.name, mm) for mm in models]
+    items = list(models.items()) if isinstance(models, dict) else [(mm.name, mm) for mm in models]
+    if len(items) > 1:
+        # every model reads the rows: the source is scanned once, for the columns needed
+        eval_df = materialize(eval_df.select(id_col, *[f for f in features if f != id_col]), "explained")
     out = None
     for name, mdl in items:
         if isinstance(mdl, SqlModel):
@@ -277,7 +297,8 @@ def shap_importance(shap: DataFrame, k: int = 15) -> DataFrame:
 def shap_points(shap: DataFrame, k: int = 15) -> DataFrame:
     """Beeswarm data: every (row, feature) point of the top-k features, with the rank."""
     imp = shap_importance(shap, k).select("model", "feature", "rank")
-    return shap.join(imp, ["model", "feature"]).select(
+    # models x k rows: broadcast, so the points are not dealt out by (model, feature)
+    return shap.join(small_side(materialize(imp, "importance")), ["model", "feature"]).select(
         "model", "feature", "rank", "row_id", "value", "phi")
 
 

@@ -13,9 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabeval.functions.exprs import count_points_below, grid_point, ratio
+from tabeval.functions.exprs import count_points_below, grid_point, missing, ratio
 from tabeval.operators.cumulative import DEFAULT_BUCKETS, prefix_sums
-from tabeval.session import checkpoint_dir
+from tabeval.session import checkpoint_dir, materialize
 
 
 def value_counts(df: DataFrame, column: str, normalize: bool = False, sort: bool = True) -> DataFrame:
@@ -127,7 +127,7 @@ def iqr_fences(df: DataFrame, columns: Sequence[str], k: float = 1.5, exact: boo
 
 
 def _fence(df: DataFrame, column: str, k: float, exact: bool):
-    f = iqr_fences(df, [column], k, exact)
+    f = materialize(iqr_fences(df, [column], k, exact), "fences")   # one row, ranked once
     return f.select("lower").scalar(), f.select("upper").scalar()
 
 
@@ -169,21 +169,16 @@ def box_stats(df: DataFrame, column: str, whis: float = 1.5) -> DataFrame:
     """One row: q1, median, q3, iqr, whisker_lo / whisker_hi (the extreme data points
     within whis*IQR of the box), n_fliers, n."""
     q = quantiles(df, [column], (0.25, 0.5, 0.75))
-    q1 = q.where(F.col("q") == 0.25).select("value").scalar()
-    med = q.where(F.col("q") == 0.5).select("value").scalar()
-    q3 = q.where(F.col("q") == 0.75).select("value").scalar()
+    at = [F.max(F.when(F.col("q") == v, F.col("value"))).alias(n) for v, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    box = q.agg(*at).withColumn("iqr", F.col("q3") - F.col("q1"))   # one row
     x = F.col(column).cast("double")
-    lo_f = q1 - F.lit(whis) * (q3 - q1)
-    hi_f = q3 + F.lit(whis) * (q3 - q1)
-    s = df.where(x.isNotNull()).agg(
-        F.min(F.when(x >= lo_f, x)).alias("whisker_lo"),
-        F.max(F.when(x <= hi_f, x)).alias("whisker_hi"),
-        F.count(F.lit(1)).alias("n"))
-    wl = s.select("whisker_lo").scalar()
-    wh = s.select("whisker_hi").scalar()
-    fl = df.where((x < wl) | (x > wh)).select(F.count(F.lit(1))).scalar()
-    return s.select(q1.alias("q1"), med.alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"),
-                    "whisker_lo", "whisker_hi", fl.alias("n_fliers"), "n")
+    d = df.select(x.alias("x")).where(~missing("x")).crossJoin(F.broadcast(box))
+    lo, hi = F.col("q1") - F.lit(whis) * F.col("iqr"), F.col("q3") + F.lit(whis) * F.col("iqr")
+    # a value beyond a fence is beyond the whisker too, and no other is: one pass counts the fliers
+    return d.groupBy("q1", "median", "q3", "iqr").agg(
+        F.min(F.when(F.col("x") >= lo, F.col("x"))).alias("whisker_lo"),
+        F.max(F.when(F.col("x") <= hi, F.col("x"))).alias("whisker_hi"),
+        F.count_if((F.col("x") < lo) | (F.col("x") > hi)).alias("n_fliers"), F.count(F.lit(1)).alias("n"))
 
 
 def head(df: DataFrame, n: int = 5, order_by: str | Sequence[str] = "row_id") -> DataFrame:

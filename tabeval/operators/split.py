@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabeval.functions.exprs import md5_order
+from tabeval.session import materialize, small_side
 
 
 def _allocation(counts: DataFrame, strata: list[str], test_size: float) -> DataFrame:
@@ -34,15 +35,13 @@ def _allocation(counts: DataFrame, strata: list[str], test_size: float) -> DataF
 
 
 def stratified_split(df: DataFrame, strata: str | Sequence[str], test_size: float = 0.3, seed: int = 2025,
-                     id_col: str = "row_id", hex_digits: int = 4, out_col: str = "split",
-                     max_window_rows: int = 2_000_000) -> DataFrame:
+                     id_col: str = "row_id", hex_digits: int = 4, out_col: str = "split") -> DataFrame:
     """Adds ``split`` = 'train' / 'test' with exact sizes per stratum.
 
     Within a stratum the first ``train_n`` rows in md5 order are training rows.  The
     order is cut into 16**hex_digits ranges by the leading hex digits of the key;
     counts per (stratum, range) locate the one range holding the cut, and only the
-    rows of that range are ranked.  A window spans a whole stratum only when the
-    largest stratum has at most ``max_window_rows`` rows (checked first).
+    rows of that range are ranked.
     """
     strata = [strata] if isinstance(strata, str) else list(strata)
     key = md5_order(seed, id_col)
@@ -50,22 +49,24 @@ def stratified_split(df: DataFrame, strata: str | Sequence[str], test_size: floa
            .withColumn("_b", F.conv(F.substring("_key", 1, hex_digits), 16, 10).cast("long")))
     bc = x.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_bc"))
     # stratum sizes are sums of the range counts: no second pass over the rows
+    bc = materialize(bc, "strata")
     alloc = _allocation(bc.groupBy(*strata).agg(F.sum("_bc").alias("_c")), strata, test_size)
     cols = df.columns + [out_col]
-    biggest = alloc.agg(F.max("_c")).first()[0] or 0   # one number
-    if biggest <= max_window_rows:
-        # every stratum fits one task (checked): rank the rows of each stratum directly
-        rn = F.row_number().over(Window.partitionBy(*strata).orderBy("_key", id_col))
-        y = x.join(alloc.select(*strata, "_train_n"), strata, "left")
-        return y.withColumn(out_col, F.when(rn <= F.col("_train_n"), "train").otherwise("test")).select(*cols)
     wb = Window.partitionBy(*strata).orderBy("_b")
     bc = bc.withColumn("_before", F.coalesce(F.sum("_bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
                                              F.lit(0)))
-    cut = (bc.join(alloc, strata, "inner")
+    cut = (bc.join(alloc.select(*[F.col(s).alias(f"_a_{s}") for s in strata], "_train_n"),
+                   [F.col(s).eqNullSafe(F.col(f"_a_{s}")) for s in strata], "inner")
              .where((F.col("_before") < F.col("_train_n")) & (F.col("_train_n") <= F.col("_before") + F.col("_bc")))
              .select(*strata, F.col("_b").alias("_cut"), (F.col("_train_n") - F.col("_before")).alias("_need")))
-    # one row per stratum (none when the stratum gets no training row)
-    y = x.join(cut, strata, "left")
+    # one row per stratum (none when the stratum gets no training row): written once, counted,
+    # and broadcast, so the rows are never dealt out by the few strata
+    cut = small_side(materialize(cut, "cut"))
+    cut = cut.select(*[F.col(s).alias(f"_s_{s}") for s in strata], "_cut", "_need")
+    same = F.lit(True)
+    for s in strata:
+        same = same & x[s].eqNullSafe(cut[f"_s_{s}"])
+    y = x.join(cut, same, "left")
     is_cut = F.col("_b") == F.col("_cut")
     simple = (y.where(F.col("_cut").isNull() | ~is_cut)
                 .withColumn(out_col, F.when(F.col("_cut").isNotNull() & (F.col("_b") < F.col("_cut")), "train")

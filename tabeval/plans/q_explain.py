@@ -31,12 +31,17 @@ def events_shap(spark, sf_dir):
 
 
 def _shap_sql() -> str:
-    masks, k = xp.exact_map(len(FEATURES))
-    coal = ", ".join(f"({c}, " + ", ".join("true" if b else "false" for b in masks[c]) + ")"
-                     for c in range(len(masks)))
-    mcols = ", ".join(f"m{j}" for j in range(len(FEATURES)))
-    kmap = ", ".join(f"('{FEATURES[j]}', {c}, {float(k[j, c])!r})"
-                     for j in range(len(FEATURES)) for c in range(len(masks)))
+    m = len(FEATURES)
+    coal = ", ".join(f"({c}, " + ", ".join("true" if c >> j & 1 else "false" for j in range(m)) + ")" for c in range(2 ** m))
+    mcols = ", ".join(f"m{j}" for j in range(m))
+    size = " + ".join(f"m{j}::INT" for j in range(m))
+
+    def weight(s: str) -> str:   # s! (m-s-1)! / m!
+        return f"(factorial(({s})::INT) * factorial(({m - 1} - ({s}))::INT))::DOUBLE / factorial({m})::DOUBLE"
+
+    kmap = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, cid, CASE WHEN m{j} THEN {weight(f'{size} - 1')} ELSE -({weight(size)}) END AS w FROM coal"
+        for j, f in enumerate(FEATURES))
     pat = re.compile(r"\b(" + "|".join(FEATURES) + r")\b")
     v_parts = []
     for name, expr in fx.EVENT_MODELS:
@@ -52,7 +57,7 @@ ev AS ({fx.events_features_sql()}),
 bg AS (SELECT *, row_number() OVER (ORDER BY md5(concat('{SEED}', ':', row_id::VARCHAR)), row_id) AS bpos
        FROM ev QUALIFY bpos <= {N_BACKGROUND}),
 coal AS (SELECT * FROM (VALUES {coal}) t(cid, {mcols})),
-kmap AS (SELECT * FROM (VALUES {kmap}) t(feature, cid, w)),
+kmap AS ({kmap}),
 v AS ({' UNION ALL '.join(v_parts)}),
 phi AS (SELECT v.model, v.row_id, k.feature, list_reduce(list(k.w * v.v ORDER BY v.cid), lambda a, x: a + x) AS phi,
                any_value({value_case}) AS value

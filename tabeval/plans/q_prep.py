@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tabeval.operators import balance as bl
 from tabeval.operators import scale as sc
 from tabeval.operators import split as sp
+from tabeval.plans import oracles as orc
 from tabeval.plans.queries import register
 from tabeval.plans.report import rounded
+from tabeval.session import materialize
 from tabeval.sources.io import testdata_table
 
 SEED = 2025
@@ -67,23 +69,22 @@ def q_union_tagged(spark, sf_dir):
 
 
 @register("param_compare", f"""WITH {SPLIT_SQL},
-a AS (SELECT o_orderpriority, avg(o_totalprice) AS mean_price, count(*) AS n FROM split
-      WHERE split = 'train' AND o_orderstatus <> 'P' GROUP BY 1),
-b AS (SELECT o_orderpriority, avg(o_totalprice) AS mean_price, count(*) AS n FROM split
-      WHERE split = 'test' AND o_orderstatus <> 'F' GROUP BY 1)
-SELECT coalesce(a.o_orderpriority, b.o_orderpriority) AS o_orderpriority,
+a AS (SELECT o_custkey, avg(o_totalprice) AS mean_price, count(*) AS n FROM split WHERE split = 'train' GROUP BY 1),
+b AS (SELECT o_custkey, avg(o_totalprice) AS mean_price, count(*) AS n FROM split WHERE split = 'test' GROUP BY 1)
+SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey,
        round(a.mean_price, 6) AS mean_price_train, a.n AS n_train,
        round(b.mean_price, 6) AS mean_price_test, b.n AS n_test
-FROM a FULL OUTER JOIN b ON a.o_orderpriority = b.o_orderpriority""")
+FROM a FULL OUTER JOIN b ON a.o_custkey = b.o_custkey""")
 def q_param_compare(spark, sf_dir):
+    """Customers of either split side by side: many have orders on one side only."""
     s = orders_split(spark, sf_dir)
 
     def summary(d):
-        return d.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean_price"),
+        return d.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean_price"),
                                                 F.count(F.lit(1)).alias("n"))
-    a = summary(s.where((F.col("split") == "train") & (F.col("o_orderstatus") != "P")))
-    b = summary(s.where((F.col("split") == "test") & (F.col("o_orderstatus") != "F")))
-    return rounded(sp.compare_params(a, b, "o_orderpriority", ("_train", "_test")))
+    a = summary(s.where(F.col("split") == "train"))
+    b = summary(s.where(F.col("split") == "test"))
+    return rounded(sp.compare_params(a, b, "o_custkey", ("_train", "_test")))
 
 
 @register("standardise", f"""WITH {SPLIT_SQL},
@@ -94,7 +95,7 @@ SELECT o_orderkey,
        round((o_custkey::DOUBLE - m2) / CASE WHEN s2 = 0 OR s2 IS NULL THEN 1 ELSE s2 END, 6) AS o_custkey
 FROM split, st WHERE split = 'test'""")
 def q_standardise(spark, sf_dir):
-    s = orders_split(spark, sf_dir)
+    s = materialize(orders_split(spark, sf_dir).select("o_orderkey", *CONTINUOUS, "split"), "split")
     train = s.where(F.col("split") == "train")
     test = s.where(F.col("split") == "test").select("o_orderkey", *CONTINUOUS)
     return rounded(sc.standardise(train, test, CONTINUOUS))
@@ -160,15 +161,53 @@ def q_balance_chi2(spark, sf_dir):
     return rounded(bl.chi2(orders_split(spark, sf_dir), "split", CATEGORICAL, with_p=False))
 
 
-@register("balance_table")
+LV_CAT = """lvc AS (SELECT split, 'o_orderstatus' AS variable, o_orderstatus::VARCHAR AS level FROM split
+       UNION ALL SELECT split, 'o_orderpriority', o_orderpriority::VARCHAR FROM split),
+obs AS (SELECT variable, level, split, count(*) AS o FROM lvc WHERE level IS NOT NULL GROUP BY 1, 2, 3),
+cells AS (SELECT l.variable, l.level, g.split, coalesce(o.o, 0) AS o
+          FROM (SELECT DISTINCT variable, level FROM obs) l JOIN (SELECT DISTINCT variable, split FROM obs) g USING (variable)
+          LEFT JOIN obs o USING (variable, level, split)),
+ex AS (SELECT *, (sum(o) OVER (PARTITION BY variable, level))::DOUBLE * sum(o) OVER (PARTITION BY variable, split)
+               / sum(o) OVER (PARTITION BY variable) AS e FROM cells),
+dof AS (SELECT variable, (count(DISTINCT level) - 1) * (count(DISTINCT split) - 1) AS dof FROM cells GROUP BY 1),
+chi AS (SELECT variable, dof, sum(power(abs(o - e) - CASE WHEN dof = 1 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e) AS x
+        FROM ex JOIN dof USING (variable) GROUP BY 1, 2)"""
+LV_CON = """lvn AS (SELECT split, 'o_totalprice' AS variable, o_totalprice::DOUBLE AS x FROM split
+       UNION ALL SELECT split, 'o_custkey', o_custkey::DOUBLE FROM split),
+m AS (SELECT variable, split, count(x) AS n, avg(x) AS mean, var_samp(x) AS v FROM lvn GROUP BY 1, 2),
+w AS (SELECT a.variable, (a.mean - b.mean) / sqrt(a.v / a.n + b.v / b.n) AS t,
+             power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)) AS df
+      FROM m a JOIN m b USING (variable) WHERE a.split = 'test' AND b.split = 'train')"""
+
+
+@register("balance_table", f"""WITH {SPLIT_SQL}, {LV_CAT}, {LV_CON},
+gc AS (SELECT variable, level, split AS g, o FROM cells UNION ALL
+       SELECT variable, level, 'Overall', sum(o) FROM cells GROUP BY 1, 2),
+ct AS (SELECT variable, level, g, printf('%d (%.1f)', o::BIGINT, 100.0 * o / sum(o) OVER (PARTITION BY variable, g)) AS cell FROM gc),
+gm AS (SELECT variable, split AS g, avg(x) AS mean, stddev_samp(x) AS sd FROM lvn GROUP BY 1, 2 UNION ALL
+       SELECT variable, 'Overall', avg(x), stddev_samp(x) FROM lvn GROUP BY 1),
+mt AS (SELECT variable, g, printf('%.1f (%.1f)', mean, sd) AS cell FROM gm),
+miss AS (SELECT variable, count(*) - count(x) AS n_missing FROM lvn GROUP BY 1)
+SELECT c.variable, c.level, NULL::BIGINT AS n_missing, max(cell) FILTER (WHERE g = 'Overall') AS "Overall",
+       max(cell) FILTER (WHERE g = 'test') AS test, max(cell) FILTER (WHERE g = 'train') AS train,
+       CASE WHEN row_number() OVER (PARTITION BY c.variable ORDER BY c.level) = 1
+            THEN printf('%.3f', any_value({orc.p_chi2("chi.x", "chi.dof")})) END AS p_value
+FROM ct c JOIN chi USING (variable) GROUP BY c.variable, c.level
+UNION ALL
+SELECT mt.variable, '', any_value(n_missing), max(cell) FILTER (WHERE g = 'Overall'), max(cell) FILTER (WHERE g = 'test'),
+       max(cell) FILTER (WHERE g = 'train'), printf('%.3f', any_value({orc.p_student("w.t", "w.df")}))
+FROM mt JOIN miss USING (variable) JOIN w USING (variable) GROUP BY mt.variable""")
 def q_balance_table(spark, sf_dir):
-    """The formatted table with p-values (rows-only: strings formatted by Spark)."""
-    return bl.balance_table(orders_split(spark, sf_dir), "split", CATEGORICAL, CONTINUOUS, ["test", "train"])
+    """The formatted table with p-values."""
+    s = materialize(orders_split(spark, sf_dir).select(*CATEGORICAL, *CONTINUOUS, "split"), "split")
+    return bl.balance_table(s, "split", CATEGORICAL, CONTINUOUS, ["test", "train"])
 
 
-@register("balance_pvalues")
+@register("balance_pvalues", f"""WITH {SPLIT_SQL}, {LV_CAT}, {LV_CON}
+SELECT variable, 'welch_t' AS test, round({orc.p_student("t", "df")}, 6) AS p_value FROM w
+UNION ALL SELECT variable, 'chi2', round({orc.p_chi2("x", "dof")}, 6) FROM chi""")
 def q_balance_pvalues(spark, sf_dir):
-    s = orders_split(spark, sf_dir)
+    s = materialize(orders_split(spark, sf_dir).select(*CATEGORICAL, *CONTINUOUS, "split"), "split")
     t = bl.welch_t(s, "split", CONTINUOUS).select("variable", F.lit("welch_t").alias("test"), "p_value")
     c = bl.chi2(s, "split", CATEGORICAL).select("variable", F.lit("chi2").alias("test"), "p_value")
-    return t.unionByName(c)
+    return rounded(t.unionByName(c))

@@ -1,9 +1,6 @@
-"""The distributed branches, checked by the same oracles on the whole tables.
-
-At the testdata sizes every key group fits one task, so the operators pick the
-plain window.  These variants force the branch a large input takes — nested
-percentile range cuts (two levels) for ordered sums, the cut-range ranking for
-the stratified split — and must still return exactly the oracle's rows.
+"""Variants with deeper cuts than the testdata needs, checked by the same oracles on
+the whole tables: two nested range cuts for ordered sums (the default at these sizes
+is one), and salted rank joins with a low bound for what counts as a hot value.
 """
 
 from __future__ import annotations
@@ -11,9 +8,8 @@ from __future__ import annotations
 from tabeval.operators import consistency as cs
 from tabeval.operators import evaluate as ev
 from tabeval.operators import profile as pr
-from tabeval.operators import split as sp
 from tabeval.plans import fixtures as fx
-from tabeval.plans import q_explain, q_prep, q_profile  # noqa: F401  (their oracles are reused here)
+from tabeval.plans import q_explain, q_profile  # noqa: F401  (their oracles are reused here)
 from tabeval.plans.queries import ORACLES, register
 from tabeval.plans.report import rounded
 from tabeval.sources.io import testdata_table
@@ -43,10 +39,6 @@ def q_spearman_range_cut(spark, sf_dir):
                                levels=LEVELS))
 
 
-@register("stratified_split_range_cut", ORACLES["stratified_split"])
-def q_stratified_split_range_cut(spark, sf_dir):
-    o = testdata_table(spark, sf_dir, "orders")
-    s = sp.stratified_split(o, "o_orderstatus", q_prep.TEST_SIZE, q_prep.SEED, id_col="o_orderkey",
-                            max_window_rows=0)
-    return s.select("o_orderkey", "o_orderstatus", "split")
-
+@register("spearman_salted", ORACLES["spearman"])
+def q_spearman_salted(spark, sf_dir):
+    return rounded(cs.spearman(q_explain.events_shap(spark, sf_dir), ["model", "feature"], "value", "phi", hot_rows=20))

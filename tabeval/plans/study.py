@@ -28,7 +28,7 @@ from tabeval.operators import scale as sc
 from tabeval.operators import select as se
 from tabeval.operators import split as sp
 from tabeval.operators.frame import Roles
-from tabeval.session import checkpoint_dir
+from tabeval.session import checkpoint_dir, materialize
 
 
 @dataclass
@@ -56,7 +56,7 @@ def prepare(raw: DataFrame, roles: Roles, repair_column: str | None = None, test
                             **(impute_params or {}))
         for c in round_columns:
             df = df.withColumn(c, pr.half_even(c, 0))
-    split = sp.stratified_split(df, roles.label, test_size, seed, roles.row_id)
+    split = materialize(sp.stratified_split(df, roles.label, test_size, seed, roles.row_id), "split")
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
     tagged = sp.union_tagged({"train_set": train, "test_set": test}, "group")
@@ -73,29 +73,26 @@ def prepare(raw: DataFrame, roles: Roles, repair_column: str | None = None, test
     return Prepared(train, test, train_s, test_s, balance, uni, multi, selected)
 
 
-DEFAULT_LEARNERS = {
-    "Decision Tree": ("tree", {"maxDepth": 5}),
-    "Random Forest": ("forest", {"numTrees": 100}),
-    "XGBoost": ("gbt", {"maxIter": 50, "maxDepth": 3}),
-    "LightGBM": ("gbt_leafy", {"maxIter": 50, "num_leaves": 8}),
-    "SVM": ("svm", {"kernel": "rbf", "n_components": 50}),
-    "ANN": ("mlp", {"hidden": [50], "maxIter": 200}),
-}
+# name -> (kind, grid): every learner is tuned over its grid on the validation part
+DEFAULT_LEARNERS = {name: (kind, cl.REFERENCE_GRIDS[kind]) for name, kind in (
+    ("Decision Tree", "tree"), ("Random Forest", "forest"), ("Gradient Boosting", "gbt"),
+    ("Leaf-sized Boosting", "gbt_leafy"), ("SVM", "svm"), ("Neural Network", "mlp"))}
 
 
 def fit_and_evaluate(prep: Prepared, roles: Roles, learners: dict | None = None, seed: int = 123):
-    """Returns (models, scored, validation table, test table)."""
+    """Returns (models, scored, validation table, test table).  ``learners``: name -> (kind,
+    grid); the model with the best validation AUC of each grid goes on."""
     label, rid = roles.label, roles.row_id
     logistic = se.fit_logistic(prep.train, label, prep.selected)
-    checkpoint_dir(prep.train.sparkSession)
     # iterative learners read their input once per iteration: materialize it first
-    inner = sp.stratified_split(prep.train_scaled, label, 0.3, seed, rid).checkpoint(eager=True)
+    inner = materialize(sp.stratified_split(prep.train_scaled, label, 0.3, seed, rid), "inner")
     tr = inner.where(F.col("split") == "train").drop("split")
     va = inner.where(F.col("split") == "test").drop("split")
     feats = roles.features
     models = {}
-    for name, (kind, params) in (learners or DEFAULT_LEARNERS).items():
-        models[name] = cl.spec(kind, feats, label=label, seed=seed, **params).fit(tr)
+    for name, (kind, grid) in (learners or DEFAULT_LEARNERS).items():
+        tried = cl.candidates(kind, feats, grid, label, seed, cl.svm_params if grid is cl.REFERENCE_GRIDS.get("svm") else None)
+        _table, models[name] = cl.grid_search(tried, tr, va, label, rid)
 
     def scored_of(m, d, dataset, name):
         return m.transform(d).select(F.lit(dataset).alias("dataset"), F.lit(name).alias("model"),

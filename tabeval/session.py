@@ -45,16 +45,16 @@ def get_spark(master: str | None = None, app: str = "tabeval", shuffle_partition
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; it is only invented here
-    (under the local temp folder) when the setting is absent, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session without
+    the setting, as in tests, gets a folder of its own; elsewhere that is an error,
+    because each executor would write to its own disk.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tabeval-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # a core setting some deployments refuse to change at run time
-            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -77,3 +77,13 @@ def materialize(df, name: str = "table"):
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+SMALL_ROWS = 200_000   # rows of a side that may be broadcast
+
+
+def small_side(df, limit: int = SMALL_ROWS):
+    """``df`` marked for broadcast when it is counted to have at most ``limit`` rows;
+    otherwise unmarked, so the join shuffles.  For sides that are cheap to count."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -25,6 +25,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     if schema is not None:
         r = r.schema(schema)
     if fmt == "csv":
+        _allow(spark, encoding)
         df = r.option("header", True).option("encoding", encoding).option(
             "inferSchema", schema is None).csv(path)
         if df.columns and df.columns[0].startswith(BOM):  # a BOM the reader kept
@@ -40,15 +41,26 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return df
 
 
+# Charsets Spark refuses for CSV unless its legacy setting allows every charset of Java.
+SPARK_CHARSETS = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32"}
+
+
+def _allow(spark: SparkSession, encoding: str) -> None:
+    if encoding.upper() not in SPARK_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", bom: bool = False,
-                mode: str = "overwrite") -> None:
+                mode: str = "overwrite", encoding: str = "UTF-8") -> None:
     """Write a table; CSV gets a header, and with ``bom`` a UTF-8 byte-order mark
-    (carried by the first header name, which is where a BOM sits in the file)."""
+    (carried by the first header name, which is where a BOM sits in the file).
+    ``encoding`` may be any charset Java knows, e.g. GBK."""
     if fmt == "csv":
         out = df
         if bom and df.columns:
             out = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
-        out.write.mode(mode).option("header", True).csv(path)
+        _allow(df.sparkSession, encoding)
+        out.write.mode(mode).option("header", True).option("encoding", encoding).csv(path)
     else:
         df.write.mode(mode).format(fmt).save(path)
 

@@ -29,7 +29,7 @@ def streaming_calibration(scored_stream: DataFrame, n_bins: int = 10, keys: Sequ
     return calibration(scored_stream, n_bins, keys)
 
 
-def start_monitor(scored_stream: DataFrame, name: str, sink: str = "memory", cut: float = 0.5,
+def start_monitor(scored_stream: DataFrame, name: str, sink: str = "table", cut: float = 0.5,
                   keys: Sequence[str] = KEYS, trigger_seconds: int | None = None,
                   output_path: str | None = None) -> StreamingQuery:
     """Start the metrics query.  Its state checkpoint goes under the shared
@@ -42,5 +42,7 @@ def start_monitor(scored_stream: DataFrame, name: str, sink: str = "memory", cut
         w = w.trigger(processingTime=f"{trigger_seconds} seconds")
     if sink == "memory":
         return w.format("memory").start()
-    # complete-mode results re-written per micro-batch
+    if output_path is None:
+        output_path = os.path.join(checkpoint_dir(spark), "streams", name + "-metrics")
+    # complete-mode results re-written per micro-batch: a table, not the driver's memory
     return w.foreachBatch(lambda df, _epoch: df.write.mode("overwrite").parquet(output_path)).start()

@@ -50,3 +50,37 @@ def test_join_source_never_reads_document_text(spark, sf_dir):
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", tree)
     assert any("n_chars" in s for s in schemas)
     assert all("text" not in s for s in schemas)
+
+
+def test_large_plan_deals_no_rows_out_by_a_few_keys(spark, sf_dir):
+    """With automatic broadcasts off, as for a large input: no exchange of raw rows on the strata
+    or on (dataset, model); the small sides are broadcast because they were counted."""
+    from tabeval.operators import evaluate as ev
+    from tabeval.operators import split as sp
+    from tabeval.plans import fixtures as fx
+    from tabeval.sources.io import testdata_table as read
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = sp.stratified_split(read(spark, sf_dir, "orders"), "o_orderstatus", id_col="o_orderkey")
+        text = plan_text(s)
+        assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+        c = ev.roc_curve(fx.scored(spark, sf_dir))
+        text = plan_text(c)
+        assert "SortMergeJoin" not in text
+        # the row-level windows are dealt out by (keys, range)
+        by = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+        assert by and any("_bucket" in b for b in by)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_univariable_screen_reads_its_table_a_fixed_number_of_times(spark, sf_dir, monkeypatch):
+    from tabeval.operators import select as se
+    from tabeval.plans import q_models as qm
+    writes = []
+    original = se.materialize
+    monkeypatch.setattr(se, "materialize", lambda df, name: writes.append(name) or original(df, name))
+    d = qm.lineitem_problem(spark, sf_dir)
+    se.univariable_logit(d, "y", qm.LINE_FEATURES[:1])
+    se.univariable_logit(d, "y", qm.LINE_FEATURES)
+    assert writes == ["design", "design"]   # one read each, whatever the number of candidates

@@ -75,7 +75,7 @@ def test_prefix_sums_equal_plain_window_under_skew(spark):
     want = df.select("k", "v", F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                           F.lit(0)).alias("w_before"), F.lead("w").over(w).alias("w_next"))
     b = {(r.k, r.v): (r.w_before, r.w_next) for r in want.collect()}
-    for levels in (0, 1, 2):
+    for levels in (None, 1, 2):
         got = prefix_sums(df, ["k"], "v", ["w"], descending=True, lead_cols=["w"], n_buckets=3, levels=levels)
         assert {(r.k, r.v): (r.w_before, r.w_next) for r in got.collect()} == b
     # the depth follows the size of the largest group
@@ -116,8 +116,8 @@ def test_decision_curve_equals_definition(spark):
 
 def test_split_exact_disjoint_and_stable(spark):
     df = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("y"))
-    a = sp.stratified_split(df, "y", 0.3, 11, "row_id", hex_digits=1, max_window_rows=0)   # range cut
-    b = sp.stratified_split(df.repartition(7), "y", 0.3, 11, "row_id", hex_digits=1, max_window_rows=0)
+    a = sp.stratified_split(df, "y", 0.3, 11, "row_id", hex_digits=1)   # range cut
+    b = sp.stratified_split(df.repartition(7), "y", 0.3, 11, "row_id", hex_digits=1)
     c = sp.stratified_split(df, "y", 0.3, 11, "row_id")                                     # one window
     ra = {r.row_id: r.split for r in a.collect()}
     rb = {r.row_id: r.split for r in b.collect()}
@@ -253,7 +253,7 @@ def test_sampled_kernel_shap_is_exact_for_a_linear_model(spark):
     w = {"a": 0.4, "b": -0.2, "c": 0.1, "d": 0.05, "e": -0.3}
     lin = xp.SqlModel("lin", "0.1 + " + " + ".join(f"({v}) * {f}" for f, v in w.items()))
     masks, _ = xp.kernel_map(5, 16, seed=4)
-    assert len(masks) == 18                      # 16 sampled + empty + full: fewer than the 32 subsets
+    assert 10 <= len(masks) <= 18                # 16 draws, repeated ones merged, + empty + full: fewer than 32
     out = xp.kernel_shap(df, bg, feats, [lin], mode="kernel", n_coalitions=16, seed=4)
     m = bg.agg(*[F.avg(f).alias(f) for f in feats]).first()
     for r in out.collect():

@@ -16,12 +16,12 @@ def test_streaming_metrics_equal_batch(spark, sf_dir):
     batch = fx.scored(spark, sf_dir)
     batch.repartition(4).write.mode("overwrite").parquet(os.path.join(out, "scored"))
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(out, "scored"))
-    q = start_monitor(stream, "monitor_test")
+    q = start_monitor(stream, "monitor_test", output_path=os.path.join(out, "metrics"))
     try:
         q.processAllAvailable()
-        got = {(r.dataset, r.model): (r.tn, r.fp, r.fn, r.tp) for r in spark.sql("SELECT * FROM monitor_test").collect()}
     finally:
         q.stop()
+    got = {(r.dataset, r.model): (r.tn, r.fp, r.fn, r.tp) for r in spark.read.parquet(os.path.join(out, "metrics")).collect()}
     want = {(r.dataset, r.model): (r.tn, r.fp, r.fn, r.tp) for r in ev.confusion(batch).collect()}
     assert got == want
 
@@ -60,8 +60,7 @@ def test_grid_search_and_default_vs_tuned(spark):
                                    (F.col("id") % 11).cast("double").alias("b"))
     tr, va = data.where("row_id % 4 <> 0"), data.where("row_id % 4 = 0")
     pipe = cl.spec("tree", ["a", "b"])
-    grid = cl.param_grid(pipe, {"maxDepth": [1, 3], "minInstancesPerNode": [1, 5]})
-    table, best = cl.grid_search(pipe, grid, tr, va)
+    table, best = cl.grid_search(cl.candidates("tree", ["a", "b"], {"maxDepth": [1, 3], "minInstancesPerNode": [1, 5]}), tr, va)
     rows = table.orderBy("ordinal").collect()
     assert [r.ordinal for r in rows] == [0, 1, 2, 3] and all(r.auc == 1.0 for r in rows)
     # first strict maximum wins: ordinal 0

@@ -15,12 +15,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(REFERENCE), reason="reference
 ROLES = Roles(label="diabetes", categorical=("gender", "exercise", "race", "his", "hyperlip", "pregnant"),
               continuous=("age", "glucose", "pressure", "triceps", "bmi", "pedigree", "insulin"))
 SMALL = {
-    "Decision Tree": ("tree", {"maxDepth": 4}),
-    "Random Forest": ("forest", {"numTrees": 20}),
-    "XGBoost": ("gbt", {"maxIter": 10, "maxDepth": 3}),
-    "LightGBM": ("gbt_leafy", {"maxIter": 10, "num_leaves": 8}),
-    "SVM": ("svm", {"kernel": "rbf", "n_components": 20}),
-    "ANN": ("mlp", {"hidden": [10], "maxIter": 50}),
+    "Decision Tree": ("tree", {"maxDepth": [3, 4]}),
+    "Random Forest": ("forest", {"numTrees": [20]}),
+    "Gradient Boosting": ("gbt", {"maxIter": [10], "maxDepth": [3]}),
+    "Leaf-sized Boosting": ("gbt_leafy", {"maxIter": [10], "num_leaves": [8]}),
+    "SVM": ("svm", {"kernel": ["linear", "rbf"], "n_components": [20]}),
+    "Neural Network": ("mlp", {"hidden": [[10]], "maxIter": [50]}),
 }
 
 
