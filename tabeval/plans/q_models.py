@@ -169,6 +169,36 @@ def q_kernel_shap_sampled(spark, sf_dir):
     return rounded(xp.kernel_shap(ev_, bg, feats, models, mode="kernel", n_coalitions=4, seed=SEED))
 
 
+WIDE = 13
+WIDE_FEATURES = [("f0", "o_totalprice / 100000.0"), ("f1", "o_custkey / 1000.0")] + [
+    (f"f{j}", f"((o_orderkey * {7919 + 104729 * j}) % 1000) / 1000.0") for j in range(2, WIDE)]
+WIDE_WEIGHTS = [(j + 1) / 21 for j in range(WIDE)]
+
+
+def _wide_sql() -> str:
+    """A linear model's Shapley values are weight x (value - background mean), whatever was sampled."""
+    cols = ", ".join(f"({e})::DOUBLE AS {n}" for n, e in WIDE_FEATURES)
+    order = "ORDER BY md5(concat('{}', ':', row_id::VARCHAR)), row_id LIMIT {}"
+    base = " + ".join(f"{w} * avg({n})" for w, (n, _) in zip(WIDE_WEIGHTS, WIDE_FEATURES))
+    rows = " UNION ALL ".join(
+        f"SELECT 'wide' AS model, row_id, '{n}' AS feature, round({n}, 6) AS value, round({w} * ({n} - (SELECT avg({n}) FROM b)), 6) "
+        f"AS phi, round((SELECT {base} FROM b), 6) AS base FROM e" for w, (n, _) in zip(WIDE_WEIGHTS, WIDE_FEATURES))
+    return (f"WITH d AS (SELECT o_orderkey AS row_id, {cols} FROM orders), e AS (SELECT * FROM d {order.format(SEED + 1, 300)}), "
+            f"b AS (SELECT * FROM d {order.format(SEED, 200)}) {rows}")
+
+
+@register("kernel_shap_wide", _wide_sql())
+def q_kernel_shap_wide(spark, sf_dir):
+    """Kernel SHAP at the reference's size: 13 features, 200 background rows, the default
+    budget of 2 x 13 + 2048 draws, for 300 sampled orders (the sizes are the feature)."""
+    o = testdata_table(spark, sf_dir, "orders")
+    d = o.select(F.col("o_orderkey").alias("row_id"), *[F.expr(e).cast("double").alias(n) for n, e in WIDE_FEATURES])
+    model = xp.SqlModel("wide", " + ".join(f"{w}D * {n}" for w, (n, _) in zip(WIDE_WEIGHTS, WIDE_FEATURES)))
+    shap = xp.kernel_shap(sample_n(d, 300, SEED + 1, "row_id"), sample_n(d, 200, SEED, "row_id"),
+                          [n for n, _ in WIDE_FEATURES], [model], mode="kernel", seed=SEED)
+    return rounded(shap)
+
+
 @register("shap_fitted_model")
 def q_shap_fitted_model(spark, sf_dir):
     """Kernel SHAP of a fitted pyspark.ml pipeline (boosted trees) on every test order."""
