@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from tabeval.operators import profile as pr
 from tabeval.plans import fixtures as fx
 from tabeval.plans.queries import register
@@ -106,6 +108,17 @@ def q_iqr_repair(spark, sf_dir):
     return pr.iqr_repair(ev, "value")
 
 
+@register("iqr_repair_overrides", f"""WITH {FENCES_SQL}
+SELECT event_id, CASE WHEN event_id % 97 = 0 THEN user_id::DOUBLE
+  WHEN value < f2.lower OR value > f2.upper THEN floor(value / 10)::DOUBLE ELSE value END AS value
+FROM events, f2 WHERE f2.variable = 'value'""")
+def q_iqr_repair_overrides(spark, sf_dir):
+    """The rule, but the caller's value where one is given for the row."""
+    ev = testdata_table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    given = ev.where(F.col("event_id") % 97 == 0).select("event_id", F.col("user_id").cast("double").alias("value"))
+    return pr.iqr_repair(ev.drop("user_id"), "value", overrides=given, id_col="event_id")
+
+
 @register("box_stats", """
 WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
                   quantile_cont(value, 0.75) AS q3 FROM events),
