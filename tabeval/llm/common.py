@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabeval.session import checkpoint_dir
+from tabeval.session import SMALL_ROWS, checkpoint_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_VOCABULARY = 32 << 20
@@ -49,8 +49,8 @@ def blocks(a: np.ndarray, size: int) -> list[tuple[int, bytes]]:
     return [(i // size, pack(a[i:i + size])) for i in range(0, len(a), size) if a[i:i + size].any()]
 
 
-def sum_blocks(parts: DataFrame, tasks: int, dtype: str, keys: list[str] | None = None) -> DataFrame:
-    """Add up packed arrays of many tasks: rows (keys..., block, part, data), ``part`` below
+def sum_blocks(parts: DataFrame, tasks: int, dtype: str, keys: list[str] | None = None, combine=np.add) -> DataFrame:
+    """Add up (or otherwise combine) packed arrays of many tasks: rows (keys..., block, part, data), ``part`` below
     ``tasks``.  Each group adds at most FAN_IN arrays, so it stays small for any number of tasks."""
     keys = (keys or []) + ["block"]
 
@@ -58,7 +58,7 @@ def sum_blocks(parts: DataFrame, tasks: int, dtype: str, keys: list[str] | None
         total = None
         for b in pdf["data"]:
             x = unpack(b, dtype)
-            total = x.copy() if total is None else total + x
+            total = x if total is None else combine(total, x)
         out = pdf.iloc[:1].copy()
         out["data"] = [pack(total.astype(dtype))]
         return out
@@ -100,9 +100,12 @@ def tokenizer_file(spark: SparkSession, path: str):
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join to ``right`` (one row a key).  Keys with more than 1/FREQUENT of the left rows, at
-    most FREQUENT of them, come from a broadcast list; the rest is dealt out by key.  Rows that are
-    already served are dealt out by their content, so no key gathers them."""
+    """Left join to ``right`` (one row a key).  A right side counted to be small is broadcast.  Else
+    keys with more than 1/FREQUENT of the left rows, at most FREQUENT of them, come from a broadcast
+    list; the rest is dealt out by key.  Rows that are already served are dealt out by their
+    content, so no key gathers them."""
+    if right.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return left.join(F.broadcast(right), key, "left")
     many = left.groupBy(key).count().where(F.col("count") > left.count() / FREQUENT).select(key)
     values = [c for c in right.columns if c != key]
     hot = right.join(F.broadcast(many), key, "left_semi").select(

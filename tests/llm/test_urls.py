@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tabeval.llm import urls
+from tabeval.llm import common, urls
 from tabeval.llm.common import lookup
 
 
@@ -86,7 +86,9 @@ def test_bad_hosts_are_blocked_unless_a_rule_allows(spark):
     assert got[0] == "block" and got[99] == "allow" and got[100] == "allow"
 
 
-def test_lookup_keeps_every_row(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_lookup_keeps_every_row(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
     left = spark.range(6000).select(F.col("id"), F.when(F.col("id") < 3000, "hot").otherwise(
         F.concat(F.lit("k"), (F.col("id") % 1500).cast("string"))).alias("key"))
     right = left.select("key").distinct().where("key <> 'k7'").withColumn("v", F.length("key"))
