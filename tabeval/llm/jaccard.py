@@ -40,7 +40,7 @@ BLOCK = 1 << 16
 LEVELS = 15
 PARTS = 8  # vertical fragments of a set when overlaps are counted
 FRAGMENT = 1_000_000  # prefix shingles met in one fragment, about
-HELD = 500_000  # prefix shingles a task holds before it sends them on
+HELD = 250_000  # prefix shingles a task holds before it sends them on
 ROUNDS = 4
 FEW = 500_000  # rows of a table of two to four numbers that may be broadcast
 RATIOS = [1.0, 0.98, 0.9, LINK / 100]  # ranges of the size ratio, met separately in the last round
@@ -222,11 +222,11 @@ def candidates(shared: DataFrame, classes: DataFrame, per_cent: int) -> DataFram
 def filter_of(classes: DataFrame) -> np.ndarray:
     """A bit table of fixed size (MEMBERS bits) with two bits set for each class."""
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(MEMBERS, bool)
+        table = np.zeros(MEMBERS // 8, np.uint8)
         for b in batches:
             for at in places_of(np.asarray(b.column(0)).astype(np.int64)):
-                table[at] = True
-        out = blocks(np.packbits(table), 1 << 18)
+                np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        out = blocks(table, 1 << 18)
         yield pa.RecordBatch.from_arrays(
             [pa.array([task_number()] * len(out), pa.int32()), pa.array([k for k, _ in out], pa.int32()),
              pa.array([x for _, x in out], pa.binary())], ["part", "block", "data"])
@@ -247,15 +247,15 @@ def class_sets(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(wanted)  # MEMBERS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, table, seen = WordHasher(), np.unpackbits(sent.value).astype(bool), set()
+        h, table, seen = WordHasher(), sent.value, set()
         cuts = np.array([(k << 64) // PARTS for k in range(1, PARTS)], np.uint64)
         for b in batches:
             cls, part, items = [], [], []
             for _, _, words, off in h.documents(b.column(0)):
                 for s in shingles(words, off, size):
                     c = signature(s)
-                    one, two = places_of(np.array([c], np.int64))
-                    if len(s) and c not in seen and table[one[0]] and table[two[0]]:
+                    if len(s) and c not in seen and all(table[at[0] >> 3] >> (at[0] & 7) & 1 for at in
+                                                        places_of(np.array([c], np.int64))):
                         if len(seen) >= 1_000_000:
                             seen.clear()
                         seen.add(c)
