@@ -59,6 +59,20 @@ def prefix_length(n: int, per_cent: int) -> int:
     return n - -(-per_cent * n // 100) + 1
 
 
+def most_unmet(n: Column, per_cent: int) -> Column:
+    """Shingles that a class of ``n`` may have sent without meeting a linked class y there.
+
+    They are either its own, at most n - ceil(per_cent n), or shared and behind the end of what y
+    sent: with y's own b = ny - overlap all in front, at most reach(n) + b - reach(ny) are unmet.
+    overlap >= per_cent (n + ny) / (100 + per_cent), and without rounding reach(ny) is a share of ny,
+    so the bound is linear in ny and largest at an end of the sizes that may link."""
+    own = n - F.ceil(n * per_cent / 100)
+    sent = F.greatest(F.ceil(n * REACH / 100), own + 1)
+    ends = (per_cent / 100, 100 / per_cent)
+    slope = max(r * (100 / (100 + per_cent) - max(REACH, 100 - per_cent) / 100) for r in ends) - per_cent / (100 + per_cent)
+    return F.greatest(own, F.floor(sent + n * slope + 1e-6))
+
+
 def signature(s: np.ndarray) -> int:
     """Class of a shingle set: equal sets have equal signatures (64 bits, as int64)."""
     with np.errstate(over="ignore"):
@@ -203,15 +217,15 @@ def shared_prefixes(docs: DataFrame, level, size: int, per_cent: int, fragments:
 def candidates(shared: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
     """Prefix lists (key, class, n, common) of the classes that may link.
 
-    A class links only if at most n - ceil(per_cent n) of its shingles are its own.  So it is out
-    when more of the shingles it sent are, and a list is out that only such classes shared.
+    A class is out when more of the shingles it sent were met with no other class than a link
+    allows (:func:`most_unmet`), and a list is out that only such classes shared.
     ``common`` is the shared part of what a class sent."""
     own = F.col("n") - F.ceil(F.col("n") * per_cent / 100)
     sent = F.greatest(F.ceil(F.col("n") * REACH / 100), own + 1)
     # one row a class (its shingles are at most REACH per cent of one text's); a class that several
     # tasks sent is put together here
     each = shared.groupBy("class").agg(F.collect_set(F.struct("key", "beyond")).alias("met"))
-    each = each.join(counted(classes.select("class", "n")), "class").where(sent - F.size("met") <= own)
+    each = each.join(counted(classes.select("class", "n")), "class").where(sent - F.size("met") <= most_unmet(F.col("n"), per_cent))
     kept = F.transform(F.filter("met", lambda m: ~m["beyond"]), lambda m: m["key"])
     lists = each.select("class", "n", (F.size("met") / sent).alias("common"), F.explode(kept).alias("key"))
     lists = saved(lists.select("key", "class", "n", "common"), "lists")

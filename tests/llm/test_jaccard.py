@@ -104,3 +104,46 @@ def test_a_large_group_makes_no_pairs_of_all_members(docs_of, spark):
         jaccard.verified = original
     assert len({c for _, c in out.values()}) == len(set(brute.components(docs).values()))
     assert sum(seen) < 300 * 10  # all pairs would be 44,850
+
+
+@pytest.mark.parametrize("per_cent", [75, 50, 60, 80, 90])
+def test_no_linked_class_has_more_unmet_shingles_than_allowed(spark, per_cent):
+    from pyspark.sql import functions as F
+    top = 300 if per_cent == 75 else 100
+    allowed = {r["id"]: r["m"] for r in spark.range(1, top).select(
+        "id", jaccard.most_unmet(F.col("id"), per_cent).alias("m")).collect()}
+    for nx in allowed:
+        r = jaccard.reach(nx, per_cent)
+        for ny in range(-(-per_cent * nx // 100), 100 * nx // per_cent + 1):
+            s = jaccard.reach(ny, per_cent)
+            for o in range(-(-per_cent * (nx + ny) // (100 + per_cent)), min(nx, ny) + 1):
+                # u of x's own among the first r, all of y's own in front
+                worst = max(u + max(0, r - u + ny - o - s) for u in range(min(nx - o, r) + 1))
+                assert worst <= allowed[nx], (nx, ny, o)
+
+
+def test_bound_on_unmet_by_every_order_of_small_sets(spark):
+    from itertools import permutations
+
+    from pyspark.sql import functions as F
+    allowed = {r["id"]: r["m"] for r in spark.range(1, 9).select(
+        "id", jaccard.most_unmet(F.col("id"), 75).alias("m")).collect()}
+    for nx in range(1, 9):
+        for ny in range(1, 11):
+            for o in range(1, min(nx, ny) + 1):
+                if 100 * o < 75 * (nx + ny - o):
+                    continue
+                for order in set(permutations("s" * o + "x" * (nx - o) + "y" * (ny - o))) if nx + ny - o <= 8 else []:
+                    x = [k for k, c in enumerate(order) if c != "y"][:jaccard.reach(nx, 75)]
+                    y = [k for k, c in enumerate(order) if c != "x"][:jaccard.reach(ny, 75)]
+                    assert len(set(x) - set(y)) <= allowed[nx], (nx, ny, o, order)
+
+
+def test_texts_of_seven_words_and_one_more(docs_of):
+    docs = {}
+    for k in range(60):
+        w = [f"v{k}x{j}" for j in range(8)]
+        docs[2 * k], docs[2 * k + 1] = " ".join(w), " ".join(w[1:] if k % 2 else w[:-1])
+    expected = want(docs)
+    assert len({c for _, c in expected.values()}) == 60
+    assert got(docs_of(list(docs.items())).repartition(3)) == expected
