@@ -436,8 +436,21 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, per_cent: int = LINK) ->
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, per_cent: int = LINK) -> DataFrame:
-    """The documents, columns unchanged, that are the smallest of their component.  Of repeated rows
-    with that id one stays; documents without an id all stay."""
-    found = near_duplicates(docs, size, per_cent).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
-    return first.unionByName(docs.where("doc_id IS NULL"))
+    """One row, columns unchanged, of each component: the smallest by doc_id, then by the text's hash.
+
+    A row is known by its id and text, so an id with two texts stands for two documents, and of rows
+    that repeat both one stays.  Rows without an id stand for themselves: of those in a component the
+    one with the smallest text hash stays too.  A text without shingles links with nothing."""
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    found = near_duplicates(docs.select(mine.alias("doc_id"), "text"), size, per_cent)
+    found = saved(found.groupBy("component_id", "doc_id").agg(F.count(F.lit(1)).alias("copies")), "members")
+    named = found.where(~F.col("doc_id.none") & (F.col("doc_id") == F.col("component_id"))).select("doc_id", "copies")
+    least = F.min(F.struct("doc_id", "copies")).alias("p")
+    nameless = found.where("doc_id.none").groupBy("component_id").agg(least).select("p.doc_id", "p.copies")
+    chosen = saved(named.unionByName(nameless).withColumnRenamed("doc_id", "chosen row"), "chosen")
+    keyed = docs.withColumn("chosen row", mine)
+    out = keyed.join(counted(chosen.where("copies = 1")), "chosen row", "left_semi").drop("chosen row")
+    if chosen.where("copies > 1").limit(1).count():  # only these rows are dealt out to drop their copies
+        several = keyed.join(counted(saved(chosen.where("copies > 1"), "several")), "chosen row", "left_semi")
+        out = out.unionByName(several.dropDuplicates(["chosen row"]).drop("chosen row"))
+    return out

@@ -147,3 +147,13 @@ def test_texts_of_seven_words_and_one_more(docs_of):
     expected = want(docs)
     assert len({c for _, c in expected.values()}) == 60
     assert got(docs_of(list(docs.items())).repartition(3)) == expected
+
+
+def test_one_row_of_each_component(docs_of):
+    def text(w):
+        return " ".join(f"{w}{k}" for k in range(12))
+    df = docs_of([(1, text("a")), (1, text("a")), (2, text("a")),  # a repeated representative
+                  (3, text("b")), (3, text("c")), (2, text("c")),  # an id with two texts, one of them another's copy
+                  *[(None, text("d"))] * 4, (None, text("e")), (7, None), (7, None), (8, None)]).repartition(3)
+    rows = sorted((r["doc_id"] or 0, r["text"] or "") for r in jaccard.one_of_each(df).collect())
+    assert rows == [(0, text("d")), (0, text("e")), (1, text("a")), (2, text("c")), (3, text("b")), (7, ""), (8, "")]
