@@ -35,13 +35,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+LETTER = re.compile(r"[A-Za-z]")
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}  # md5, sha1, tiger, sha224, sha256, sha384, sha512 in hex
-PLAIN_HEX = re.compile(r"[0-9a-fA-F]+")
+PLAIN_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")  # no digest is written in mixed case
 # Identifiers: words, numbers and dates joined by separators, or camel-case words with a version number.
+# A letter run of 8 or more counts as words only if its camel-case parts encode well.
 IDENTIFIER = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[-_/+=](?:[A-Za-z]+|[0-9]+|$))*|[A-Za-z]+[0-9]{1,4}")
 
+RUN, PART = re.compile(r"[A-Za-z]{8,}"), re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
 
 class Scanner:
     """Spans of one text; built inside a task from the vocabulary file's bytes."""
@@ -61,14 +64,18 @@ class Scanner:
             spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
         return spans + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
+    def words(self, run: str) -> bool:
+        return len(run) >= self.max_ratio * sum(len(self.encode(p)) for p in PART.findall(run))
+
     def identifier(self, s: str) -> bool:
-        return bool(s in self.known or UUID.fullmatch(s) or IDENTIFIER.fullmatch(s)
+        return bool(s in self.known or UUID.fullmatch(s)
+                    or IDENTIFIER.fullmatch(s) and all(map(self.words, RUN.findall(s)))
                     or len(s) in DIGEST_LENGTHS and PLAIN_HEX.fullmatch(s))
 
     def random(self, text: str) -> Iterator[tuple[int, int, int]]:
         for m in STRING.finditer(text):
             s = m[0]
-            if DIGIT.search(s) and LETTER.search(s) and not self.identifier(s) \
+            if LETTER.search(s) and not self.identifier(s) \
                     and len(s) < self.max_ratio * len(self.encode(s)):
                 yield m.start(), 3, m.end()
 

@@ -57,6 +57,17 @@ def test_random_strings_are_added_and_ordinary_ones_are_not(docs_of):
     assert known["spans"] == ""
 
 
+def test_keys_of_letters_and_with_digits_at_the_end_are_tested():
+    with open(secrets.VOCABULARY, "rb") as f:
+        scanner = secrets.Scanner(f.read(), 2.2)
+    for key in ["wJrXUtnFMIqKMDEqGbPxRfiCYZEXzQhv", "qZxWvKjTgRpLmBdN", "XkQzVbWjTgRpLmBd7", "HqZxWvKjTgYpLfBdNc2024",
+                "dA39a3EE5e6B4b0D3255bFEF95601890aFD80709"]:
+        assert scanner.spans(f"see {key} here") == [(4, 3, 4 + len(key))], key
+    for name in ["getHttpResponseStatusCode", "DocumentBuilderFactory2", "a/b/c/src/lib/x/y/z", "CONFIGURATION_VALUE_NAME",
+                 "responsibilities", "some-ordinary-words-here"]:
+        assert scanner.spans(f"see {name} here") == [], name
+
+
 def test_redaction_keeps_rows_and_masks_spans(docs_of):
     df = docs_of([(1, "a secret=abcdefgh b", "en", "s", 19), (2, None, None, None, None), (2, "clean", "en", "s", 5),
                   (None, "clean", "en", "s", 5)])
