@@ -168,7 +168,7 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.word_lengths(table(spark, sf_dir, "documents")))
+    return packing.pack(pieces.token_counts(table(spark, sf_dir, "documents")))
 
 
 @register("op9_secrets")

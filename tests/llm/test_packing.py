@@ -92,6 +92,16 @@ def optimum(lengths, capacities, cost):
     return best[0]
 
 
+def test_query_packs_tokens_of_the_vocabulary(spark, docs_of, tmp_path):
+    from tabeval.llm import pieces, queries
+    texts = [(1, "aGVsbG8gd29ybGQ" * 8_000), (2, "a few ordinary words"), (3, "漢字" * 600), (4, None)]
+    docs_of(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r["doc_id"]: r["n_tokens"] for r in pieces.token_counts(docs_of(texts)).collect()}
+    assert want[1] > 8192 and want[3] > 512  # one word each
+    rows = [tuple(r) for r in queries.op8_packing(spark, str(tmp_path)).collect()]
+    check(rows, list(want.items()), packing.CAPACITIES)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_close_to_the_optimum_on_small_inputs(seed):
     import random
