@@ -13,9 +13,9 @@ for evaluation row x, coalition S and background sample B,
 
 Models come in two forms:
 
-- ``SqlModel``: a SQL expression in the feature names.  The coalitions and the
-  background are literal arrays; v(S) is a higher-order ``aggregate`` inside the
-  row, so the whole explanation is a projection: no shuffle, no join.
+- ``SqlModel``: a SQL expression in the feature names.  A few evaluations per row are
+  written out in a projection; beyond that the rows are dealt out by id once and
+  v(S) is an aggregation inside the task over literal background and coalitions.
 - any pyspark.ml ``Transformer`` producing a probability column (e.g. a fitted
   ``PipelineModel``): each evaluation row is expanded to coalitions x background
   rows (a bounded generator: C x |B| per row), scored by ``transform``, averaged
@@ -28,8 +28,10 @@ it is collected into the plan.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
+import operator
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -142,11 +144,6 @@ def _bg_literal(rows: list[tuple], features: Sequence[str]) -> str:
         "named_struct(" + ", ".join(f"'b{i}', {_dbl(v)}" for i, v in enumerate(r)) + ")" for r in rows) + ")"
 
 
-def _masks_literal(masks: np.ndarray) -> str:
-    return "array(" + ", ".join(
-        "array(" + ", ".join("true" if b else "false" for b in row) + ")" for row in masks) + ")"
-
-
 # string literal, quoted name, name, number, any other character
 _TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|[A-Za-z_]\w*|\d[\w.]*|.", re.S)
 
@@ -166,7 +163,8 @@ def _substitute(expr: str, features: Sequence[str], repl) -> str:
 
 # ---------------------------------------------------------------- explanations
 
-UNROLL_LIMIT = 2048   # coalitions x background evaluations per row written out as plain expressions
+UNROLL_LIMIT = 256   # coalitions x background evaluations per row written out as plain expressions
+WIDE_LIMIT = 64      # coalitions that are columns of one aggregation
 
 
 def _dbl(v) -> str:
@@ -204,29 +202,52 @@ def _explain_sql_unrolled(eval_df: DataFrame, id_col: str, features: list[str],
 
 
 def _explain_sql(eval_df: DataFrame, id_col: str, features: list[str], model: SqlModel,
-                 bg: list[tuple], masks: np.ndarray, k: np.ndarray) -> DataFrame:
+                 bg: list[tuple], masks: np.ndarray, k: np.ndarray, n_partitions: int | None = None) -> DataFrame:
+    """Beyond UNROLL_LIMIT: the rows are dealt out once by id, and each makes its background
+    (and, beyond WIDE_LIMIT coalitions, its coalitions) inside the task that also sums them
+    up, so the generated rows are never exchanged and the model stays compiled."""
     if len(masks) * len(bg) <= UNROLL_LIMIT:
         return _explain_sql_unrolled(eval_df, id_col, features, model, bg, masks, k)
-    idx = {f: i for i, f in enumerate(features)}
-    nb = len(bg)
-    body = _substitute(model.expr, features,
-                       lambda f: f"(CASE WHEN c[{idx[f]}] THEN `__x_{f}` ELSE b.b{idx[f]} END)")
-    v_all = (f"transform({_masks_literal(masks)}, c -> "
-             f"aggregate({_bg_literal(bg, features)}, CAST(0 AS DOUBLE), (acc, b) -> acc + ({body})) / {nb})")
-    base_body = _substitute(model.expr, features, lambda f: f"b.b{idx[f]}")
-    base = f"aggregate({_bg_literal(bg, features)}, CAST(0 AS DOUBLE), (acc, b) -> acc + ({base_body})) / {nb}"
+    nb, idx = len(bg), {f: i for i, f in enumerate(features)}
+    xs = [f"__x_{f}" for f in features]
     x = eval_df.select(F.col(id_col).alias("row_id"), *[F.col(f).cast("double").alias(f"__x_{f}") for f in features])
-    x = x.withColumn("_v", F.expr(v_all))
-    phis = []
-    for j, f in enumerate(features):
-        kj = "array(" + ", ".join(f"CAST({float(w)!r} AS DOUBLE)" for w in k[j]) + ")"
-        phis.append(F.struct(F.lit(f).alias("feature"), F.col(f"__x_{f}").alias("value"),
-                             F.expr(f"aggregate(zip_with({kj}, _v, (w, v) -> w * v), CAST(0 AS DOUBLE), "
-                                    f"(a, t) -> a + t)").alias("phi")))
-    out = x.select("row_id", F.expr(base).alias("base"), F.explode(F.array(*phis)).alias("_p"))
+    # a small sample sits in one partition, and each of its rows costs coalitions x background
+    x = x.repartition(n_partitions or _tasks(eval_df), "row_id").withColumn("_u", F.monotonically_increasing_id())
+    keys = ["row_id", "_u", *xs]
+    empty = int(np.where(~masks.any(axis=1))[0][0])
+    if len(masks) <= WIDE_LIMIT:
+        def f_at(c: int) -> str:
+            return _substitute(model.expr, features, lambda f: f"`__x_{f}`" if masks[c][idx[f]] else f"_b.b{idx[f]}")
+
+        v = x.select("*", F.explode(F.expr(_bg_literal(bg, features))).alias("_b")).groupBy(*keys).agg(
+            *[(F.sum(F.expr(f_at(c))) / nb).alias(f"_v{c}") for c in range(len(masks))])
+        sums = [functools.reduce(operator.add, [F.lit(float(k[j, c])) * F.col(f"_v{c}") for c in range(len(masks))])
+                for j in range(len(features))]
+        v = v.select("row_id", *xs, F.col(f"_v{empty}").alias("base"), *[p.alias(f"_p{j}") for j, p in enumerate(sums)])
+    else:
+        coal = "array(" + ", ".join(f"named_struct('cid', {c}, " + ", ".join(
+            f"'m{j}', {'true' if b else 'false'}" for j, b in enumerate(row)) + ")" for c, row in enumerate(masks)) + ")"
+        body = _substitute(model.expr, features,
+                           lambda f: f"(CASE WHEN _m{idx[f]} THEN `__x_{f}` ELSE _b.b{idx[f]} END)")
+        e = x.select("*", F.explode(F.expr(coal)).alias("_c")).select(
+            *keys, F.col("_c.cid").alias("_cid"), *[F.col(f"_c.m{j}").alias(f"_m{j}") for j in range(len(features))])
+        e = e.select("*", F.explode(F.expr(_bg_literal(bg, features))).alias("_b"))
+        v = e.groupBy(*keys, "_cid").agg((F.sum(F.expr(body)) / nb).alias("_v"))
+        kj = ["array(" + ", ".join(f"CAST({float(w)!r} AS DOUBLE)" for w in row) + ")" for row in k]
+        v = v.groupBy(*keys).agg(F.max(F.when(F.col("_cid") == empty, F.col("_v"))).alias("base"),
+                                 *[F.sum(F.expr(f"{a}[_cid] * _v")).alias(f"_p{j}") for j, a in enumerate(kj)])
+    phis = [F.struct(F.lit(f).alias("feature"), F.col(f"__x_{f}").alias("value"), F.col(f"_p{j}").alias("phi"))
+            for j, f in enumerate(features)]
+    out = v.select("row_id", "base", F.explode(F.array(*phis)).alias("_p"))
     return out.select(F.lit(model.name).alias("model"), "row_id", "_p.feature", "_p.value", "_p.phi", "base")
 
 
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as a shuffle has or the cluster runs at a time, whichever is more."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def _explain_transformer(eval_df: DataFrame, id_col: str, features: list[str], name: str, model,
                          bg: list[tuple], masks: np.ndarray, k: np.ndarray, prob_col: str,
                          n_partitions: int | None) -> DataFrame:
@@ -278,7 +299,7 @@ def kernel_shap(eval_df: DataFrame, background: DataFrame, features: Sequence[st
     out = None
     for name, mdl in items:
         if isinstance(mdl, SqlModel):
-            part = _explain_sql(eval_df, id_col, features, SqlModel(name, mdl.expr), bg, masks, k)
+            part = _explain_sql(eval_df, id_col, features, SqlModel(name, mdl.expr), bg, masks, k, n_partitions)
         else:
             part = _explain_transformer(eval_df, id_col, features, name, mdl, bg, masks, k, prob_col, n_partitions)
         out = part if out is None else out.unionByName(part)

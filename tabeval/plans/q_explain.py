@@ -1,7 +1,7 @@
 """Registered explanation and consistency queries.
 
 The fixture: three fixed models over three event features, explained with exact
-Shapley values for every event against a 20-row seeded background sample.  The
+Shapley values for every event against a 200-row seeded background sample.  The
 oracle evaluates the definition by brute force: events x coalitions x background.
 """
 
@@ -18,7 +18,7 @@ from tabeval.plans.queries import register
 from tabeval.plans.report import rounded
 
 SEED = 2025
-N_BACKGROUND = 20
+N_BACKGROUND = 200
 FEATURES = [n for n, _ in fx.EVENT_FEATURES]
 WATERFALL_ROW = 5
 
@@ -34,14 +34,15 @@ def _shap_sql() -> str:
     m = len(FEATURES)
     coal = ", ".join(f"({c}, " + ", ".join("true" if c >> j & 1 else "false" for j in range(m)) + ")" for c in range(2 ** m))
     mcols = ", ".join(f"m{j}" for j in range(m))
-    size = " + ".join(f"m{j}::INT" for j in range(m))
 
-    def weight(s: str) -> str:   # s! (m-s-1)! / m!
+    def weight(s: int) -> str:   # s! (m-s-1)! / m!
         return f"(factorial(({s})::INT) * factorial(({m - 1} - ({s}))::INT))::DOUBLE / factorial({m})::DOUBLE"
 
-    kmap = " UNION ALL ".join(
-        f"SELECT '{f}' AS feature, cid, CASE WHEN m{j} THEN {weight(f'{size} - 1')} ELSE -({weight(size)}) END AS w FROM coal"
-        for j, f in enumerate(FEATURES))
+    def phi_of(j: int, f: str) -> str:   # the map's terms in coalition order
+        terms = " + ".join(f"{weight(bin(c).count('1') - 1)} * v{c}" if c >> j & 1 else
+                           f"-({weight(bin(c).count('1'))}) * v{c}" for c in range(2 ** m))
+        return f"SELECT model, row_id, '{f}' AS feature, {terms} AS phi, ev.{f} AS value FROM wide JOIN ev USING (row_id)"
+
     pat = re.compile(r"\b(" + "|".join(FEATURES) + r")\b")
     v_parts = []
     for name, expr in fx.EVENT_MODELS:
@@ -49,19 +50,17 @@ def _shap_sql() -> str:
                                  f"ELSE b.{m.group(1)} END)", expr)
         # summed in background order, as Spark's aggregate() does: bit-equal results
         v_parts.append(f"SELECT '{name}' AS model, e.row_id, c.cid, "
-                       f"list_reduce(list({body} ORDER BY b.bpos), lambda a, x: a + x) / {N_BACKGROUND} AS v "
-                       f"FROM ev e, coal c, bg b GROUP BY e.row_id, c.cid")
-    value_case = "CASE k.feature " + " ".join(f"WHEN '{f}' THEN ev.{f}" for f in FEATURES) + " END"
+                       f"list_reduce(list_transform(bg.rows, lambda b: {body}), lambda a, x: a + x) / {N_BACKGROUND} AS v "
+                       f"FROM ev e, coal c, bg")
     return f"""
 ev AS ({fx.events_features_sql()}),
-bg AS (SELECT *, row_number() OVER (ORDER BY md5(concat('{SEED}', ':', row_id::VARCHAR)), row_id) AS bpos
-       FROM ev QUALIFY bpos <= {N_BACKGROUND}),
+bg AS (SELECT list({{{', '.join(f"'{f}': {f}" for f in FEATURES)}}} ORDER BY bpos) AS rows FROM (
+  SELECT *, row_number() OVER (ORDER BY md5(concat('{SEED}', ':', row_id::VARCHAR)), row_id) AS bpos
+  FROM ev QUALIFY bpos <= {N_BACKGROUND})),
 coal AS (SELECT * FROM (VALUES {coal}) t(cid, {mcols})),
-kmap AS ({kmap}),
 v AS ({' UNION ALL '.join(v_parts)}),
-phi AS (SELECT v.model, v.row_id, k.feature, list_reduce(list(k.w * v.v ORDER BY v.cid), lambda a, x: a + x) AS phi,
-               any_value({value_case}) AS value
-        FROM v JOIN kmap k USING (cid) JOIN ev ON ev.row_id = v.row_id GROUP BY 1, 2, 3),
+wide AS (SELECT model, row_id, {', '.join(f'max(v) FILTER (cid = {c}) AS v{c}' for c in range(2 ** m))} FROM v GROUP BY 1, 2),
+phi AS ({' UNION ALL '.join(phi_of(j, f) for j, f in enumerate(FEATURES))}),
 base AS (SELECT model, row_id, v AS base FROM v WHERE cid = 0),
 shap AS (SELECT phi.model, phi.row_id, phi.feature, phi.value, phi.phi, base.base
          FROM phi JOIN base USING (model, row_id))"""

@@ -170,7 +170,8 @@ def q_kernel_shap_sampled(spark, sf_dir):
 
 
 WIDE = 13
-WIDE_FEATURES = [("f0", "o_totalprice / 100000.0"), ("f1", "o_custkey / 1000.0")] + [
+# f0 by a power of two: halves of the sixth place are exact in both engines
+WIDE_FEATURES = [("f0", "CAST(floor(o_totalprice) AS DOUBLE) / CAST(131072.0 AS DOUBLE)"), ("f1", "o_custkey / 1000.0")] + [
     (f"f{j}", f"((o_orderkey * {7919 + 104729 * j}) % 1000) / 1000.0") for j in range(2, WIDE)]
 WIDE_WEIGHTS = [(j + 1) / 21 for j in range(WIDE)]
 
