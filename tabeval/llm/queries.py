@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabeval.llm import decontaminate, fingerprint, jaccard, langid, maxent, packing, pieces, quality, secretscan, urls
-from tabeval.llm.common import held_out
+from tabeval.llm import (
+    alignment, bytebpe, decontaminate, fingerprint, jaccard, langid, maxent, packing, pieces, quality, resample, secretscan, urls,
+)
+from tabeval.llm.common import held_out, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,6 +183,59 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+# crc32 bit by bit over the UTF-8 bytes of the distinct words; the ranks by one window.
+RESAMPLE_ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS g FROM benchmark),
+dw AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(w) AS g FROM d) GROUP BY 1, 2),
+words AS (
+  SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(g)),
+    lambda i: ('0x' || substr(hex(g), (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))),
+    4294967295::BIGINT) % 10000 AS bucket
+  FROM (SELECT g FROM dw UNION SELECT g FROM b)),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM dw JOIN words USING (g) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN words USING (g) GROUP BY 1),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM s), 0) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT unnest(range(0, 10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM dw JOIN words USING (g) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM placed) THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)"""
+
+
+@register("op11_resample", RESAMPLE_ORACLE)
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op12_bytebpe")
+def op12_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), packed=True))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    aligned = saved(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs"), "alignment")
+    return alignment.scored(aligned, saved(alignment.pair_counts(aligned), "pair_counts"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
