@@ -58,7 +58,6 @@ class ByteSide:
     through the rank form of the same vocabulary, which is several times faster; any
     other, or one with a very long run of white space, through the file's own library."""
 
-    OLD = unicodedata.ucd_3_2_0
     LONG_SPACE = re.compile(r"\s{256}")
 
     def __init__(self, file: bytes) -> None:
@@ -79,7 +78,7 @@ class ByteSide:
         if text.isascii():
             return True
         new = set(text) - self.known
-        if any(self.OLD.category(c) == "Cn" for c in new):
+        if any(unicodedata.ucd_3_2_0.category(c) == "Cn" for c in new):
             return False
         self.known |= new
         return True
