@@ -7,3 +7,4 @@ from tabeval.plans import q_explain  # noqa: F401
 from tabeval.plans import q_models  # noqa: F401
 from tabeval.plans import q_scale  # noqa: F401
 from tabeval.plans import q_sources  # noqa: F401
+from tabeval.plans import q_trees  # noqa: F401
