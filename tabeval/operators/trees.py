@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -53,6 +54,8 @@ MAX_DEPTH = 60        # node numbers are paths of bits in a long
 SAVE_EVERY = 10       # trees after which boosted margins are written
 PASS_CELLS = 24 << 20  # histogram cells (node x feature x bin) counted in one pass
 FAN_IN = 64           # partial histograms added up in one task
+SMALL_CELLS = 16 << 20  # values of a table that may be sent to every task
+TREES_A_TASK = 8      # of a forest over such a table
 
 
 @dataclass(frozen=True)
@@ -406,6 +409,42 @@ def statistics(y: np.ndarray, margin: np.ndarray | None) -> tuple[np.ndarray, np
     return np.rint((p - y) * SCALE), np.rint(p * (1.0 - p) * SCALE)
 
 
+def with_trees(margin: np.ndarray, trees: list[Tree], m: np.ndarray) -> np.ndarray:
+    """The margins after some more trees, always added one by one."""
+    for t in trees:
+        margin = margin + t.predict(m)
+    return margin
+
+
+def tally(out: np.ndarray, jobs: list[Job], ids: np.ndarray, y: np.ndarray, m: np.ndarray, margin_of, width: int) -> None:
+    """Adds rows to the histograms of the jobs' nodes: ``out`` is (nodes of all jobs, features x bins, 3)."""
+    n_features = m.shape[1]
+    cells, first, model, stats = n_features * width, 0, None, None
+    for j in jobs:
+        if model != j.model:
+            model, stats = j.model, statistics(y, margin_of(j.model) if j.params.boosted else None)
+        slot = np.full(len(j.tree.path), -1)
+        slot[j.nodes] = np.arange(len(j.nodes))
+        at = slot[j.tree.leaf_of(m)]
+        w = row_weights(ids, j.params.rows, j.params.seed, j.tree.number)
+        use = np.flatnonzero(at >= 0 if w is None else (at >= 0) & (w > 0))
+        if use.size:
+            key = ((at[use, None] * n_features + np.arange(n_features)) * width + m[use]).ravel()
+            times = np.ones(use.size) if w is None else w[use].astype(float)
+            for k, x in enumerate((stats[0][use] * times, stats[1][use] * times, times)):
+                got = np.bincount(key, np.repeat(x, n_features), len(j.nodes) * cells)
+                out[first:first + len(j.nodes), :, k] += got.reshape(len(j.nodes), cells).astype(np.int64)
+        first += len(j.nodes)
+
+
+def by_job(hist: np.ndarray, jobs: list[Job], n_features: int, width: int) -> list[dict[int, np.ndarray]]:
+    hist, out, first = hist.reshape(-1, n_features, width, 3), [], 0
+    for j in jobs:
+        out.append({node: hist[first + k] for k, node in enumerate(j.nodes)})
+        first += len(j.nodes)
+    return out
+
+
 def counted(state: DataFrame, jobs: list[Job], since: list[list[Tree]], n_features: int, width: int,
             n_models: int) -> list[dict[int, np.ndarray]]:
     """The histograms of every job's nodes over all rows."""
@@ -413,39 +452,20 @@ def counted(state: DataFrame, jobs: list[Job], since: list[list[Tree]], n_featur
     sent = spark.sparkContext.broadcast((jobs, since))
     boosted = "margins" in state.columns
     total = sum(len(j.nodes) for j in jobs)
-    cells = n_features * width
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         jobs, since = sent.value
-        out = np.zeros((total, cells, 3), np.int64)
+        out = np.zeros((total, n_features * width, 3), np.int64)
         any_row = False
         for b in batches:
             if not b.num_rows:
                 continue
             any_row = True
-            ids, y = b.column(0).to_numpy(), b.column(1).to_numpy()
             m = as_matrix(b.column(2), np.uint16, n_features)
             margins = as_matrix(b.column(3), np.float64, n_models) if boosted else None
-            first, model, stats = 0, None, None
-            for j in jobs:
-                if boosted and j.model != model:
-                    margin = margins[:, j.model] + sum((t.predict(m) for t in since[j.model]), np.zeros(len(y)))
-                    model, stats = j.model, statistics(y, margin)
-                elif stats is None:
-                    stats = statistics(y, None)
-                slot = np.full(len(j.tree.path), -1)
-                slot[j.nodes] = np.arange(len(j.nodes))
-                at = slot[j.tree.leaf_of(m)]
-                w = row_weights(ids, j.params.rows, j.params.seed, j.tree.number)
-                use = np.flatnonzero(at >= 0 if w is None else (at >= 0) & (w > 0))
-                if use.size:
-                    key = ((at[use, None] * n_features + np.arange(n_features)) * width + m[use]).ravel()
-                    times = np.ones(use.size) if w is None else w[use].astype(float)
-                    for k, x in enumerate((stats[0][use] * times, stats[1][use] * times, times)):
-                        got = np.bincount(key, np.repeat(x, n_features), len(j.nodes) * cells)
-                        out[first:first + len(j.nodes), :, k] += got.reshape(len(j.nodes), cells).astype(np.int64)
-                first += len(j.nodes)
+            tally(out, jobs, b.column(0).to_numpy(), b.column(1).to_numpy(), m,
+                  lambda k: with_trees(margins[:, k], since[k], m), width)
         if any_row:
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "data": zlib.compress(out.tobytes(), 1)}],
                                              pa.schema([("part", pa.int32()), ("data", pa.binary())]))
@@ -459,21 +479,15 @@ def counted(state: DataFrame, jobs: list[Job], since: list[list[Tree]], n_featur
         parts = parts.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int"))
         parts = parts.groupBy("part").applyInPandas(add, "part int, data binary")
         tasks = -(-tasks // FAN_IN)
-    hist = np.zeros(total * cells * 3, np.int64)
+    hist = np.zeros(total * n_features * width * 3, np.int64)
     for r in parts.collect():
         hist += np.frombuffer(zlib.decompress(r["data"]), np.int64)
     sent.destroy()
-    hist = hist.reshape(total, n_features, width, 3)
-    out, first = [], 0
-    for j in jobs:
-        out.append({node: hist[first + k] for k, node in enumerate(j.nodes)})
-        first += len(j.nodes)
-    return out
+    return by_job(hist, jobs, n_features, width)
 
 
-def grow(state: DataFrame, starts: list[tuple[int, TreeParams, int]], since: list[list[Tree]], n_features: int,
-         width: int, n_models: int) -> list[Tree]:
-    """Grows the trees (model, params, number) in common passes."""
+def grow(count, starts: list[tuple[int, TreeParams, int]], n_features: int, width: int) -> list[Tree]:
+    """Grows the trees (model, params, number) in common passes; ``count`` gives the histograms of jobs."""
     # parents' histograms are kept on the driver while all trees' open nodes fit
     keep = all(p.num_leaves or p.max_depth <= 10 for _, p, _ in starts) and \
         len(starts) * n_features * width * 64 <= 8 * PASS_CELLS
@@ -495,7 +509,7 @@ def grow(state: DataFrame, starts: list[tuple[int, TreeParams, int]], since: lis
             jobs.append(Job(starts[k][0], open_[k].p, partial(open_[k]), nodes))
             asked.append((k, waiting))
         if jobs:
-            for (k, waiting), got in zip(asked, counted(state, jobs, since, n_features, width, n_models)):
+            for (k, waiting), got in zip(asked, count(jobs)):
                 open_[k].give(got, waiting)
         active = still
     return [g.finish() for g in open_]
@@ -505,7 +519,7 @@ def grow(state: DataFrame, starts: list[tuple[int, TreeParams, int]], since: lis
 
 @dataclass
 class TreeModel:
-    """Fitted trees.  ``transform`` adds ``p``; ``staged`` gives p after some tree counts."""
+    """Fitted trees.  ``transform`` adds ``p``."""
     bins: Bins
     params: TreeParams
     trees: list[Tree]
@@ -516,22 +530,23 @@ class TreeModel:
         counts = [len(self.trees)] if counts is None else list(counts)
         total, out = np.full(len(m), self.start), []
         for k in range(max(counts) + 1):
-            out += [total.copy() / (1 if self.params.boosted else max(k, 1))] * counts.count(k)
-            if k < len(self.trees):
-                total += self.trees[k].predict(m)
+            out += [total / (1 if self.params.boosted else max(k, 1))] * counts.count(k)
+            if k < max(counts):
+                total = with_trees(total, self.trees[k:k + 1], m)
         return [1.0 / (1.0 + np.exp(-x)) for x in out] if self.params.boosted else out
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``p`` (and ``probability`` for the explanations)."""
+        """``df`` with ``p``."""
         sent = df.sparkSession.sparkContext.broadcast(self)
 
         @F.pandas_udf("double")
-        def p(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        def p(it: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             model = sent.value
-            for cols in it:
-                yield pd.Series(model.score(model.bins.of([c.to_numpy() for c in cols]))[0])
+            for rows in it:
+                yield pd.Series(model.score(model.bins.of([rows[c].to_numpy() for c in rows]))[0])
 
-        return df.withColumn("p", p(*[required(f, f).cast("double") for f in self.bins.features]))
+        columns = [required(f, f).cast("double").alias(f"f{k}") for k, f in enumerate(self.bins.features)]
+        return df.withColumn("p", p(F.struct(*columns)))
 
     def node_table(self, spark: SparkSession) -> DataFrame:
         """(tree, node, feature, cut, gain, value, n): the fitted nodes; a leaf has no feature."""
@@ -550,6 +565,7 @@ class Binned:
     """A training table, binned and written once for any number of fits."""
     bins: Bins
     table: DataFrame
+    rows: int
     mean: float
 
 
@@ -558,15 +574,21 @@ def prepare(df: DataFrame, features: Sequence[str], label: str = "y", id_col: st
     df = materialize(df.select(id_col, label, *features), "tree_rows")
     bins = fit_bins(df, features, max_bins)
     table = materialize(binned(df, bins, label, id_col), "binned")
-    mean = table.agg(F.avg("y")).first()[0]
-    if mean is None:
+    rows, total = table.agg(F.count("y"), F.sum("y")).first()
+    if not rows:
         raise ValueError("no training rows")
-    return Binned(bins, table, mean)
+    return Binned(bins, table, rows, total / rows)
 
 
 def fit_all(data: Binned, params: Sequence[TreeParams]) -> list[TreeModel]:
     """Fits all models together: boosted ones tree by tree in lockstep, the trees of the others all
-    at once (in groups whose root histograms fit a pass)."""
+    at once (in groups whose root histograms fit a pass).
+
+    A table counted to have at most ``SMALL_CELLS`` values is broadcast instead, and the models
+    (of a forest its trees) are dealt out to the tasks, which grow them by the same code: sums
+    are whole numbers and margins add up tree by tree, so the models are the same, bit for bit."""
+    if data.rows * (len(data.bins.features) + 8) <= SMALL_CELLS:
+        return fit_dealt_out(data, params)
     boosted = [k for k, p in enumerate(params) if p.boosted]
     models: list[TreeModel | None] = [None] * len(params)
     f, width = len(data.bins.features), data.bins.width
@@ -575,26 +597,32 @@ def fit_all(data: Binned, params: Sequence[TreeParams]) -> list[TreeModel]:
             models[k] = m
     rest = [(k, params[k], t) for k, p in enumerate(params) if not p.boosted for t in range(p.trees)]
     trees: dict[int, list[Tree]] = {k: [] for k, p in enumerate(params) if not p.boosted}
-    at_once = max(1, PASS_CELLS // (f * width * 4))
-    for i in range(0, len(rest), at_once):
-        part = rest[i:i + at_once]
-        for (k, _, _), tree in zip(part, grow(data.table, part, [], f, width, 0)):
+    for i in range(0, len(rest), at_once(f, width)):
+        part = rest[i:i + at_once(f, width)]
+        for (k, _, _), tree in zip(part, grow(lambda jobs: counted(data.table, jobs, [], f, width, 0), part, f, width)):
             trees[k].append(tree)
     for k, found in trees.items():
         models[k] = TreeModel(data.bins, params[k], found)
     return models
 
 
+def at_once(n_features: int, width: int) -> int:
+    return max(1, PASS_CELLS // (n_features * width * 4))
+
+
+def start_of(data: Binned) -> float:
+    return math.log(data.mean / (1 - data.mean)) if 0 < data.mean < 1 else 0.0
+
+
 def boost(data: Binned, params: Sequence[TreeParams]) -> list[TreeModel]:
-    f, width, n = len(data.bins.features), data.bins.width, len(params)
-    start = math.log(data.mean / (1 - data.mean)) if 0 < data.mean < 1 else 0.0
-    zero = np.full(n, start).tobytes()
-    state = data.table.withColumn("margins", F.lit(zero))
+    f, width, n, start = len(data.bins.features), data.bins.width, len(params), start_of(data)
+    state = data.table.withColumn("margins", F.lit(np.full(n, start).tobytes()))
     models = [TreeModel(data.bins, p, [], start) for p in params]
     since: list[list[Tree]] = [[] for _ in params]
     for t in range(max(p.trees for p in params)):
         live = [k for k, p in enumerate(params) if t < p.trees]
-        for k, tree in zip(live, grow(state, [(k, params[k], t) for k in live], since, f, width, n)):
+        grown = grow(lambda jobs: counted(state, jobs, since, f, width, n), [(k, params[k], t) for k in live], f, width)
+        for k, tree in zip(live, grown):
             models[k].trees.append(tree)
             since[k].append(tree)
         if (t + 1) % SAVE_EVERY == 0:
@@ -603,6 +631,46 @@ def boost(data: Binned, params: Sequence[TreeParams]) -> list[TreeModel]:
     return models
 
 
+def fit_dealt_out(data: Binned, params: Sequence[TreeParams]) -> list[TreeModel]:
+    spark, f, width, start = data.table.sparkSession, len(data.bins.features), data.bins.width, start_of(data)
+    rows = data.table.toArrow()  # at most SMALL_CELLS values
+    ids, y = rows["id"].to_numpy(), rows["y"].to_numpy()
+    m = as_matrix(rows["bins"].combine_chunks(), np.uint16, f)
+    units = [(k, 0, p.trees) for k, p in enumerate(params) if p.boosted]
+    units += [(k, t, min(t + TREES_A_TASK, p.trees)) for k, p in enumerate(params) if not p.boosted
+              for t in range(0, p.trees, TREES_A_TASK)]
+    sent = spark.sparkContext.broadcast((ids, y, m, list(params), units))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, y, m, params, units = sent.value
+        for b in batches:
+            for unit in b.column(0).to_pylist():
+                k, first, last = units[unit]
+                margin = np.full(len(y), start)
+
+                def count(jobs: list[Job]) -> list[dict[int, np.ndarray]]:
+                    out = np.zeros((sum(len(j.nodes) for j in jobs), f * width, 3), np.int64)
+                    tally(out, jobs, ids, y, m, lambda _: margin, width)
+                    return by_job(out, jobs, f, width)
+
+                if params[k].boosted:
+                    trees = []
+                    for t in range(first, last):
+                        trees += grow(count, [(k, params[k], t)], f, width)
+                        margin = with_trees(margin, trees[-1:], m)
+                else:
+                    trees = grow(count, [(k, params[k], t) for t in range(first, last)], f, width)
+                yield pa.RecordBatch.from_pylist([{"unit": unit, "trees": pickle.dumps([t.__dict__ for t in trees])}],
+                                                 pa.schema([("unit", pa.int64()), ("trees", pa.binary())]))
+
+    models = [TreeModel(data.bins, p, [], start if p.boosted else 0.0) for p in params]
+    if units:
+        done = spark.range(0, len(units), 1, len(units)).mapInArrow(work, "unit long, trees binary").collect()
+        for r in sorted(done, key=lambda r: r["unit"]):
+            models[units[r["unit"]][0]].trees += [Tree(**t) for t in pickle.loads(r["trees"])]
+    return models
+
+
 def advanced(state: DataFrame, since: list[list[Tree]], n_features: int, n_models: int) -> DataFrame:
     """The margins with the trees since the last save added."""
     sent = state.sparkSession.sparkContext.broadcast(since)
@@ -612,8 +680,7 @@ def advanced(state: DataFrame, since: list[list[Tree]], n_features: int, n_model
             m = as_matrix(b.column(2), np.uint16, n_features)
             margins = as_matrix(b.column(3), np.float64, n_models).copy()
             for k, trees in enumerate(sent.value):
-                for t in trees:
-                    margins[:, k] += t.predict(m)
+                margins[:, k] = with_trees(margins[:, k], trees, m)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], as_binary(margins)], b.schema.names)
 
     return state.mapInArrow(work, state.schema)

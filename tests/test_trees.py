@@ -90,9 +90,10 @@ def test_trees_match_brute_force(problem, arrays, name):
             margin[rows] += values[path]
 
 
-def test_same_model_for_any_partitioning(problem):
-    p = [tr.TreeParams(trees=12, **tr.LEAF_WISE, columns=0.7), tr.TreeParams(trees=3, **tr.LEVEL_WISE, rows=0.6),
-         tr.TreeParams(**{**tr.FOREST, "trees": 5}, node_columns=2)]
+def test_same_model_for_any_partitioning(problem, monkeypatch):
+    monkeypatch.setattr(tr, "SMALL_CELLS", 0)
+    p = [tr.TreeParams(trees=3, **tr.LEAF_WISE, columns=0.7), tr.TreeParams(trees=2, **tr.LEVEL_WISE, rows=0.6),
+         tr.TreeParams(**{**tr.FOREST, "trees": 3, "max_depth": 8}, node_columns=2)]
     a = tr.fit_all(tr.prepare(problem.coalesce(1), FEATURES), p)
     b = tr.fit_all(tr.prepare(problem.repartition(9), FEATURES), p)
     for m, n in zip(a, b):
@@ -101,10 +102,22 @@ def test_same_model_for_any_partitioning(problem):
     assert [t.__dict__ for t in alone.trees] == [t.__dict__ for t in a[0].trees]
 
 
+def test_small_table_gives_the_same_models(problem, monkeypatch):
+    p = [tr.TreeParams(trees=12, **tr.LEAF_WISE, columns=0.7), tr.TreeParams(trees=3, **tr.LEVEL_WISE, rows=0.6),
+         tr.TreeParams(**{**tr.FOREST, "trees": 10, "max_depth": 8}, node_columns=2)]
+    data = tr.prepare(problem, FEATURES)
+    small = tr.fit_all(data, p)
+    monkeypatch.setattr(tr, "SMALL_CELLS", 0)
+    passes = tr.fit_all(data, p)
+    for a, b in zip(small, passes):
+        assert [t.__dict__ for t in a.trees] == [t.__dict__ for t in b.trees] and a.start == b.start
+
+
 def test_small_passes_and_direct_counts_give_the_same(problem, monkeypatch):
-    p = [tr.TreeParams(trees=2, **tr.LEAF_WISE), tr.TreeParams(trees=2, boosted=False, max_depth=12)]
+    p = [tr.TreeParams(trees=1, **tr.LEAF_WISE), tr.TreeParams(trees=2, boosted=False, max_depth=5)]
     data = tr.prepare(problem, FEATURES)
     want = tr.fit_all(data, p)
+    monkeypatch.setattr(tr, "SMALL_CELLS", 0)
     monkeypatch.setattr(tr, "PASS_CELLS", 3 * data.bins.width * 3)
     monkeypatch.setattr(tr, "FAN_IN", 2)
     got = tr.fit_all(data, p)
