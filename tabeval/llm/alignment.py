@@ -22,6 +22,7 @@ aligned whole.  Only the id and text columns are read, so further columns cannot
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import unicodedata
@@ -39,7 +40,9 @@ BYTES_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 # Fixed value: the split of the byte-level pre-tokenizer.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK = 1 << 20  # bytes of text aligned at a time (a longer text goes alone)
+CHUNK = 1 << 19  # characters of text aligned at a time (a longer text goes alone)
+KEPT = 300_000  # segments whose ids a task remembers
+LONG = 64  # characters; longer segments are encoded anew each time
 FREQUENT = 1 << 20  # id pairs whose counts a task holds
 MARK = "▁"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -62,18 +65,25 @@ class ByteSide:
 
     def __init__(self, file: bytes) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
         model = json.loads(file)
         special = {t["id"] for t in model["added_tokens"]}
         alphabet = byte_alphabet()
         vocabulary = {i: bytes(alphabet[c] for c in t) for t, i in model["model"]["vocab"].items() if i not in special}
-        self.slow = Tokenizer.from_str(file.decode())
-        self.slow.encode_special_tokens = True
+        self.file, self.tokenizer = file, None
         self.fast = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks={b: i for i, b in vocabulary.items()},
                                       special_tokens={}).encode_ordinary
         self.bytes = [vocabulary.get(i, b"") for i in range(max(model["model"]["vocab"].values()) + 1)]
         self.known: set[str] = set()
 
+    @property
+    def slow(self):
+        """The file's own library, loaded when a text needs it."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+            self.tokenizer = Tokenizer.from_str(self.file.decode())
+            self.tokenizer.encode_special_tokens = True
+        return self.tokenizer
+
     def plain(self, text: str) -> bool:
         if text.isascii():
             return True
@@ -83,22 +93,60 @@ class ByteSide:
         self.known |= new
         return True
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray | None:
+        """The ids, None where their joined bytes are not the text (the rank form only cuts the bytes)."""
         if self.plain(text) and not self.LONG_SPACE.search(text):
-            return self.fast(text)
-        return self.slow.encode(text, add_special_tokens=False).ids
+            return np.array(self.fast(text), np.int32)
+        ids = self.slow.encode(text, add_special_tokens=False).ids
+        return np.array(ids, np.int32) if b"".join(map(self.bytes.__getitem__, ids)) == text.encode() else None
 
 
 class PieceSide:
+    """Ids of the piece model.  No piece goes on after a space that follows another character, so a text
+    is the sum of its segments (spaces and the word after them), and a segment met before is
+    looked up.  A model with such a piece encodes whole texts."""
+
+    SEGMENT = re.compile(r" *[^ ]+| +")
+
     def __init__(self, file: bytes) -> None:
         import sentencepiece
         self.model = sentencepiece.SentencePieceProcessor(model_proto=file)
-        pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
+        pieces = list(map(self.model.id_to_piece, range(self.model.get_piece_size())))
         self.bytes = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace(MARK, " ").encode()
                       for p in pieces]
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1) if texts else []
+        self.size = np.array([len(x) for x in self.bytes], np.int64)
+        self.space = self.model.piece_to_id(MARK)
+        self.whole = any(MARK in p.lstrip(MARK) for p in pieces)
+        self.memo: dict[str, bytes] = {}
+
+    def encoded(self, segments: list[str]) -> list[bytes]:
+        """The ids of segments (each begins with the space that the model adds), packed; None where the
+        pieces' bytes are not the segment's."""
+        # one space at a text's end is a segment of its own
+        found = [ids or [self.space] for ids in self.model.encode([x[1:] for x in segments], num_threads=1)]
+        flat = [i for ids in found for i in ids]
+        packed, ends = np.array(flat, np.int32).tobytes(), list(itertools.accumulate(map(len, found), initial=0))
+        out = [packed[4 * a:4 * b] for a, b in zip(ends, ends[1:])]
+        raw = [x.encode() for x in segments]
+        if b"".join(map(self.bytes.__getitem__, flat)) != b"".join(raw) or \
+                self.size[flat].cumsum()[np.array(ends[1:]) - 1].tolist() != list(itertools.accumulate(map(len, raw))):
+            out = [x if b"".join(map(self.bytes.__getitem__, ids)) == r else None for x, ids, r in zip(out, found, raw)]
+        return out
+
+    def ids(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The ids of each text, None where the joined pieces are not a space and the text."""
+        split = [[] if not t else [" " + t] if self.whole else self.SEGMENT.findall(" " + t) for t in texts]
+        known = {x: self.memo.get(x, b"") for x in set().union(*split)}
+        new = [x for x, ids in known.items() if ids == b""]
+        known.update(zip(new, self.encoded(new) if new else []))
+        if len(self.memo) + len(new) > KEPT:
+            self.memo = {}
+        self.memo.update((x, known[x]) for x in new if len(x) <= LONG)
+        out = []
+        for parts in split:
+            found = [known[x] for x in parts]
+            out.append(None if None in found else np.frombuffer(b"".join(found), np.int32))
+        return out
 
 
 class Aligner:
@@ -114,14 +162,11 @@ class Aligner:
     def tokens(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The ids of both sides; none where one side does not give back the text."""
         out_a, out_b = [], []
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         for text, ids_b in zip(texts, self.b.ids([t or "" for t in texts])):
-            ids_a = self.a.ids(" " + text) if text else []
-            raw = f" {text}".encode()
-            same = text and b"".join(map(self.a.bytes.__getitem__, ids_a)) == raw and \
-                b"".join(map(self.b.bytes.__getitem__, ids_b)) == raw
-            out_a.append(np.array(ids_a, np.int64) if same else none)
-            out_b.append(np.array(ids_b, np.int64) if same else none)
+            ids_a = self.a.ids(" " + text) if text and ids_b is not None else None
+            out_a.append(none if ids_a is None else ids_a)
+            out_b.append(none if ids_a is None else ids_b)
         return out_a, out_b
 
     def aligned(self, texts: list[str | None]) -> dict[str, list]:
@@ -148,7 +193,7 @@ class Aligner:
     @staticmethod
     def table(ids: list[np.ndarray], sizes: np.ndarray) -> pd.DataFrame:
         """Tokens in order; ``at`` and ``end`` count bytes over all texts, so they rise with the document."""
-        every = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        every = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         end = np.cumsum(sizes[every])
         return pd.DataFrame({"doc": np.repeat(np.arange(len(ids)), [len(x) for x in ids]), "id": every,
                              "at": end - sizes[every], "end": end})

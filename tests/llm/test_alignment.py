@@ -123,6 +123,21 @@ def test_fast_and_slow_sides_agree(documents):
     assert fast > len(texts) // 2
 
 
+def test_pieces_by_segment_equal_whole_texts(documents, monkeypatch):
+    side = al.PieceSide(read(al.PIECES))
+    assert not side.whole
+    texts = [r.text or "" for r in documents.collect()] + ["", " ", "   ", "a  b   c ", "  x\n  y\t z", "日本 語 🙂 🙂", "a" * 200 + " " * 90 + "b"]
+    monkeypatch.setattr(al, "KEPT", 50)
+    for k in range(0, len(texts), 40):
+        part = texts[k:k + 40]
+        got = side.ids(part)
+        assert [x.tolist() for x in got] == side.model.encode(part)
+    by_segment = [x.tolist() for x in side.ids(texts[-7:])]
+    side.whole, side.memo = True, {}
+    assert [x.tolist() for x in side.ids(texts[-7:])] == by_segment
+    assert side.ids(["a▁b"]) == [None]
+
+
 def test_query_digest(spark, sf_dir, documents):
     from tabeval.llm.queries import QUERIES
     rows = {r.doc_id: r for r in QUERIES["op13_alignment"](spark, sf_dir).collect()}
