@@ -151,14 +151,17 @@ def drop_last_digit(c):
 def iqr_repair(df: DataFrame, column: str, k: float = 1.5, rule=drop_last_digit,
                overrides: DataFrame | None = None, id_col: str = "row_id", exact: bool = True) -> DataFrame:
     """Overwrite flagged cells: ``rule(x)`` for values outside the fences, or the
-    value from ``overrides(id_col, value)`` where one is given for the row."""
+    value from ``overrides(id_col, value)`` where one is given for the row.  A repeated id
+    counts once; with different values it stops the job."""
     lo, hi = _fence(df, column, k, exact)
     x = F.col(column)
     flagged = outside(x.cast("double"), lo, hi)
     repaired = F.when(flagged, rule(x).cast(df.schema[column].dataType)).otherwise(x)
     out = df.withColumn(column, repaired)
     if overrides is not None:
-        o = overrides.select(F.col(id_col), F.col("value").alias("_override"))
+        o = overrides.groupBy(id_col).agg(F.min("value").alias("_override"), F.max("value").alias("_other"))
+        o = o.select(id_col, F.when(F.col("_override").eqNullSafe(F.col("_other")), F.col("_override")).otherwise(
+            F.raise_error(F.lit("several overrides for one row"))).alias("_override"))
         out = (out.join(o, id_col, "left")
                .withColumn(column, F.coalesce(F.col("_override").cast(df.schema[column].dataType), F.col(column)))
                .drop("_override"))

@@ -35,7 +35,6 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
-import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -56,6 +55,7 @@ PASS_CELLS = 24 << 20  # histogram cells (node x feature x bin) counted in one p
 FAN_IN = 64           # partial histograms added up in one task
 SMALL_CELLS = 16 << 20  # values of a table that may be sent to every task
 TREES_A_TASK = 8      # of a forest over such a table
+NODES_TOGETHER = 64   # nodes whose best splits are looked for at a time
 
 
 @dataclass(frozen=True)
@@ -289,6 +289,7 @@ class Growing:
 
     def give(self, counted: dict[int, np.ndarray], waiting: list[int]) -> None:
         """Takes the histograms of the counted nodes (features x bins x (g, h, n))."""
+        found = {}
         for c in waiting:
             hist = counted.get(c)
             if hist is None:
@@ -297,42 +298,47 @@ class Growing:
                 if sibling is None or self.parent[c] not in self.histogram:
                     continue  # in a later pass
                 hist = self.histogram[self.parent[c]] - sibling
-            self.find(c, hist)
-            if self.keep:
-                self.histogram[c] = hist
+            found[c] = hist
+        nodes = list(found)
+        for k in range(0, len(nodes), NODES_TOGETHER):
+            part = nodes[k:k + NODES_TOGETHER]
+            self.find(part, np.stack([found[c] for c in part]))
+        if self.keep:
+            self.histogram.update(found)
         for p in [p for p in self.histogram if self.children[p] and all(self.known[c] for c in self.children[p])]:
             del self.histogram[p]
         for c in [c for c in self.histogram if self.split[c] is None]:
             del self.histogram[c]
 
-    def find(self, node: int, hist: np.ndarray) -> None:
-        """The best split of a node."""
+    def find(self, nodes: list[int], hist: np.ndarray) -> None:
+        """The best splits of nodes from their histograms (nodes x features x bins x 3)."""
         t, p = self.tree, self.p
-        total = hist[0].sum(axis=0)
-        if node == 0:
-            t.g[0], t.h[0], t.n[0] = map(int, total)
-        self.known[node] = True
-        if t.n[node] < max(p.min_split, 2 * p.min_rows) or min(p.max_depth, MAX_DEPTH) <= t.depth(node) or hist.shape[1] < 2:
+        total = hist[:, 0].sum(axis=1)
+        for node, (g, h, n) in zip(nodes, total.tolist()):
+            t.g[node], t.h[node], t.n[node] = g, h, n  # only the root's are new
+            self.known[node] = True
+        if hist.shape[2] < 2:
             return
-        left = hist.cumsum(axis=1)[:, :-1]
-        right = total - left
-        ok = np.zeros(left.shape[:2], bool)
-        ok[self.allowed(node)] = True
-        ok &= (left[..., 2] >= p.min_rows) & (right[..., 2] >= p.min_rows) & (left[..., 1] > 0) & (right[..., 1] > 0)
+        left = hist.cumsum(axis=2)[:, :, :-1]
+        whole = total[:, None, None]
+        right = whole - left
+        ok = (left[..., 2] >= p.min_rows) & (right[..., 2] >= p.min_rows) & (left[..., 1] > 0) & (right[..., 1] > 0)
         if p.min_hess:
             ok &= (left[..., 1] / SCALE >= p.min_hess) & (right[..., 1] / SCALE >= p.min_hess)
-        if not ok.any():
-            return
-        gain = np.where(ok, score(left, p.l2) + score(right, p.l2) - score(total, p.l2), -np.inf)
-        best = int(np.argmax(gain))
-        f, b = divmod(best, gain.shape[1])
-        top = float(gain[f, b])
-        if p.boosted:
-            good = top > p.min_gain
-        else:  # a pure node is a leaf; an impure one may be split without a gain
-            good = top >= p.min_gain and self.impure(node) > 1e-7
-        if good:
-            self.split[node] = (top, f, b, *map(int, left[f, b]))
+        for k, node in enumerate(nodes):
+            if t.n[node] < max(p.min_split, 2 * p.min_rows) or t.depth(node) >= min(p.max_depth, MAX_DEPTH):
+                ok[k] = False
+            elif len(self.columns) < self.n_features or p.node_columns:
+                other = np.ones(self.n_features, bool)
+                other[self.allowed(node)] = False
+                ok[k, other] = False
+        gain = np.where(ok, score(left, p.l2) + score(right, p.l2) - score(whole, p.l2), -np.inf).reshape(len(nodes), -1)
+        best = gain.argmax(axis=1)
+        for k, node in enumerate(nodes):
+            top, (f, b) = float(gain[k, best[k]]), divmod(int(best[k]), left.shape[2])
+            # boosting needs a gain; of the others a pure node is a leaf, an impure one may be split without
+            if top > p.min_gain if p.boosted else math.isfinite(top) and top >= p.min_gain and self.impure(node) > 1e-7:
+                self.split[node] = (top, f, b, *map(int, left[k, f, b]))
 
     def impure(self, node: int) -> float:
         """1 - share^2 - (1 - share)^2 halved for a 0/1 label; for others this is positive for a mean within (0, 1)."""
@@ -437,6 +443,23 @@ def tally(out: np.ndarray, jobs: list[Job], ids: np.ndarray, y: np.ndarray, m: n
         first += len(j.nodes)
 
 
+def summed(parts: DataFrame, tasks: int, dtype: str) -> np.ndarray | None:
+    """The sum of the arrays (part, data) of many tasks; the driver adds up at most FAN_IN of them."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = sum(np.frombuffer(x, dtype) for x in pdf.sort_values("part")["data"])
+        return pd.DataFrame({"part": pdf["part"][:1], "data": [s.tobytes()]})
+
+    while tasks > FAN_IN:
+        group = F.expr(f"part div {FAN_IN}").cast("int")
+        parts = parts.groupBy(group.alias("_group")).applyInPandas(add, "part int, data binary").withColumn("part", group)
+        tasks = -(-tasks // FAN_IN)
+    total = None
+    for r in sorted(parts.collect(), key=lambda r: r["part"]):
+        x = np.frombuffer(r["data"], dtype)
+        total = x if total is None else total + x
+    return total
+
+
 def by_job(hist: np.ndarray, jobs: list[Job], n_features: int, width: int) -> list[dict[int, np.ndarray]]:
     hist, out, first = hist.reshape(-1, n_features, width, 3), [], 0
     for j in jobs:
@@ -467,21 +490,11 @@ def counted(state: DataFrame, jobs: list[Job], since: list[list[Tree]], n_featur
             tally(out, jobs, b.column(0).to_numpy(), b.column(1).to_numpy(), m,
                   lambda k: with_trees(margins[:, k], since[k], m), width)
         if any_row:
-            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "data": zlib.compress(out.tobytes(), 1)}],
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "data": out.tobytes()}],
                                              pa.schema([("part", pa.int32()), ("data", pa.binary())]))
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["data"])
-        return pd.DataFrame({"part": pdf["part"][:1], "data": [zlib.compress(s.tobytes(), 1)]})
-
-    parts, tasks = state.mapInArrow(work, "part int, data binary"), state.rdd.getNumPartitions()
-    while tasks > FAN_IN:  # the driver adds up at most FAN_IN arrays
-        parts = parts.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int"))
-        parts = parts.groupBy("part").applyInPandas(add, "part int, data binary")
-        tasks = -(-tasks // FAN_IN)
-    hist = np.zeros(total * n_features * width * 3, np.int64)
-    for r in parts.collect():
-        hist += np.frombuffer(zlib.decompress(r["data"]), np.int64)
+    hist = summed(state.mapInArrow(work, "part int, data binary"), state.rdd.getNumPartitions(), "int64")
+    hist = np.zeros(total * n_features * width * 3, np.int64) if hist is None else hist
     sent.destroy()
     return by_job(hist, jobs, n_features, width)
 
@@ -525,6 +538,10 @@ class TreeModel:
     trees: list[Tree]
     start: float = 0.0
 
+    @property
+    def features(self) -> list[str]:
+        return self.bins.features
+
     def score(self, m: np.ndarray, counts: Sequence[int] | None = None) -> list[np.ndarray]:
         """p of a bin matrix after each of the (ascending) tree counts."""
         counts = [len(self.trees)] if counts is None else list(counts)
@@ -535,8 +552,8 @@ class TreeModel:
                 total = with_trees(total, self.trees[k:k + 1], m)
         return [1.0 / (1.0 + np.exp(-x)) for x in out] if self.params.boosted else out
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``p``."""
+    def transform(self, df: DataFrame, output: str = "p") -> DataFrame:
+        """``df`` with the prediction."""
         sent = df.sparkSession.sparkContext.broadcast(self)
 
         @F.pandas_udf("double")
@@ -546,7 +563,7 @@ class TreeModel:
                 yield pd.Series(model.score(model.bins.of([rows[c].to_numpy() for c in rows]))[0])
 
         columns = [required(f, f).cast("double").alias(f"f{k}") for k, f in enumerate(self.bins.features)]
-        return df.withColumn("p", p(F.struct(*columns)))
+        return df.withColumn(output, p(F.struct(*columns)))
 
     def node_table(self, spark: SparkSession) -> DataFrame:
         """(tree, node, feature, cut, gain, value, n): the fitted nodes; a leaf has no feature."""

@@ -16,6 +16,7 @@ from tabeval.operators import evaluate as ev
 from tabeval.operators import explain as xp
 from tabeval.operators import impute as im
 from tabeval.operators import select as se
+from tabeval.operators import trees as tr
 from tabeval.operators.split import sample_n, stratified_split
 from tabeval.plans import fixtures as fx
 from tabeval.plans import oracles as orc
@@ -105,25 +106,30 @@ def q_fit_logistic(spark, sf_dir):
 
 def _classifier_specs():
     return {
-        "tree": cl.spec("tree", ORDER_FEATURES, maxDepth=5),
-        "forest": cl.spec("forest", ORDER_FEATURES, numTrees=20, maxDepth=5),
-        "gbt": cl.spec("gbt", ORDER_FEATURES, maxIter=20, maxDepth=3),
-        "gbt_leafy": cl.spec("gbt_leafy", ORDER_FEATURES, maxIter=20, num_leaves=8, featureSubsetStrategy="0.8"),
-        "svm_linear": cl.spec("svm", ORDER_FEATURES, kernel="linear", maxIter=50),
-        "svm_poly": cl.spec("svm", ORDER_FEATURES, kernel="poly", degree=2, maxIter=50),
-        "svm_rbf": cl.spec("svm", ORDER_FEATURES, kernel="rbf", n_components=20, gamma=0.5, maxIter=50),
-        "mlp": cl.spec("mlp", ORDER_FEATURES, hidden=[8], maxIter=50),
+        "svm_linear": cl.spec("svm", ORDER_FEATURES, kernel="linear"),
+        "svm_poly": cl.spec("svm", ORDER_FEATURES, kernel="poly", degree=3),
+        "svm_rbf": cl.spec("svm", ORDER_FEATURES, kernel="rbf"),
+        "mlp": cl.spec("mlp", ORDER_FEATURES, hidden=[100], maxIter=500),
     }
 
 
+TREE_SPECS = {
+    "tree": tr.TreeParams(**tr.SINGLE),
+    "forest": tr.TreeParams(**tr.FOREST, node_columns=1),
+    "gbt": tr.TreeParams(**tr.LEVEL_WISE),
+    "gbt_leafy": tr.TreeParams(**tr.LEAF_WISE),
+}
+
+
 @register("classifier_table")
 def q_classifier_table(spark, sf_dir):
-    """Eight models trained on the training split, scored on the test split in one
-    ``scored`` table, compared by one ``model_table`` job."""
+    """Eight models at their default sizes trained on the training split, scored on the test split
+    in one ``scored`` table, compared by one ``model_table`` job."""
     d = orders_problem(spark, sf_dir)
     train = d.where(F.col("split") == "train")
     test = d.where(F.col("split") == "test")
-    models = {name: p.fit(train) for name, p in _classifier_specs().items()}
+    models = dict(zip(TREE_SPECS, tr.fit_all(tr.prepare(train, ORDER_FEATURES), list(TREE_SPECS.values()))))
+    models |= {name: p.fit(train) for name, p in _classifier_specs().items()}
     return rounded(ev.model_table(cl.score_all(models, test, "test")))
 
 
@@ -139,14 +145,12 @@ def q_grid_search(spark, sf_dir):
 
 @register("default_vs_tuned")
 def q_default_vs_tuned(spark, sf_dir):
-    """The SVM's default parameters beside those of the best of three kernels."""
+    """The SVM's default parameters beside those of the best point of its whole grid."""
     d = orders_problem(spark, sf_dir)
     inner = stratified_split(d.where(F.col("split") == "train").drop("split"), "y", 0.3, 123, id_col="row_id")
-    tr, va = inner.where(F.col("split") == "train"), inner.where(F.col("split") == "test")
-    tried = cl.candidates("svm", ORDER_FEATURES, {"kernel": ["linear", "rbf", "poly"], "degree": [2]}, when=lambda p: {
-        "kernel": p["kernel"], "maxIter": 20, **({"degree": 2} if p["kernel"] == "poly" else {})})
-    _table, best = cl.grid_search(tried, tr, va)
-    return cl.compare_params(cl.spec("svm", ORDER_FEATURES).fit(tr), best)
+    tr_, va = inner.where(F.col("split") == "train"), inner.where(F.col("split") == "test")
+    _table, best = cl.grid_search(cl.reference_candidates("svm", ORDER_FEATURES), tr_, va)
+    return cl.compare_params(cl.spec("svm", ORDER_FEATURES).fit(tr_), best)
 
 
 @register("miss_forest")
@@ -154,16 +158,15 @@ def q_miss_forest(spark, sf_dir):
     li = fx.lineitem_missing(spark, sf_dir).select(
         F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
         "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    # the bench-sized setting; the defaults are the reference's 10 rounds of 100 trees
-    out = im.miss_forest(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], max_iter=2,
-                         num_trees=10)
-    return rounded(out)
+    # the defaults are the reference's: at most 10 rounds of 100 trees
+    return rounded(im.miss_forest(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 
 
 @register("kernel_shap_sampled")
 def q_kernel_shap_sampled(spark, sf_dir):
+    """Three features have six coalitions; a budget of four makes the operator sample them."""
     ev_ = fx.events_features(spark, sf_dir)
-    bg = sample_n(ev_, 20, SEED, "row_id")
+    bg = sample_n(ev_, 200, SEED, "row_id")
     models = [xp.SqlModel(n, e) for n, e in fx.EVENT_MODELS]
     feats = [n for n, _ in fx.EVENT_FEATURES]
     return rounded(xp.kernel_shap(ev_, bg, feats, models, mode="kernel", n_coalitions=4, seed=SEED))
@@ -202,12 +205,13 @@ def q_kernel_shap_wide(spark, sf_dir):
 
 @register("shap_fitted_model")
 def q_shap_fitted_model(spark, sf_dir):
-    """Kernel SHAP of a fitted pyspark.ml pipeline (boosted trees) on every test order."""
+    """Shapley values of fitted boosted trees at their default size on every test order, against
+    200 background rows."""
     d = orders_problem(spark, sf_dir)
     train = d.where(F.col("split") == "train")
     test = d.where(F.col("split") == "test")
-    m = cl.spec("gbt", ORDER_FEATURES, maxIter=10, maxDepth=3).fit(train)
-    bg = sample_n(train, 10, SEED, "row_id")
+    m = tr.fit_all(tr.prepare(train, ORDER_FEATURES), [TREE_SPECS["gbt"]])[0]
+    bg = sample_n(train, 200, SEED, "row_id")
     shap = xp.kernel_shap(test, bg, ORDER_FEATURES, {"gbt": m}, mode="exact", prob_col="p")
     return rounded(shap)
 

@@ -1,5 +1,6 @@
 """Value checks for the learners, imputation, missing values, and executor safety."""
 
+import math
 import os
 import subprocess
 import sys
@@ -207,3 +208,38 @@ print("ROWS", len(rows))
     env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
     r = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in r.stdout, r.stderr[-2000:]
+
+
+def test_nan_cells_are_imputed_and_repeated_overrides_count_once(spark):
+    from tabeval.operators import profile as pr
+    rows = [(k, float("nan") if k % 9 == 0 else None if k % 7 == 0 else float(k % 5), float(k % 5)) for k in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double")
+    out = {r.row_id: r.a for r in im.miss_forest(df, ["a", "b"], max_iter=2, num_trees=5).collect()}
+    for k, a, _ in rows:
+        assert out[k] is not None and not np.isnan(out[k])
+        assert a is None or np.isnan(a) or out[k] == a
+    d = spark.createDataFrame([(k, k % 5) for k in range(20)] + [(20, 500)], "row_id long, v int")
+    twice = spark.createDataFrame([(20, 50), (20, 50), (3, 7)], "row_id long, value int")
+    got = pr.iqr_repair(d, "v", overrides=twice).collect()
+    assert len(got) == 21 and {r.row_id: r.v for r in got}[20] == 50 and {r.row_id: r.v for r in got}[3] == 7
+    with pytest.raises(Exception, match="several overrides"):
+        pr.iqr_repair(d, "v", overrides=twice.union(spark.createDataFrame([(20, 51)], twice.schema))).collect()
+
+
+def test_out_of_bag_error_of_the_imputer(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2))
+    y = 2 * x[:, 0] - x[:, 1]
+    gone = rng.random(400) < 0.2
+    noise = rng.normal(size=400)
+    rows = [(k, *map(float, x[k]), None if gone[k] else float(y[k]), None if k % 11 == 0 else float(noise[k])) for k in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, y double, z double")
+    out, errors = im.miss_forest_errors(df, ["a", "b", "y", "z"], max_iter=3, num_trees=30, max_depth=8, stop="oob")
+    e = {(r["round"], r["column"]): r.oob_error for r in errors.collect()}
+    assert e[1, "y"] < 0.6 and e[1, "z"] > 0.9                 # a function of the others; noise
+    assert {r["round"] for r in errors.where("chosen").collect()} <= {1, 2, 3}
+    filled = {r.row_id: r.y for r in out.collect()}
+    got = np.array([filled[k] for k in range(400)])
+    rmse, flat = (math.sqrt(np.mean((v - y)[gone] ** 2)) for v in (got, np.full(400, y[~gone].mean())))
+    assert rmse < 0.6 * flat and rmse / y.std() == pytest.approx(e[1, "y"], rel=0.5)
+    assert "p" not in out.columns and sorted(out.columns) == sorted(df.columns)
