@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from tabeval.operators import classify as cl
 from tabeval.operators import evaluate as ev
 from tabeval.operators import explain as xp
+from tabeval.operators import grids as gr
 from tabeval.operators import impute as im
+from tabeval.operators import network as nw
+from tabeval.operators import scale as sc
 from tabeval.operators import select as se
+from tabeval.operators import svm as sv
 from tabeval.operators import trees as tr
 from tabeval.operators.split import sample_n, stratified_split
 from tabeval.plans import fixtures as fx
@@ -104,15 +108,6 @@ def q_fit_logistic(spark, sf_dir):
     return rounded(ev.model_table(scored))
 
 
-def _classifier_specs():
-    return {
-        "svm_linear": cl.spec("svm", ORDER_FEATURES, kernel="linear"),
-        "svm_poly": cl.spec("svm", ORDER_FEATURES, kernel="poly", degree=3),
-        "svm_rbf": cl.spec("svm", ORDER_FEATURES, kernel="rbf"),
-        "mlp": cl.spec("mlp", ORDER_FEATURES, hidden=[100], maxIter=500),
-    }
-
-
 TREE_SPECS = {
     "tree": tr.TreeParams(**tr.SINGLE),
     "forest": tr.TreeParams(**tr.FOREST, node_columns=1),
@@ -129,8 +124,13 @@ def q_classifier_table(spark, sf_dir):
     train = d.where(F.col("split") == "train")
     test = d.where(F.col("split") == "test")
     models = dict(zip(TREE_SPECS, tr.fit_all(tr.prepare(train, ORDER_FEATURES), list(TREE_SPECS.values()))))
-    models |= {name: p.fit(train) for name, p in _classifier_specs().items()}
-    return rounded(ev.model_table(cl.score_all(models, test, "test")))
+    stats = sc.fit_scaler(train, ORDER_FEATURES)
+    train_s, test_s = (sc.apply_scaler(x, stats, ORDER_FEATURES) for x in (train, test))
+    kernels = ("linear", "poly", "rbf")
+    scaled = dict(zip([f"svm_{k}" for k in kernels],
+                      sv.fit_svms(train_s, ORDER_FEATURES, [sv.SvmParams(kernel=k) for k in kernels])))
+    scaled["network"] = nw.fit_networks(train_s, ORDER_FEATURES, [nw.NetParams()])[0]
+    return rounded(ev.model_table(cl.score_all(models, test, "test").unionByName(cl.score_all(scaled, test_s, "test"))))
 
 
 @register("grid_search")
@@ -148,9 +148,11 @@ def q_default_vs_tuned(spark, sf_dir):
     """The SVM's default parameters beside those of the best point of its whole grid."""
     d = orders_problem(spark, sf_dir)
     inner = stratified_split(d.where(F.col("split") == "train").drop("split"), "y", 0.3, 123, id_col="row_id")
-    tr_, va = inner.where(F.col("split") == "train"), inner.where(F.col("split") == "test")
-    _table, best = cl.grid_search(cl.reference_candidates("svm", ORDER_FEATURES), tr_, va)
-    return cl.compare_params(cl.spec("svm", ORDER_FEATURES).fit(tr_), best)
+    tr_, va = (inner.where(F.col("split") == x).drop("split") for x in ("train", "test"))
+    stats = sc.fit_scaler(tr_, ORDER_FEATURES)
+    tr_, va = (sc.apply_scaler(x, stats, ORDER_FEATURES) for x in (tr_, va))
+    default = sv.fit_svms(tr_, ORDER_FEATURES, [sv.SvmParams()], probabilities=False)[0]
+    return cl.compare_params(default, gr.svm_search(tr_, va, ORDER_FEATURES)[1])
 
 
 @register("miss_forest")
