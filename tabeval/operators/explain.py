@@ -11,6 +11,11 @@ for evaluation row x, coalition S and background sample B,
   of the weighted least squares with the efficiency constraint (Lundberg & Lee 2017),
   computed once on the driver (M x C numbers, C = the coalition budget).
 
+Kernel mode with ``l1`` ("aic" or "bic") is not linear: every row picks its own features on the
+L1 path of the kernel regression by that criterion and the efficient solution is refitted on
+them.  The design is the same for all rows, so a row's regression is known by M + 3 sums over
+its coalitions; Spark adds these up and only they meet the small path solver.
+
 Models come in two forms:
 
 - ``SqlModel``: a SQL expression in the feature names.  A few evaluations per row are
@@ -33,10 +38,11 @@ import itertools
 import math
 import operator
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,17 +79,14 @@ def exact_map(m: int) -> tuple[np.ndarray, np.ndarray]:
     return masks, k
 
 
-def kernel_map(m: int, n_coalitions: int, seed: int = 2025) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled coalitions and the constrained-WLS map K (m x C, empty and full included).
+def kernel_coalitions(m: int, n_coalitions: int, seed: int = 2025) -> tuple[np.ndarray, np.ndarray]:
+    """Coalitions between the empty and the full one (C x m booleans) and their weights.
 
     When the budget covers every non-trivial coalition they are all enumerated and
-    weighted by the Shapley kernel (the result then equals exact Shapley values);
-    otherwise sizes are drawn by the kernel's size distribution, members uniformly,
-    each draw paired with its complement, and every draw weighs the same.
+    weighted by the Shapley kernel; otherwise sizes are drawn by the kernel's size
+    distribution, members uniformly, each draw paired with its complement, and every
+    draw weighs the same.
     """
-    if m < 2:
-        masks = np.array([[False] * m, [True] * m])
-        return masks, np.array([[-1.0, 1.0]] * m)
     sizes = np.arange(1, m)
     size_w = (m - 1) / (sizes * (m - sizes))          # kernel mass of each size (up to a constant)
     if 2 ** m - 2 <= n_coalitions:
@@ -103,6 +106,16 @@ def kernel_map(m: int, n_coalitions: int, seed: int = 2025) -> tuple[np.ndarray,
         # a coalition drawn several times is evaluated once, with the summed weight
         z, times = np.unique(np.array(draws), axis=0, return_counts=True)
         w = times / len(draws)
+    return z, w
+
+
+def kernel_map(m: int, n_coalitions: int, seed: int = 2025) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`kernel_coalitions` and the constrained-WLS map K (m x C, empty and full included).
+    With all coalitions the result equals exact Shapley values."""
+    if m < 2:
+        masks = np.array([[False] * m, [True] * m])
+        return masks, np.array([[-1.0, 1.0]] * m)
+    z, w = kernel_coalitions(m, n_coalitions, seed)
     zf = z.astype(float)
     # min sum_c w_c (v_c - v0 - z_c.phi)^2  s.t.  sum(phi) = v_full - v0
     g = np.linalg.pinv(zf.T @ (w[:, None] * zf))
@@ -126,6 +139,98 @@ def coalition_map(m: int, mode: str = "exact", n_coalitions: int | None = None,
     raise ValueError(f"mode must be 'exact' or 'kernel', not {mode!r}")
 
 
+# ---------------------------------------------------------------- features by the L1 path
+
+RSS_FLOOR = 1e-13  # a residual below this share of the response is rounding
+
+
+def l1_path(gram: np.ndarray, c: np.ndarray) -> list[list[int]]:
+    """Active sets of min |y - Z b|^2 / 2 + lambda |b|_1 as lambda falls to 0, from Z'Z and Z'y alone:
+    between two sets the coefficients move on a line, until a feature joins or a coefficient is 0."""
+    m = len(c)
+    beta, corr, active, sets = np.zeros(m), c.astype(float).copy(), [], []
+    level = first = float(np.abs(corr).max(initial=0.0))
+    join = int(np.abs(corr).argmax()) if m else -1
+    for _ in range(8 * m):  # every feature joins once, but for those that leave and return
+        if level <= 1e-12 * first or level <= 0:
+            break
+        if join >= 0:
+            active.append(join)
+        sets.append(sorted(active))
+        sub = gram[np.ix_(active, active)]
+        step = np.linalg.lstsq(sub, np.sign(corr[active]), rcond=None)[0]
+        slope = gram[:, active] @ step
+        length, join, leave = level, -1, -1
+        out = np.setdiff1d(np.arange(m), active)
+        for side in (1.0, -1.0):  # the feature whose correlation meets the level first
+            gap, speed = level - side * corr[out], 1.0 - side * slope[out]
+            # a feature at the level that falls no slower than it does not join
+            with np.errstate(divide="ignore", invalid="ignore"):
+                at = np.where(speed > 1e-12, np.maximum(gap, 0.0) / speed, np.inf)
+            if len(at) and at.min() < length:
+                length, join = float(at.min()), int(out[at.argmin()])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            zero = -beta[active] / step
+        zero[~(zero > 1e-12 * max(level, 1e-300))] = np.inf
+        if zero.min() < length:
+            length, join, leave = float(zero.min()), -1, active[int(zero.argmin())]
+        beta[active] += length * step
+        corr -= length * slope
+        level -= length
+        if leave >= 0:
+            beta[leave] = 0.0
+            active.remove(leave)
+            if not active:
+                break
+    return sets
+
+
+class SparseFit:
+    """Shapley values of one row at a time on the features that its L1 path and a criterion choose.
+
+    For coalitions z with weights w and sizes s, y = v(z) - v(empty) and d = v(full) - v(empty), the
+    path is that of the regression in which every coalition stands twice: z with response y and
+    weight w (m - s), and z - 1 with y - d and weight w s, so that efficiency counts while features
+    are chosen.  Each set on the path is refitted without the penalty; ``n log(RSS / n)`` plus 2
+    (aic) or log n (bic) for a feature decides, of equal ones the smaller set.  The chosen
+    features then take the weighted solution whose values add up to d; all others are 0.
+    """
+
+    def __init__(self, z: np.ndarray, w: np.ndarray, criterion: str) -> None:
+        if criterion not in ("aic", "bic"):
+            raise ValueError(f"l1 must be 'aic' or 'bic', not {criterion!r}")
+        zf = z.astype(float)
+        s = zf.sum(axis=1)
+        self.m, self.n = zf.shape[1], 2 * len(zf)
+        self.gram = zf.T @ (w[:, None] * zf)
+        self.twice = zf.T @ ((w * (self.m - s))[:, None] * zf) + (zf - 1).T @ ((w * s)[:, None] * (zf - 1))
+        self.low, self.ws = (zf - 1).T @ (w * s), float((w * s).sum())
+        self.scale = np.sqrt(np.diag(self.twice))
+        self.price = 2.0 if criterion == "aic" else math.log(self.n)
+
+    def values(self, b: np.ndarray, e: float, yy: float, d: float) -> np.ndarray:
+        """phi from b = sum w z y, e = sum w s y, yy = sum w y^2 and d."""
+        phi = np.zeros(self.m)
+        if not (np.isfinite(b).all() and math.isfinite(e + yy + d)):
+            return np.full(self.m, np.nan)
+        c = self.m * b - e - d * self.low
+        total = self.m * yy - 2 * d * e + d * d * self.ws
+        if total <= 0 or not c.any():
+            return phi
+        best = None
+        for chosen in l1_path(self.twice / np.outer(self.scale, self.scale), c / self.scale):
+            fit = np.linalg.lstsq(self.twice[np.ix_(chosen, chosen)], c[chosen], rcond=None)[0]
+            rss = max(total - float(c[chosen] @ fit), RSS_FLOOR * total)
+            mark = (self.n * math.log(rss / self.n) + self.price * len(chosen), len(chosen))
+            if best is None or mark < best[0]:
+                best = mark, chosen
+        chosen = best[1]
+        solved = np.linalg.lstsq(self.gram[np.ix_(chosen, chosen)], np.stack([b[chosen], np.ones(len(chosen))], 1),
+                                 rcond=None)[0]
+        phi[chosen] = solved[:, 0] - solved[:, 1] * ((solved[:, 0].sum() - d) / solved[:, 1].sum())
+        return phi
+
+
 # ---------------------------------------------------------------- background
 
 def collect_background(background: DataFrame, features: Sequence[str],
@@ -281,24 +386,105 @@ def _explain_transformer(eval_df: DataFrame, id_col: str, features: list[str], n
                .select(F.lit(name).alias("model"), "row_id", "feature", "value", "phi", "base"))
 
 
+WORD = 62  # coalition bits in one long
+
+
+def _coalition_words(z: np.ndarray) -> list[list[int]]:
+    return [[sum(1 << j for j in range(WORD) if k + j < z.shape[1] and row[k + j])
+             for k in range(0, z.shape[1], WORD)] for row in z]
+
+
+def _explain_sparse(eval_df: DataFrame, id_col: str, features: list[str], name: str, model, bg: list[tuple],
+                    n_coalitions: int, seed: int, criterion: str, prob_col: str,
+                    n_partitions: int | None) -> DataFrame:
+    """Kernel SHAP with features chosen row by row.  The rows are dealt out once by id; coalitions (as
+    bits) and background rows are made inside the tasks and added up there."""
+    m = len(features)
+    z, w = kernel_coalitions(m, n_coalitions, seed)
+    fit = SparseFit(z, w, criterion)
+    words = _coalition_words(np.vstack([z, np.ones((1, m), dtype=bool)]))
+    full = len(z)  # the last coalition
+    spark = eval_df.sparkSession
+    xs = [f"__x_{f}" for f in features]
+    x = eval_df.select(F.col(id_col).alias("row_id"), *[F.col(f).cast("double").alias(f"__x_{f}") for f in features])
+    x = x.repartition(n_partitions or _tasks(eval_df), "row_id").withColumn("_u", F.monotonically_increasing_id())
+    parts = [f"w{k}" for k in range(len(words[0]))]
+    coal = "array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{p}', {b}L" for p, b in zip(parts, row)) + ")" for row in words) + ")"
+
+    def has(j: int) -> str:
+        return f"(_c.{parts[j // WORD]} & {1 << (j % WORD)}L) <> 0"
+
+    e = x.select("*", F.posexplode(F.expr(coal)).alias("_cid", "_c"))
+    e = e.select("*", F.explode(F.expr(_bg_literal(bg, features))).alias("_b"))
+    base = spark.range(1).select(F.explode(F.expr(_bg_literal(bg, features))).alias("_b"))
+    if isinstance(model, SqlModel):
+        idx = {f: i for i, f in enumerate(features)}
+        p = F.expr(_substitute(model.expr, features,
+                               lambda f: f"(CASE WHEN {has(idx[f])} THEN `__x_{f}` ELSE _b.b{idx[f]} END)"))
+        base_p = F.expr(_substitute(model.expr, features, lambda f: f"_b.b{idx[f]}"))
+    else:
+        held = ["row_id", "_u", "_cid", "_c", *xs]
+        e = model.transform(e.select(*held, *[F.expr(f"CASE WHEN {has(j)} THEN `__x_{f}` ELSE _b.b{j} END").alias(f)
+                                              for j, f in enumerate(features)]))
+        base = model.transform(base.select(*[F.col(f"_b.b{j}").alias(f) for j, f in enumerate(features)]))
+        p = base_p = (vector_to_array(F.col(prob_col))[1] if dict(e.dtypes)[prob_col] == "vector" else F.col(prob_col))
+    v0 = base.agg(F.avg(base_p)).first()[0]  # the empty coalition is the same for every row
+    v = e.groupBy("row_id", "_u", *xs, "_cid", "_c").agg((F.avg(p) - F.expr(_dbl(v0))).alias("_y"))
+    # C weights, a number set by the parameters; 0 for the full coalition
+    weight = F.expr("array(" + ", ".join(_dbl(k) for k in [*w, 0.0]) + ")[_cid]")
+    size = functools.reduce(operator.add, [F.bit_count(F.col(f"_c.{q}")) for q in parts])
+    sums = v.withColumn("_wy", weight * F.col("_y")).groupBy("row_id", "_u", *xs).agg(
+        F.array(*[F.sum(F.expr(f"CASE WHEN {has(j)} THEN _wy ELSE 0D END")) for j in range(m)]).alias("b"),
+        F.sum(F.col("_wy") * size).alias("e"), F.sum(F.col("_wy") * F.col("_y")).alias("yy"),
+        F.max(F.when(F.col("_cid") == full, F.col("_y"))).alias("d"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.to_pydict()
+            phi = [fit.values(np.array(b, float), e_, yy, d).tolist()
+                   if None not in b and None not in (e_, yy, d) else [None] * m
+                   for b, e_, yy, d in zip(t["b"], t["e"], t["yy"], t["d"])]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("x"),
+                                              pa.array(phi, pa.list_(pa.float64()))], ["row_id", "x", "phi"])
+
+    sums = sums.select("row_id", F.array(*[f"`{c}`" for c in xs]).alias("x"), "b", "e", "yy", "d")
+    kind = sums.schema["row_id"].dataType.simpleString()
+    out = sums.mapInArrow(solve, f"row_id {kind}, x array<double>, phi array<double>")
+    names = F.array(*[F.lit(f) for f in features])
+    out = out.select("row_id", F.explode(F.arrays_zip(names.alias("feature"), F.col("x").alias("value"),
+                                                      F.col("phi").alias("phi"))).alias("_p"))
+    return out.select(F.lit(name).alias("model"), "row_id", F.col("_p.feature").alias("feature"),
+                      F.col("_p.value").alias("value"), F.col("_p.phi").alias("phi"), F.expr(_dbl(v0)).alias("base"))
+
+
 def kernel_shap(eval_df: DataFrame, background: DataFrame, features: Sequence[str], models: dict | Sequence,
                 id_col: str = "row_id", mode: str = "kernel", n_coalitions: int | None = None, seed: int = 2025,
                 max_background: int = MAX_BACKGROUND, prob_col: str = "probability",
-                n_partitions: int | None = None) -> DataFrame:
+                n_partitions: int | None = None, l1: str | None = None) -> DataFrame:
     """Long table (model, row_id, feature, value, phi, base) for every model.
 
-    ``models``: a list of ``SqlModel`` or a dict name -> SqlModel / Transformer.
+    ``models``: a list of ``SqlModel`` or a dict name -> SqlModel / Transformer.  ``l1`` ("aic" or
+    "bic", kernel mode only): every row keeps the features that its L1 path and this criterion choose,
+    the others are 0; values still add up to f(x) - base.  A row whose model value is NULL or NaN
+    for some coalition has NULL or NaN values.
     """
     features = list(features)
+    if l1 is not None and (mode != "kernel" or len(features) < 2):
+        raise ValueError("l1 needs mode='kernel' and two features or more")
     bg = collect_background(background, features, max_background)
-    masks, k = coalition_map(len(features), mode, n_coalitions, seed)
+    if l1 is None:
+        masks, k = coalition_map(len(features), mode, n_coalitions, seed)
     items = list(models.items()) if isinstance(models, dict) else [(mm.name, mm) for mm in models]
     if len(items) > 1:
         # every model reads the rows: the source is scanned once, for the columns needed
         eval_df = materialize(eval_df.select(id_col, *[f for f in features if f != id_col]), "explained")
     out = None
     for name, mdl in items:
-        if isinstance(mdl, SqlModel):
+        if l1 is not None:
+            part = _explain_sparse(eval_df, id_col, features, name, mdl, bg,
+                                   n_coalitions or (2 * len(features) + 2048), seed, l1, prob_col, n_partitions)
+        elif isinstance(mdl, SqlModel):
             part = _explain_sql(eval_df, id_col, features, SqlModel(name, mdl.expr), bg, masks, k, n_partitions)
         else:
             part = _explain_transformer(eval_df, id_col, features, name, mdl, bg, masks, k, prob_col, n_partitions)

@@ -205,6 +205,36 @@ def q_kernel_shap_wide(spark, sf_dir):
     return rounded(shap)
 
 
+SPARSE = 40
+SPARSE_FEATURES = [(f"g{j}", f"((o_orderkey * {7919 + 104729 * j}) % 1000) / 1000.0") for j in range(SPARSE)]
+SPARSE_WEIGHTS = {f"g{j}": (-1) ** k * (k + 2) / 21 for k, j in enumerate((3, 8, 14, 21, 30, 37))}
+
+
+def _sparse_sql() -> str:
+    """Weight x (value - background mean) for the features in the model, 0 for all others."""
+    cols = ", ".join(f"({e})::DOUBLE AS {n}" for n, e in SPARSE_FEATURES)
+    order = "ORDER BY md5(concat('{}', ':', row_id::VARCHAR)), row_id LIMIT {}"
+    base = " + ".join(f"({w}) * avg({n})" for n, w in SPARSE_WEIGHTS.items())
+    rows = " UNION ALL ".join(
+        f"SELECT 'sparse' AS model, row_id, '{n}' AS feature, round({n}, 6) AS value, "
+        f"round(({SPARSE_WEIGHTS.get(n, 0.0)}) * ({n} - (SELECT avg({n}) FROM b)), 6) + 0.0 AS phi, "
+        f"round((SELECT {base} FROM b), 6) AS base FROM e" for n, _ in SPARSE_FEATURES)
+    return (f"WITH d AS (SELECT o_orderkey AS row_id, {cols} FROM orders), e AS (SELECT * FROM d {order.format(SEED + 1, 300)}), "
+            f"b AS (SELECT * FROM d {order.format(SEED, 200)}) {rows}")
+
+
+@register("kernel_shap_l1", _sparse_sql())
+def q_kernel_shap_l1(spark, sf_dir):
+    """X1 with the L1 path: 40 features of which the model uses six, 300 sampled orders and 200
+    background rows (the sizes are the feature), the default budget of coalitions."""
+    o = testdata_table(spark, sf_dir, "orders")
+    d = o.select(F.col("o_orderkey").alias("row_id"), *[F.expr(e).cast("double").alias(n) for n, e in SPARSE_FEATURES])
+    model = xp.SqlModel("sparse", " + ".join(f"({w}D) * {n}" for n, w in SPARSE_WEIGHTS.items()))
+    shap = xp.kernel_shap(sample_n(d, 300, SEED + 1, "row_id"), sample_n(d, 200, SEED, "row_id"),
+                          [n for n, _ in SPARSE_FEATURES], [model], mode="kernel", seed=SEED, l1="aic")
+    return rounded(shap.withColumn("phi", F.round("phi", 6) + F.lit(0.0)))
+
+
 @register("shap_fitted_model")
 def q_shap_fitted_model(spark, sf_dir):
     """Shapley values of fitted boosted trees at their default size on every test order, against
