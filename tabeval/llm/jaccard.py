@@ -19,6 +19,7 @@ doc_id takes part like any other and comes last as a component's smallest id.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -27,7 +28,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tabeval.llm.common import blocks, gathered, lookup, partitions, saved, sum_blocks, task_number
 from tabeval.llm.words import WordHasher, mix, shingles
@@ -328,28 +328,41 @@ def remaining_pairs(now: DataFrame, per_cent: int) -> DataFrame:
 
     A linked pair shares at least :func:`least_met` of its listed shingles.  So, with the shortest
     lists first, it shares one of the first k - that + 1 of the k listed ones of either side; only
-    those are met, for each range of the size ratio with its own bound.  Then all are counted."""
-    each = Window.partitionBy("class")
-    now = now.withColumns({"k": F.count(F.lit(1)).over(each), "place": F.row_number().over(each.orderBy("m", "key"))})
-    now = saved(now, "placed")
+    those are met, for each range of the size ratio with its own bound.  Then all are counted.
+
+    Sizes and lists are all that the bound looks at, so classes that agree in both (pages that share
+    a template and nothing else) are met and counted as one signature; only signatures that reach the
+    bound are expanded into pairs of classes."""
+    each = now.groupBy("class", "n", "component").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("keys"))
+    each = saved(each, "placed")
+    # a signature is named by its smallest class
+    kinds = saved(each.groupBy("n", "keys").agg(F.min("class").alias("kind"), F.min("component").alias("lo"),
+                                                F.max("component").alias("hi")), "signatures")
+    placed = kinds.select("kind", "n", "lo", "hi", F.size("keys").alias("k"), F.posexplode("keys").alias("at", "entry"))
     n, found = F.col("n"), None
     for high, low in zip(RATIOS, RATIOS[1:]):
         # rounding of the two bounds may differ by one
         need = F.least(least_met(n, F.ceil(n * low), per_cent), least_met(F.floor(n / low), n, per_cent)) - 1
-        first = now.where(F.col("place") <= F.col("k") - F.greatest(need, F.lit(1)) + 1)
-        a = first.select("key", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        b = first.select("key", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
+        first = placed.where(F.col("at") <= F.col("k") - F.greatest(need, F.lit(1)))
+        a, b = (first.select(F.col("entry.key").alias("key"), F.col("kind").alias(f"{side}"), F.col("n").alias(f"n{side}"),
+                             F.col("lo").alias(f"lo{side}"), F.col("hi").alias(f"hi{side}")) for side in "xy")
         less, more = F.least("nx", "ny"), F.greatest("nx", "ny")
         fits = (less >= low * more) if high == 1.0 else (less >= low * more) & (less < high * more)
-        part = a.join(b, "key").where((F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y")) & fits)
-        part = part.select("x", "y", "nx", "ny")
+        apart = F.greatest("hix", "hiy") > F.least("lox", "loy")  # some two classes are in different components
+        part = a.join(b, "key").where((F.col("x") <= F.col("y")) & apart & fits).select("x", "y")
         found = part if found is None else found.unionByName(part)
     found = saved(found.distinct(), "met")
-    keys = saved(now.groupBy("class").agg(F.collect_list("key").alias("keys")), "keys")
-    both = found.join(keys.select(F.col("class").alias("x"), F.col("keys").alias("kx")), "x").join(
-        keys.select(F.col("class").alias("y"), F.col("keys").alias("ky")), "y")
-    return both.where(F.size(F.array_intersect("kx", "ky")) >= least_met(F.col("nx"), F.col("ny"), per_cent)).select(
-        "x", "y", "nx", "ny")
+    x, y = (kinds.select(F.col("kind").alias(side), F.col("n").alias(f"n{side}"), F.col("keys.key").alias(f"k{side}"))
+            for side in "xy")
+    both = found.join(x, "x").join(y, "y")
+    both = both.where(F.size(F.array_intersect("kx", "ky")) >= least_met(F.col("nx"), F.col("ny"), per_cent))
+    both = saved(both.select(F.col("x").alias("kx"), F.col("y").alias("ky"), "nx", "ny"), "reaching")
+    member = saved(each.join(kinds.select("n", "keys", "kind"), ["n", "keys"]).select("class", "component", "kind"), "members")
+    x, y = (member.select(F.col("class").alias(side), F.col("component").alias(f"c{side}"), F.col("kind").alias(f"k{side}"))
+            for side in "xy")
+    out = both.join(x, "kx").join(y, "ky").where(
+        (F.col("cx") != F.col("cy")) & ((F.col("kx") != F.col("ky")) | (F.col("x") < F.col("y"))))
+    return out.select("x", "y", "nx", "ny")
 
 
 def pivot_pairs(now: DataFrame, turn: int) -> DataFrame:
@@ -441,16 +454,18 @@ def one_of_each(docs: DataFrame, size: int = SIZE, per_cent: int = LINK) -> Data
     A row is known by its id and text, so an id with two texts stands for two documents, and of rows
     that repeat both one stays.  Rows without an id stand for themselves: of those in a component the
     one with the smallest text hash stays too.  A text without shingles links with nothing."""
+    names = {c.lower() for c in docs.columns}
+    row = next(n for i in itertools.count() if (n := f"row {i}") not in names)
     mine = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
     found = near_duplicates(docs.select(mine.alias("doc_id"), "text"), size, per_cent)
     found = saved(found.groupBy("component_id", "doc_id").agg(F.count(F.lit(1)).alias("copies")), "members")
     named = found.where(~F.col("doc_id.none") & (F.col("doc_id") == F.col("component_id"))).select("doc_id", "copies")
     least = F.min(F.struct("doc_id", "copies")).alias("p")
     nameless = found.where("doc_id.none").groupBy("component_id").agg(least).select("p.doc_id", "p.copies")
-    chosen = saved(named.unionByName(nameless).withColumnRenamed("doc_id", "chosen row"), "chosen")
-    keyed = docs.withColumn("chosen row", mine)
-    out = keyed.join(counted(chosen.where("copies = 1")), "chosen row", "left_semi").drop("chosen row")
+    chosen = saved(named.unionByName(nameless).withColumnRenamed("doc_id", row), "chosen")
+    keyed = docs.withColumn(row, mine)
+    out = keyed.join(counted(chosen.where("copies = 1")), row, "left_semi").drop(row)
     if chosen.where("copies > 1").limit(1).count():  # only these rows are dealt out to drop their copies
-        several = keyed.join(counted(saved(chosen.where("copies > 1"), "several")), "chosen row", "left_semi")
-        out = out.unionByName(several.dropDuplicates(["chosen row"]).drop("chosen row"))
+        several = keyed.join(counted(saved(chosen.where("copies > 1"), "several")), row, "left_semi")
+        out = out.unionByName(several.dropDuplicates([row]).drop(row))
     return out

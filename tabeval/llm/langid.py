@@ -12,6 +12,7 @@ score 0, as is everything when nothing was learned.  Texts are read whole.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -204,8 +205,13 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", penalt
     return marked.mapInArrow(predict, schema)
 
 
-def accepted(docs: DataFrame, profiles: Profiles, min_share: float = 0.5) -> DataFrame:
-    """The documents, columns unchanged, that have a main language: not undetermined, and at
-    least ``min_share`` of the text in the predicted language."""
-    out = identify(docs, profiles)
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_share)).select(*docs.columns)
+def accepted(docs: DataFrame, profiles: Profiles, min_share: float = 0.0) -> DataFrame:
+    """The documents, columns unchanged whatever their names, in which a learned language was found
+    (not undetermined), with at least ``min_share`` of the text in the predicted one.  A document in
+    several languages is not rejected for that."""
+    names = {c.lower() for c in docs.columns}
+    fresh = {c: next(n for i in itertools.count() if (n := f"{c.lower()} {i}") not in names)
+             for c in docs.columns if c.lower() in ("lang_pred", "score", "languages")}
+    out = identify(docs.withColumnsRenamed(fresh), profiles)
+    out = out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_share))
+    return out.select(*[F.col(f"`{fresh.get(c, c)}`").alias(c) for c in docs.columns])

@@ -1,7 +1,8 @@
 """Token counts of a unigram tokenizer without building its tokens.
 
-A space starts a piece group (it becomes U+2581 and no vocabulary piece crosses it), so a
-text's count is the sum over its groups.  Within a group an Aho-Corasick automaton
+Spaces become U+2581.  Where the vocabulary has that mark as a piece and, in longer pieces, only
+in front, no piece crosses the start of a run of spaces: a run and the word behind it are a
+group, and a text's count is the sum over its groups.  With any other vocabulary the whole text is one group.  Within a group an Aho-Corasick automaton
 enumerates the vocabulary pieces by end position; a Viterbi pass carries only the best
 score and the piece count of the best path.  Tie rule: of equal scores the piece that
 starts first (the longest) wins; a character that is no piece itself is an unknown edge at
@@ -9,7 +10,8 @@ the lowest score minus ten, counted as its UTF-8 bytes when the vocabulary has b
 else unknown neighbours count as one.
 
 Null counts as empty, with 0 tokens.  Rows are independent and texts are read whole; the
-per-task memory of group counts is bounded.
+per-task memory of group counts is bounded.  Repeated rows repeat their counts, an empty table has
+none, and only the id and text columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ class Counter:
             self.automaton.add_word(p, (len(p), s))
         self.automaton.make_automaton()
         self.bytes, self.unknown, self.memo = byte_fallback, lowest - UNKNOWN_PENALTY, {}
+        self.cut = SPACE in self.automaton and not any(SPACE in p.lstrip(SPACE) for p, _ in pieces)
 
     def group(self, g: str) -> int:
         """Pieces on the best path when every character is itself a piece (else :meth:`full`)."""
@@ -94,9 +97,17 @@ class Counter:
     def text(self, text: str | None) -> int:
         if not text:
             return 0
-        memo, total = self.memo, 0
+        memo, total, spaces = self.memo, 0, 0
         text = text.replace(" ", SPACE)
-        for part in (text[1:] if text[0] == SPACE else text).split(SPACE):
+        text = text[1:] if text[0] == SPACE else text
+        if not self.cut:
+            return self.group(SPACE + text)
+        for part in text.split(SPACE):
+            if not part:  # a further space in front of the next word
+                spaces += 1
+                continue
+            if spaces:
+                part, spaces = SPACE * spaces + part, 0
             n = memo.get(part)
             if n is None:
                 n = self.group(SPACE + part)
@@ -105,7 +116,7 @@ class Counter:
                         memo.clear()
                     memo[part] = n
             total += n
-        return total
+        return total + self.group(SPACE * spaces) if spaces else total
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:

@@ -84,7 +84,13 @@ class Scanner:
         if not text:
             return []
         base = sorted(self.base(text))
-        added = [r for r in self.random(text) if not any(s <= r[0] and r[2] <= e for s, _, e in base)]
+        added, at, reach = [], 0, 0
+        for r in self.random(text):  # by start: of the base spans that start no later the farthest end decides
+            while at < len(base) and base[at][0] <= r[0]:
+                reach = max(reach, base[at][2])
+                at += 1
+            if r[2] > reach:
+                added.append(r)
         return sorted(base + added)
 
 

@@ -48,6 +48,40 @@ def test_chains_groups_and_shared_passages(docs_of, seed):
     assert got(docs_of(list(docs.items())).repartition(4)) == want(docs)
 
 
+def test_pages_of_one_template(docs_of, monkeypatch):
+    """Pages that share a passage and differ in the rest: only few link, and lists are met by signature."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(100)]
+    docs = {i: " ".join(passage + [f"u{i}x{k}" for k in range(rng.randint(12, 35))]) for i in range(400)}
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    assert got(docs_of(list(docs.items())).repartition(4)) == want(docs)
+
+
+def test_remaining_pairs_are_those_of_the_bound(spark):
+    """Classes with equal and other lists, in components, against all pairs."""
+    rng = random.Random(6)
+    lists = {c: (rng.randint(20, 26), rng.choice([c, 1, 2]), frozenset(rng.sample(range(12), rng.choice([3, 4, 9]))))
+             for c in range(1, 60)}
+    for c in range(60, 120):  # repeats of the first ones in other components
+        n, _, keys = lists[c - 59]
+        lists[c] = (n, rng.choice([c, 1]), keys)
+    size = {k: sum(k in v[2] for v in lists.values()) for k in range(12)}
+    now = spark.createDataFrame([(k, c, n, comp, size[k]) for c, (n, comp, keys) in lists.items() for k in keys],
+                                "key long, class long, n long, component long, m long")
+    found = [(min(r.x, r.y), max(r.x, r.y)) for r in jaccard.remaining_pairs(now, 75).collect()]
+    assert len(found) == len(set(found))
+
+    def least(a, b):
+        return -(-(a + b) * 75 // 175) - (-(-max(a, b) * 75 // 100) - 1)
+
+    wanted = {(x, y) for x, (nx, cx, kx) in lists.items() for y, (ny, cy, ky) in lists.items()
+              if x < y and cx != cy and kx & ky and len(kx & ky) >= least(nx, ny)
+              and 100 * min(nx, ny) >= 75 * max(nx, ny)}
+    assert wanted and wanted <= set(found)
+    assert all(len(lists[x][2] & lists[y][2]) >= least(lists[x][0], lists[y][0]) and lists[x][1] != lists[y][1]
+               for x, y in found)
+
+
 def test_edges(docs_of):
     docs = {1: None, 2: "", 3: " \n ", 4: "one two", 5: "One  TWO", 6: "one two three four five", 7: "one two three four five",
             8: "word " * 300_000, 9: "word " * 50, 10: "é è", 11: "two one"}

@@ -68,6 +68,27 @@ def test_keys_of_letters_and_with_digits_at_the_end_are_tested():
         assert scanner.spans(f"see {name} here") == [], name
 
 
+def test_many_spans_in_one_text_take_time_in_proportion():
+    import random
+    import time
+    rng = random.Random(1)
+    with open(secrets.VOCABULARY, "rb") as f:
+        scanner = secrets.Scanner(f.read(), 2.2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choices(letters, k=n))
+    text = "\n".join(f"secret={key(24)} and {key(32)}" for _ in range(50_000))
+    start = time.time()
+    spans = scanner.spans(text)
+    assert time.time() - start < 30
+    base = scanner.base(text)
+    assert len(base) >= 50_000 and len(spans) > 99_000
+    assert set(base) <= set(spans) and spans == sorted(spans)
+    some = "\n".join(text.split("\n")[:300])
+    plain = sorted(scanner.base(some))
+    assert scanner.spans(some) == sorted(plain + [r for r in scanner.random(some)
+                                                  if not any(s <= r[0] and r[2] <= e for s, _, e in plain)])
+
+
 def test_redaction_keeps_rows_and_masks_spans(docs_of):
     df = docs_of([(1, "a secret=abcdefgh b", "en", "s", 19), (2, None, None, None, None), (2, "clean", "en", "s", 5),
                   (None, "clean", "en", "s", 5)])
