@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabeval.functions.exprs import SIGN_TOL, clip01, direction_sign, direction_txt
-from tabeval.operators.cumulative import DEFAULT_BUCKETS, avg_rank
+from tabeval.operators.cumulative import DEFAULT_BUCKETS, avg_rank, prefix_sums
 from tabeval.session import materialize as write
 from tabeval.session import small_side
 
@@ -31,14 +31,15 @@ def _salted_join(big: DataFrame, ranks: DataFrame, on: list[str], hot_rows: int)
     """Join ``big`` to the rank table on ``on``; a value carried by more than
     ``hot_rows`` rows of ``big`` is spread over ceil(rows / hot_rows) salted tasks
     (its rank row is copied that many times).  ``ranks`` carries the rows per value
-    (``_nrows``), so nothing is counted again."""
+    (``_nrows``), so nothing is counted again.  Rank rows counted to be few are broadcast."""
     salts = F.ceil(F.col("_nrows") / F.lit(hot_rows)).cast("int")
     hot = F.broadcast(ranks.where(F.col("_nrows") > hot_rows).select(*on, salts.alias("_s")))
     r = (ranks.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_cnt", "_nrows"))
-    b = (big.join(hot, on, "left")
+    # by the row's place: equal rows are spread too
+    b = (big.withColumn("_at", F.monotonically_increasing_id()).join(hot, on, "left")
             .withColumn("_salt", F.when(F.col("_s").isNull(), F.lit(0))
-                        .otherwise(F.pmod(F.xxhash64(*big.columns), F.col("_s")).cast("int"))).drop("_s"))
-    return b.join(r, on + ["_salt"]).drop("_salt")
+                        .otherwise(F.pmod(F.xxhash64("_at"), F.col("_s")).cast("int"))).drop("_s", "_at"))
+    return b.join(small_side(r), on + ["_salt"]).drop("_salt")
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str = "spearman_r",
@@ -47,31 +48,33 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out_col: str =
     """Spearman rank correlation of x and y per key group (average ranks for ties).
 
     NULL when either side is constant (the correlation is undefined); pairs with a
-    NULL/NaN side are left out first.  Repeated (x, y) pairs are collapsed with a
-    weight before anything is shuffled; ranks are joined back with salting for hot
-    values; the correlation is taken around the known mean rank (n+1)/2, so a
-    constant side has exactly zero spread.
+    NULL/NaN side are left out first.  The rank of x is joined to the rows with salting
+    for hot values; the rows of one y are then added up before y is ranked, for its rank
+    is the same in all of them: sum (rx - m)(ry - m) = sum over y of (ry - m) sum (rx - m),
+    m the known mean rank (n+1)/2.  So no row meets the ranks of y, and a constant side has
+    exactly zero spread.
     """
     keys = list(keys)
     d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
           .where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
-    pairs = d.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
-    # the pairs are read by both rankings and the joins: computed once, from one pass
-    pairs = write(pairs, "pairs")
+    # read by the ranking of x and by the join: computed once
+    d = write(d, "pairs")
     # no more values than the broadcast list may hold can pass this many rows
-    hot_rows = max(hot_rows, pairs.count() // MAX_HOT_VALUES)
-    rx = write(avg_rank(pairs, keys, "_x", "_rx", n_buckets, levels, weight_col="_w"), "ranks")
-    ry = write(avg_rank(pairs, keys, "_y", "_ry", n_buckets, levels, weight_col="_w"), "ranks")
-    j = _salted_join(_salted_join(pairs, rx, keys + ["_x"], hot_rows), ry, keys + ["_y"], hot_rows)
-    n = rx.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))   # one row a group, from the rank rows
-    j = j.join(small_side(n), keys)
+    hot_rows = max(hot_rows, d.count() // MAX_HOT_VALUES)
+    rx = write(avg_rank(d, keys, "_x", "_rx", n_buckets, levels), "ranks")
+    n = write(rx.groupBy(*keys).agg(F.sum("_cnt").alias("_n")), "rows")   # one row a group, from the rank rows
     m = (F.col("_n") + F.lit(1)) / F.lit(2.0)
-    dx = F.col("_rx") - m
-    dy = F.col("_ry") - m
-    w = F.col("_w")
-    g = j.groupBy(*keys).agg(F.sum(w * dx * dy).alias("_sxy"), F.sum(w * dx * dx).alias("_sxx"),
-                             F.sum(w * dy * dy).alias("_syy"), F.first("_n").alias("n"))
-    return g.select(*keys, F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy"))).alias(out_col), "n")
+    dx = write(rx.join(small_side(n), keys).withColumn("_dx", F.col("_rx") - m).drop("_rx", "_n"), "ranks")
+    sx = dx.groupBy(*keys).agg(F.sum(F.col("_cnt") * F.col("_dx") * F.col("_dx")).alias("_sxx"))
+    by_y = _salted_join(d, dx, keys + ["_x"], hot_rows).groupBy(*keys, "_y").agg(
+        F.count(F.lit(1)).alias("_cnt"), F.sum("_dx").alias("_dx"))
+    ry = prefix_sums(write(by_y, "by_y"), keys, "_y", ["_cnt"], descending=False, n_buckets=n_buckets, levels=levels)
+    cnt = F.col("_cnt")
+    dy = F.col("_cnt_before") + (cnt + F.lit(1)) / F.lit(2.0) - m
+    g = ry.join(small_side(n), keys).groupBy(*keys).agg(
+        F.sum(dy * F.col("_dx")).alias("_sxy"), F.sum(cnt * dy * dy).alias("_syy"), F.first("_n").alias("n"))
+    return g.join(small_side(sx), keys).select(
+        *keys, F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy"))).alias(out_col), "n")
 
 
 def shap_direction(shap: DataFrame, tol: float = SIGN_TOL) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabeval.functions.exprs import count_points_below, grid_point
 from tabeval.functions.tails import chi2_sf, t_two_sided
 from tabeval.operators import consistency as cs
+from tabeval.operators import cumulative as cu
 from tabeval.operators import evaluate as ev
 from tabeval.operators import explain as xp
 from tabeval.operators import profile as pr
@@ -284,3 +285,34 @@ def test_spearman_salted_join_under_a_hot_value(spark):
         return ranks
     want = float(np.corrcoef(avg_ranks(xs), avg_ranks(ys))[0, 1])
     assert plain == pytest.approx(want, abs=1e-12) and salted == pytest.approx(want, abs=1e-12)
+
+
+def test_spearman_no_row_meets_the_ranks_of_y(spark, monkeypatch):
+    rnd = random.Random(5)
+    # repeated rows, ties on both sides, two groups, one constant side, missing sides
+    rows = [("m", "f", float(rnd.randint(0, 9)), float(rnd.randint(0, 6))) for _ in range(400)]
+    rows += [("m", "g", float(i % 13), float(-(i % 13) // 2)) for i in range(200)]
+    rows += [("n", "f", 1.0, float(i)) for i in range(20)] + [("m", "f", None, 1.0), ("m", "f", 1.0, float("nan"))]
+    df = spark.createDataFrame(rows, "model STRING, feature STRING, value DOUBLE, phi DOUBLE")
+    joins, join = [], cs._salted_join
+    monkeypatch.setattr(cs, "_salted_join", lambda big, ranks, on, hot: joins.append(on) or join(big, ranks, on, hot))
+    got = {(r.model, r.feature): (r.spearman_r, r.n) for r in cs.spearman(df, ["model", "feature"], "value", "phi", hot_rows=5).collect()}
+    assert joins == [["model", "feature", "_x"]]
+
+    def ranks(a):
+        _, at, n = np.unique(a, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - n + (n + 1) / 2)[at]
+
+    for key, n in ((("m", "f"), 400), (("m", "g"), 200)):
+        part = [r for r in rows if r[:2] == key and r[2] is not None and r[3] == r[3]]
+        want = np.corrcoef(ranks([r[2] for r in part]), ranks([r[3] for r in part]))[0, 1]
+        assert got[key] == (pytest.approx(want, abs=1e-12), n)
+    assert got["n", "f"] == (None, 20)
+
+
+def test_range_places_by_blocks_of_bounds(spark):
+    for n in (1, 2, 3, 8, 9, 10, 63):
+        df = spark.range(0, 2 * n + 3).selectExpr("cast(id as double) / 2 - 0.5 AS v", f"transform(sequence(0, {n - 1}), i -> cast(i as double)) AS _bounds")
+        got = df.withColumn("_above", cu._block(F.col("v"), n)).withColumn("at", cu._place(F.col("v"), n))
+        for r in got.select("v", "at").collect():
+            assert r["at"] == sum(b < r["v"] for b in range(n)), (n, r)
