@@ -93,3 +93,12 @@ def test_nothing_learned_and_clashing_columns(docs_of):
     r = langid.identify(df, p).first()
     assert (r["lang_pred"], r["score"]) == ("und", 0.0)
     assert langid.identify(docs_of([]), p).count() == 0
+
+
+def test_letters_decide_on_signs_beyond_ascii(docs_of, monkeypatch):
+    from pyspark.sql import functions as F
+    p = langid.learn(docs_of([(1, "the quick brown fox → ", "en"), (2, "le renard brun ← ", "fr")]))
+    df = docs_of([(1, "→→ ←← 12 ✓✓"), (2, "the fox"), (3, "١٢٣ ٤٥٦")])
+    assert [r["doc_id"] for r in langid.accepted(df, p).collect()] == [2]
+    monkeypatch.setattr(langid, "has_letter", lambda c: F.lit(True))  # such texts have trigrams and would be kept
+    assert sorted(r["doc_id"] for r in langid.accepted(df, p).collect()) == [1, 2, 3]
