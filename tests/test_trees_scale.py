@@ -24,6 +24,35 @@ def test_held_rows_give_the_trees_of_the_passes(spark, monkeypatch, p):
     assert [t.__dict__ for t in here] == [t.__dict__ for t in tr.fit_all(data, [p])[0].trees]
 
 
+def test_a_forest_of_other_labels_is_that_of_the_passes(spark, monkeypatch):
+    data = tr.prepare(table(spark).withColumn("y", F.expr("(row_id * 37 % 1000) / 999.0")), ["a", "b", "c"])
+    p = tr.TreeParams(**{**tr.FOREST, "trees": 2}, node_columns=1, min_gain=1e-9)
+    here = list(tr.fit_all(data, [p])[0].trees)
+    monkeypatch.setattr(tr, "SMALL_CELLS", 0)
+    assert [t.__dict__ for t in here] == [t.__dict__ for t in tr.fit_all(data, [p])[0].trees]
+
+
+@pytest.mark.parametrize("p, passes", [(dict(tr.LEVEL_WISE, max_depth=10, rows=0.6), 3), (dict(tr.FOREST, max_depth=10), 1)])
+def test_a_level_counts_the_smaller_siblings_only(monkeypatch, p, passes):
+    rng = np.random.default_rng(2)
+    n, counted, bincount = 50000, [], np.bincount
+    m, y = rng.integers(0, 60, (n, 3)).astype(np.uint16), (rng.random(n) < 0.4).astype(float)
+    data, p = tr.Held(np.arange(n), y, m), tr.TreeParams(**p)
+    rows = np.count_nonzero(tr.row_weights(data.ids, p.rows, p.seed, 0))
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **b: counted.append(len(x)) or bincount(x, *a, **b))
+    tree, _ = tr.grown_here(data, p, 0, 60, np.zeros(n))
+    assert max(tree.path).bit_length() == 11  # ten levels: the root's rows, then at most half of them nine times
+    assert sum(counted) <= passes * 3 * rows * (1 + 9 / 2)
+
+
+def test_few_rows_of_many_trees_are_scored_by_all_cores(spark):
+    d = table(spark, 400).coalesce(1)
+    model = tr.fit_all(tr.prepare(d, ["a", "b", "c"]), [tr.TreeParams(**{**tr.LEVEL_WISE, "trees": 3})])[0]
+    scored = tr.staged([model], d, [(0, 1), (0, 3)])
+    assert scored.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert scored.select("row_id").distinct().count() == 400 and scored.count() == 800
+
+
 def test_grown_out_forests_vote_where_they_grow(spark):
     d = table(spark)
     data = tr.prepare(d, ["a", "b", "c"])
