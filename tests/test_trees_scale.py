@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabeval.operators import grids as gr
 from tabeval.operators import trees as tr
 
 
@@ -45,6 +46,12 @@ def test_a_level_counts_the_smaller_siblings_only(monkeypatch, p, passes):
     assert sum(counted) <= passes * 3 * rows * (1 + 9 / 2)
 
 
+def test_equal_forests_of_a_grid_are_grown_once():
+    fits = {gr.fitted_as("forest", p, 3, 1)[0] for p in gr.points(gr.GRIDS["forest"])}
+    assert len(fits) == 2  # of three features, three or four a node are all
+    assert len({gr.fitted_as("forest", p, 4, 1)[0] for p in gr.points(gr.GRIDS["forest"])}) == 3
+
+
 def test_few_rows_of_many_trees_are_scored_by_all_cores(spark):
     d = table(spark, 400).coalesce(1)
     model = tr.fit_all(tr.prepare(d, ["a", "b", "c"]), [tr.TreeParams(**{**tr.LEVEL_WISE, "trees": 3})])[0]
