@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabeval.operators import grids as gr
+from tabeval.operators import impute as im
 from tabeval.operators import trees as tr
 
 
@@ -101,3 +102,20 @@ def test_pruning_a_grown_out_tree_takes_no_square():
     kept = tr.cut_backs(tree, [(None, 2, 0.0), (None, 2, 1e-5), (5, 2, 1e-5), (None, 20, 0.1)])
     assert time.time() - start < 60
     assert kept[0].leaves == tree.leaves > kept[1].leaves > kept[2].leaves > kept[3].leaves == 1
+
+
+def test_only_the_asked_rows_are_predicted(spark, monkeypatch):
+    d = table(spark, 500)
+    model = tr.fit_all(tr.prepare(d, ["a", "b", "c"]), [tr.TreeParams(**{**tr.FOREST, "trees": 3}, max_depth=4)])[0]
+    want = {r.row_id: r.p for r in model.transform(d).collect()}
+    got = {r.row_id: r.p for r in model.transform(d, "p", F.when(F.col("c") > 1, F.col("b") > 40)).collect()}
+    asked = {r.row_id for r in d.where("c > 1 AND b > 40").collect()}
+    assert 0 < len(asked) < 500 and got == {k: p if k in asked else None for k, p in want.items()}
+
+
+def test_imputation_cuts_a_whole_column_once(spark, monkeypatch):
+    d = table(spark, 600).selectExpr("a", "IF(b > 20, b, NULL) AS b", "IF(c > 0, c, NULL) AS c")
+    seen, fit_bins = [], tr.fit_bins
+    monkeypatch.setattr(tr, "fit_bins", lambda df, features, most, known: seen.append((list(features), set(known))) or fit_bins(df, features, most, known))
+    im.miss_forest(d, ["a", "b", "c"], max_iter=2, num_trees=3).count()
+    assert seen == [(["a", "b"], set()), (["a", "c"], set()), (["a", "b"], {"a"}), (["a", "c"], {"a"})]
