@@ -61,6 +61,37 @@ def test_grid_winner_is_the_first_maximum(problem):
     assert ev.auc(cl.score_all({"m": best}, val, "v")).first()["auc"] == pytest.approx(top)
 
 
+def test_trees_on_counted_bins_equal_trees_on_rows(spark, monkeypatch):
+    # values in few steps: both cut between all of them
+    d = spark.range(3000).selectExpr("id AS row_id", "pmod(xxhash64(id), 31) / 3e0 AS a", "pmod(xxhash64(id, 1), 17) - 5e0 AS b", "1e0 AS c",
+                                     "pmod(xxhash64(id, 2), 100) AS u").selectExpr("*", "int(u < 20 + 40 * int(a + b > 6) + 30 * int(a * b < 0)) AS y")
+    train, val = d.where("row_id % 3 <> 0"), d.where("row_id % 3 = 0")
+    tried = cl.candidates("tree", ["a", "b", "c"], {"maxDepth": [9], "minInstancesPerNode": [1, 40],
+                                                    "featureSubsetStrategy": ["sqrt", "all"], "minInfoGain": [0.0, 0.01]})
+    by_rows, _ = cl.grid_search(tried, train, val)
+    want = [tuple(r) for r in by_rows.orderBy("ordinal").collect()]
+    fitted, fit = [], cl.Pipeline.fit
+    monkeypatch.setattr(cl, "CUT_ROWS", 0)
+    monkeypatch.setattr(cl.Pipeline, "fit", lambda self, df: fitted.append(df.count()) or fit(self, df))
+    table, best = cl.grid_search(tried, train, val)
+    got = [tuple(r) for r in table.orderBy("ordinal").collect()]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-12)
+    assert len({round(w[2], 6) for w in want}) > 4  # the points differ
+    # no fit reads the 2,000 rows
+    assert len(fitted) == len(tried) + 1 and max(fitted) <= 2 * 31 * 17 < train.count()
+    top = max(w[2] for w in want)
+    assert ev.auc(cl.score_all({"m": best}, val, "v")).first()["auc"] == pytest.approx(top)
+    with pytest.raises(Exception, match="missing value in a"):
+        cl.grid_search(tried, train.withColumn("a", F.expr("nullif(a, 0e0)")), val)
+
+
+def test_only_single_trees_over_all_rows_are_counted():
+    f = ["a", "b"]
+    assert cl.max_bins_of(cl.spec("tree", f)) == cl.max_bins_of(cl.spec("tree", f, featureSubsetStrategy="sqrt")) == 32
+    others = [cl.spec("tree", f, weightCol="w"), cl.spec("tree", f, minWeightFractionPerNode=0.1), cl.spec("gbt", f), cl.spec("svm", f)]
+    assert [cl.max_bins_of(p) for p in [*others, *(cl.spec("forest", f, numTrees=n) for n in (1, 5))]] == [None] * 6
+
+
 def test_reference_grids_have_every_combination():
     f = ["a", "b", "c"]
     assert {k: len(cl.reference_candidates(k, f)) for k in cl.REFERENCE_GRIDS} == {
