@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabeval.operators import classify as cl
 from tabeval.operators import grids as gr
 from tabeval.operators import impute as im
 from tabeval.operators import trees as tr
@@ -119,3 +120,21 @@ def test_imputation_cuts_a_whole_column_once(spark, monkeypatch):
     monkeypatch.setattr(tr, "fit_bins", lambda df, features, most, known: seen.append((list(features), set(known))) or fit_bins(df, features, most, known))
     im.miss_forest(d, ["a", "b", "c"], max_iter=2, num_trees=3).count()
     assert seen == [(["a", "b"], set()), (["a", "c"], set()), (["a", "b"], {"a"}), (["a", "c"], {"a"})]
+
+
+@pytest.mark.parametrize("cells", [None, 11 * 700])
+def test_a_compared_forest_is_scored_where_it_grows(spark, monkeypatch, cells):
+    d = table(spark)
+    model = tr.fit_all(tr.prepare(d, ["a", "b", "c"]), [tr.TreeParams(**{**tr.FOREST, "trees": 12}, node_columns=2)])[0]
+    val = d.where("row_id % 3 = 0").withColumn("row_id", F.expr("row_id div 2"))  # ids may be repeated
+    want = sorted((r.row_id, r.y, r.p) for r in tr.TreeModel(model.bins, model.params, list(model.trees)).transform(val).collect())
+    model = tr.TreeModel(model.bins, model.params, tr.Forest(model.trees.data, model.params, 12))
+    data = model.trees.data.held()  # before the bound shrinks
+    assert data is not None
+    monkeypatch.setattr(tr, "_collected", lambda *_: pytest.fail("the trees came to the driver"))
+    monkeypatch.setattr(tr, "SLICE", 150)
+    if cells:
+        monkeypatch.setattr(tr, "SMALL_CELLS", cells)
+    got = sorted((r.row_id, r.y, r.p) for r in cl.score_all({"forest": model}, val, "test").collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-12)
