@@ -138,3 +138,29 @@ def test_a_compared_forest_is_scored_where_it_grows(spark, monkeypatch, cells):
     got = sorted((r.row_id, r.y, r.p) for r in cl.score_all({"forest": model}, val, "test").collect())
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-12)
+
+
+def test_a_grown_out_tree_of_a_grid_is_cut_and_scored_where_it_grows(spark, monkeypatch):
+    d, grid = table(spark), {"max_depth": [3, None], "min_split": [5, 20], "node_columns": ["sqrt", None], "ccp_alpha": [0.0, 0.0005]}
+    train, val, columns = d.where("row_id % 3 <> 0"), d.where("row_id % 3 = 0"), ["a", "b", "c"]
+    fit_all, collected, plain = tr.fit_all, tr._collected, tr.fit_dealt_out
+    monkeypatch.setattr(tr, "fit_all", lambda data, p, stay: fit_all(data, p))
+    monkeypatch.setattr(tr, "fit_dealt_out", lambda data, p, stay=False: plain(data, p))
+    want = [tuple(r) for r in gr.staged_search("tree", train, val, columns, grid=grid)[0].orderBy("ordinal").collect()]
+    monkeypatch.setattr(tr, "fit_all", fit_all)
+    monkeypatch.setattr(tr, "fit_dealt_out", plain)
+    monkeypatch.setattr(tr, "_collected", lambda data, p, units, cut=None: collected(data, p, units, cut) if not units or cut else
+                        pytest.fail("a whole tree came to the driver"))
+    got, best = gr.staged_search("tree", train, val, columns, grid=grid)
+    assert [tuple(r) for r in got.orderBy("ordinal").collect()] == want
+    assert best.trees[0].leaves > 1  # cut before it is brought here
+
+
+def test_pruning_by_levels_is_that_of_the_weakest_links():
+    rng = np.random.default_rng(5)
+    n = 5000
+    m, y = rng.integers(0, 50, (n, 3)).astype(np.uint16), (rng.random(n) < 0.4).astype(float)
+    tree, _ = tr.grown_here(tr.Held.of(np.arange(n), y, m, 50), tr.TreeParams(**tr.SINGLE), 0, 50, np.zeros(n))
+    gone = np.array(tr.pruned_alphas(tree))
+    for alpha in (1e-6, 1e-5, 3e-5, 1e-4, 1e-3, 1e-2, 0.1):
+        assert tr._without(tree, gone <= alpha).__dict__ == tr._without(tree, tr.pruned(tree, alpha)).__dict__
