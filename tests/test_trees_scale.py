@@ -164,3 +164,40 @@ def test_pruning_by_levels_is_that_of_the_weakest_links():
     gone = np.array(tr.pruned_alphas(tree))
     for alpha in (1e-6, 1e-5, 3e-5, 1e-4, 1e-3, 1e-2, 0.1):
         assert tr._without(tree, gone <= alpha).__dict__ == tr._without(tree, tr.pruned(tree, alpha)).__dict__
+
+
+def test_row_weights_follow_the_hash_and_its_bounds(monkeypatch):
+    monkeypatch.setattr(tr, "HASHED", 1000)
+    ids = np.random.default_rng(6).integers(-2 ** 63, 2 ** 63 - 1, 20_500)
+    u = tr.uniform(ids, 9, 4, 1)
+    assert (tr.row_weights(ids, "bootstrap", 9, 4) == (u[:, None] >= tr.POISSON).sum(axis=1)).all()
+    assert (tr.row_weights(ids, 0.6, 9, 4) == (u < 0.6)).all() and tr.row_weights(ids, 1.0, 9, 4) is None
+    calls, mixed = [], tr.mixed
+    monkeypatch.setattr(tr, "mixed", lambda x: calls.append(len(x)) or mixed(x))
+    tr.row_weights(ids, 0.6, 9, 4)
+    assert calls == [1, 1, 1]  # the salts once, not for every thousand rows
+
+
+def test_values_of_all_features_are_found_in_one_scan(spark, monkeypatch):
+    d = table(spark, 2000).withColumn("b", F.expr("double(row_id)")).repartition(5)
+    monkeypatch.setattr(type(d), "distinct", lambda _: pytest.fail("a scan for each feature"))
+    bins = tr.fit_bins(d, ["a", "b", "c"], 120)
+    assert [len(c) for c in bins.cuts][::2] == [100, 6] and 100 < len(bins.cuts[1]) <= 119
+    assert (bins.cuts[2] == np.arange(6) + 0.5).all()
+
+
+@pytest.mark.parametrize("depth", [4, 20])
+def test_votes_of_unseen_rows_do_not_pass_the_driver(spark, monkeypatch, depth):
+    data = tr.prepare(table(spark), ["a", "b", "c"])
+    p = tr.TreeParams(**{**tr.FOREST, "trees": 12, "max_depth": depth}, node_columns=2)
+    model = tr.fit_all(data, [p])[0]
+    whole = tr.TreeModel(model.bins, p, list(model.trees))
+    monkeypatch.setattr(tr.Binned, "small", lambda _: False)
+    want = {r.row_id: r for r in tr.out_of_bag(whole, data).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(tr, "SLICE", 700)
+    monkeypatch.setattr(tr, "summed", lambda *_: pytest.fail("sums by row came to the driver"))
+    got = {r.row_id: r for r in tr.out_of_bag(model, data).collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert (r.y, r.votes) == (want[k].y, want[k].votes) and r.p == (want[k].p if want[k].p is None else pytest.approx(want[k].p, abs=1e-12))
