@@ -201,3 +201,20 @@ def test_votes_of_unseen_rows_do_not_pass_the_driver(spark, monkeypatch, depth):
     assert got.keys() == want.keys()
     for k, r in got.items():
         assert (r.y, r.votes) == (want[k].y, want[k].votes) and r.p == (want[k].p if want[k].p is None else pytest.approx(want[k].p, abs=1e-12))
+
+
+@pytest.mark.parametrize("p", [dict(tr.FOREST, node_columns=2), dict(tr.SINGLE, min_split=9), dict(tr.LEVEL_WISE, max_depth=10, rows=0.6),
+                               dict(tr.LEVEL_WISE, max_depth=12, min_hess=0.0, l2=0.0)])
+def test_nodes_that_go_on_in_parts_give_the_same_tree(monkeypatch, p):
+    rng = np.random.default_rng(7)
+    n = 6000
+    m, y = rng.integers(0, 40, (n, 3)).astype(np.uint16), rng.random(n)
+    y = (y < 0.2 + 0.5 * (m[:, 1] < 9)).astype(float)
+    data, p = tr.Held(np.arange(n), y, m), tr.TreeParams(**p)
+    want, ends = tr.grown_here(data, p, 3, 40, np.zeros(n))
+    met, best = [], tr._best
+    monkeypatch.setattr(tr, "PART", 100)
+    monkeypatch.setattr(tr, "_best", lambda x, *a: met.append(x.shape[1]) or best(x, *a))
+    tree, at = tr.grown_here(data, p, 3, 40, np.zeros(n))
+    assert tree.__dict__ == want.__dict__ and (at == ends).all()
+    assert len(met) > 30  # parts of levels, not whole ones
